@@ -266,7 +266,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "elbow": lambda m: segments.elbow(m.rfm_scores, n_init=3),
         "silhouette_by_k": lambda m: segments.silhouette_by_k(
-            m.rfm_scores, range(2, 7), n_init=3
+            m.rfm_scores, n_init=3
         ),
         # churn
         "customer_reviews": lambda m: churn.customer_reviews(m.fact_sales, m.reviews),

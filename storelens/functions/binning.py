@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.skew import left_join
+
 
 def _bounds(lo: Column, hi: Column) -> tuple[Column, Column]:
     """A single value gets a range of width one around it."""
@@ -27,7 +29,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50, by: str | None = None) ->
     lo, hi = _bounds(F.col("_min"), F.col("_max"))
     span = span.select(*keys, lo.alias("_lo"), ((hi - lo) / F.lit(float(bins))).alias("_w"), "_total")
     if by:
-        placed = x.join(span, by)
+        placed = left_join(x, span, by, "inner")
     else:
         placed = x.select(
             "x", span.select("_lo").scalar().alias("_lo"), span.select("_w").scalar().alias("_w")

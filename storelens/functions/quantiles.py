@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.ranking import running_totals
+from storelens.functions.skew import is_small
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -38,6 +39,8 @@ def exact_quantiles(
     groups = summed.groupBy(*keys).agg(
         F.sum("_n").alias("n"), F.min(F.col("_upto") - F.col("_n")).alias("_start")
     )
+    if by is None or is_small(groups):  # without `by` there is one row per column
+        groups = F.broadcast(groups)
     within = summed.join(groups, keys).withColumn("_upto", F.col("_upto") - F.col("_start"))
     picks = []
     for i, p in enumerate(probs):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.session import materialize
+
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 0.002
 _SPREAD = "_spread"
@@ -43,7 +45,7 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list[tuple[ob
     limit = found["n"] * share
     return [
         (item["item"], -int(-item["count"] // limit))
-        for item in found["top"]
+        for item in found["top"] or []
         if item["count"] > limit
     ]
 
@@ -56,7 +58,7 @@ def left_join(
     max_rows: int = BROADCAST_ROWS,
     hot_in: DataFrame | None = None,
 ) -> DataFrame:
-    """`left` joined with `right` on one key; `how` is left or inner.
+    """`left` joined with `right` on one key; `how` is left, inner or left_semi.
 
     `max_rows=0` is for a right side known to be large: it is not counted, and
     only what Spark itself measures while running can turn it into a broadcast.
@@ -72,8 +74,8 @@ def left_join(
 
 def _salted(left: DataFrame, right: DataFrame, key: str, how: str, hot: list) -> DataFrame:
     owned = _SPREAD not in left.columns
-    if owned:
-        left = spread_rows(left)
+    if owned:  # rows can only be numbered safely where they are scanned
+        left = spread_rows(materialize(left, "before-salting"))
     kind = left.schema[key].dataType.simpleString()
     salts = F.broadcast(  # at most 1/HOT_SHARE rows
         left.sparkSession.createDataFrame(hot, f"_hot {kind}, _salts int")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelens.functions.columns import hash_number, ratio, round_half_even, share_pct
+from storelens.functions.columns import ratio, round_half_even, share_pct
 from storelens.functions.quantiles import exact_quantiles
+from storelens.functions.sampling import hash_sample
 from storelens.functions.skew import left_join
 from storelens.operators import sales
 from storelens.operators.rfm import SCORES
@@ -211,7 +212,7 @@ def insights(
 
 def plot_sample(df: DataFrame, key: str, n: int = 10_000, seed: int = 42) -> DataFrame:
     """n rows that look random but are the same in every run."""
-    return df.orderBy(hash_number(key, F.lit(seed)), key).limit(n)
+    return hash_sample(df, [key], n, seed)
 
 
 def reco_category_mix(
@@ -223,9 +224,7 @@ def reco_category_mix(
     products are recommended to a large part of all customers.
     """
     if sample is not None:
-        recos = recos.orderBy(
-            hash_number("customer_unique_id", "product_id"), "customer_unique_id", "product_id"
-        ).limit(sample)
+        recos = hash_sample(recos, ["customer_unique_id", "product_id"], sample)
     per_product = recos.groupBy("product_id").agg(F.count(F.lit(1)).alias("times"))
     return (
         per_product.join(popular.select("product_id", "category"), "product_id")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from storelens.functions.columns import hash_number
 from storelens.functions.ranking import global_rank
-from storelens.functions.skew import is_small, left_join
+from storelens.functions.sampling import hash_sample
+from storelens.functions.skew import is_small, left_join, spread_rows
 from storelens.session import materialize
 
 MIN_PURCHASES = 10
@@ -255,7 +256,7 @@ def hit_rate(
         ).alias("_held"),
     )
     if n_users is not None:
-        held = held.orderBy(hash_number(_CUSTOMER, F.lit(seed)), _CUSTOMER).limit(n_users)
+        held = hash_sample(materialize(held, "held-candidates"), [_CUSTOMER], n_users, seed)
     held = materialize(
         held.where("_n >= 2").select(
             _CUSTOMER,
@@ -264,7 +265,8 @@ def hit_rate(
         ),
         "held-out",
     )
-    asked = fact.join(held.select(_CUSTOMER), _CUSTOMER, "left_semi")
+    asked = left_join(spread_rows(fact), held.select(_CUSTOMER), _CUSTOMER, "left_semi")
+    asked = asked.drop("_spread")
     pair = [_CUSTOMER, "product_id"]
     kept = bought_products(asked).join(held, pair, "left_anti")
     favourites = asked.join(held, pair, "left_anti") if leak_free else asked

@@ -7,13 +7,18 @@ number of customers; only the final assignment touches every customer.
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import ratio, round_half_even
 from storelens.operators.rfm import SCORES
+from storelens.session import materialize
 
 
 def score_cells(scores: DataFrame) -> DataFrame:
@@ -21,23 +26,23 @@ def score_cells(scores: DataFrame) -> DataFrame:
     return scores.groupBy(*SCORES).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _z(c: str, stats: DataFrame) -> Column:
+    """c in standard units by the one-row stats; a constant column gives 0."""
+    std = stats.select(f"{c}_std").scalar()
+    return (F.col(c) - stats.select(f"{c}_mean").scalar()) / F.when(std == 0, 1.0).otherwise(std)
+
+
 def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
     """Adds z_<col> with the population standard deviation; a constant column gives 0."""
     stats = df.agg(
         *[F.avg(c).alias(f"{c}_mean") for c in cols],
         *[F.stddev_pop(c).alias(f"{c}_std") for c in cols],
     )
-
-    def z(c: str) -> Column:
-        std = stats.select(f"{c}_std").scalar()
-        return (F.col(c) - stats.select(f"{c}_mean").scalar()) / F.when(std == 0, 1.0).otherwise(std)
-
-    return df.withColumns({f"z_{c}": z(c) for c in cols})
+    return df.withColumns({f"z_{c}": _z(c, stats) for c in cols})
 
 
-def _standard_cells(scores: DataFrame) -> DataFrame:
-    """Score cells with z columns weighted by customers."""
-    cells = score_cells(scores)
+def _standard_cells(cells: DataFrame) -> DataFrame:
+    """Cells with z columns, each cell counting as the n customers in it."""
     n = F.sum("n").cast("double")
     means = {c: F.sum(F.col(c) * F.col("n")) / n for c in SCORES}
     squares = {c: F.sum(F.col(c) * F.col(c) * F.col("n")) / n for c in SCORES}
@@ -45,12 +50,7 @@ def _standard_cells(scores: DataFrame) -> DataFrame:
         *[m.alias(f"{c}_mean") for c, m in means.items()],
         *[F.sqrt(squares[c] - means[c] * means[c]).alias(f"{c}_std") for c in SCORES],
     )
-
-    def z(c: str) -> Column:
-        std = stats.select(f"{c}_std").scalar()
-        return (F.col(c) - stats.select(f"{c}_mean").scalar()) / F.when(std == 0, 1.0).otherwise(std)
-
-    return cells.withColumns({f"z_{c}": z(c) for c in SCORES})
+    return cells.withColumns({f"z_{c}": _z(c, stats) for c in SCORES})
 
 
 def assign_to_centres(scores: DataFrame, centres: list[tuple[float, ...]]) -> DataFrame:
@@ -65,110 +65,152 @@ def assign_to_centres(scores: DataFrame, centres: list[tuple[float, ...]]) -> Da
     return scores.withColumn("cluster", F.array_min(F.array(*distances))["cluster"])
 
 
-def _fit(cells: DataFrame, k: int, n_init: int, seed: int):
-    """Best of n_init weighted k-means fits on the cells, by inertia."""
-    best = None
-    for start in range(n_init):
+def _points(scores: DataFrame) -> DataFrame:
+    """Standardised cells as vectors: at most 64 rows, written once for the many small fits."""
+    z = F.array(*[F.col(f"z_{c}") for c in SCORES])
+    cells = _standard_cells(score_cells(scores)).select(
+        *SCORES, F.col("n").cast("double").alias("n"), array_to_vector(z).alias("point")
+    )
+    return materialize(cells.coalesce(1), "score-cells")
+
+
+def _best_fits(
+    points: DataFrame, ks: list[int], n_init: int, seed: int, parallelism: int
+) -> dict[int, tuple[float, KMeansModel]]:
+    """k -> inertia and model of the best of n_init weighted fits.
+
+    The fits are independent jobs of a few milliseconds each, so several are
+    submitted at a time.
+    """
+
+    def fit(start: tuple[int, int]) -> tuple[float, KMeansModel]:
+        k, i = start
         model = KMeans(
-            k=k, seed=seed + start, maxIter=300, tol=1e-4, featuresCol="point", weightCol="n"
-        ).fit(cells)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
+            k=k, seed=seed + i, maxIter=300, tol=1e-4, featuresCol="point", weightCol="n"
+        ).fit(points)
+        return model.summary.trainingCost, model
+
+    starts = [(k, i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        fits = list(pool.map(inheritable_thread_target(points.sparkSession)(fit), starts))
+    best: dict[int, tuple[float, KMeansModel]] = {}
+    for (k, _), found in zip(starts, fits):
+        if k not in best or found[0] < best[k][0]:
+            best[k] = found
     return best
 
 
-def _points(scores: DataFrame) -> DataFrame:
-    """Standardised cells as vectors: at most 64 rows, kept in memory for the many small fits."""
-    z = F.array(*[F.col(f"z_{c}") for c in SCORES])
-    cells = _standard_cells(scores).select(
-        *SCORES, F.col("n").cast("double").alias("n"), array_to_vector(z).alias("point")
+def _labels(model: KMeansModel, points: DataFrame) -> DataFrame:
+    """Cells with cluster, numbered by centre so that equal fits get equal numbers."""
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    number = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
+    return model.transform(points).select(
+        *SCORES, F.col("n").cast("bigint").alias("n"), number[F.col("prediction")].alias("cluster")
     )
-    return cells.coalesce(1).cache()
 
 
-def kmeans_segments(scores: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42) -> DataFrame:
-    """Adds cluster, numbered by centre so that equal fits get equal numbers."""
+def kmeans_segments(
+    scores: DataFrame, k: int = 5, n_init: int = 10, seed: int = 42, parallelism: int = 8
+) -> DataFrame:
+    """Adds cluster from the best of n_init k-means fits."""
     points = _points(scores)
-    _, model = _fit(points, k, n_init, seed)
-    order = sorted(range(k), key=lambda i: tuple(model.clusterCenters()[i]))
-    renumbered = F.create_map(*[F.lit(x) for i, old in enumerate(order) for x in (old, i)])
-    cells = model.transform(points).select(*SCORES, renumbered[F.col("prediction")].alias("cluster"))
-    return scores.join(F.broadcast(cells), list(SCORES))  # at most 64 rows
+    _, model = _best_fits(points, [k], n_init, seed, parallelism)[k]
+    cells = F.broadcast(_labels(model, points).drop("n"))  # at most 64 rows
+    return scores.join(cells, list(SCORES))
 
 
-def elbow(scores: DataFrame, ks: range = range(2, 11), n_init: int = 10, seed: int = 42) -> DataFrame:
+def elbow(
+    scores: DataFrame,
+    ks: range = range(2, 11),
+    n_init: int = 10,
+    seed: int = 42,
+    parallelism: int = 8,
+) -> DataFrame:
     """k, inertia of the best fit."""
-    points = _points(scores)
-    rows = [(k, float(_fit(points, k, n_init, seed)[0])) for k in ks]
+    fits = _best_fits(_points(scores), list(ks), n_init, seed, parallelism)
+    rows = [(k, float(cost)) for k, (cost, _) in fits.items()]
     return scores.sparkSession.createDataFrame(rows, "k int, inertia double").orderBy("k")
 
 
-def silhouette(clustered: DataFrame) -> DataFrame:
-    """Exact mean silhouette, Euclidean on standardised scores, over all customers.
+def _silhouettes(cells: DataFrame) -> DataFrame:
+    """k, silhouette from cells (k, scores, z columns, n, cluster), per k.
 
     Customers in one cell share their distances, so each cell looks at the list
-    of the other cells (at most 64) instead of at other customers.
+    of the cells of its k (at most 64 per cluster) instead of at other customers.
     """
-    cells = _standard_cells(clustered)
-    labels = clustered.groupBy(*SCORES).agg(F.min("cluster").alias("cluster"))
-    cells = cells.join(labels, list(SCORES)).select(
-        "cluster", "n", F.array(*[F.col(f"z_{c}") for c in SCORES]).alias("z"),
-        F.concat_ws("-", *SCORES).alias("cell"),
+    cells = cells.select("k", "cluster", "n", F.array(*[F.col(f"z_{c}") for c in SCORES]).alias("z"))
+    lists = cells.groupBy("k").agg(
+        F.sort_array(F.collect_list(F.struct("cluster", "z", "n"))).alias("cells")
     )
-    others = cells.agg(F.sort_array(F.collect_list(F.struct("cell", "cluster", "n", "z")))).scalar()
 
-    def distance(o: Column) -> Column:
-        return F.sqrt(
-            sum((F.col("z")[i] - o["z"][i]) * (F.col("z")[i] - o["z"][i]) for i in range(len(SCORES)))
-        )
+    def total(kept: Column) -> tuple[Column, Column]:
+        """Customers in the kept cells, and the sum of distances to them."""
+
+        def distance(other: Column) -> Column:
+            gaps = [F.col("z")[i] - other["z"][i] for i in range(len(SCORES))]
+            return F.sqrt(sum(gap * gap for gap in gaps))
 
-    def within(keep) -> tuple[Column, Column]:
-        chosen = F.filter(F.col("cells"), keep)
-        total = F.aggregate(chosen, F.lit(0.0), lambda a, o: a + o["n"] * distance(o))
-        count = F.aggregate(chosen, F.lit(0).cast("bigint"), lambda a, o: a + o["n"])
-        return total, count
+        return (
+            F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, o: acc + o["n"]),
+            F.aggregate(kept, F.lit(0.0), lambda acc, o: acc + o["n"] * distance(o)),
+        )
 
-    withall = cells.withColumn("cells", others)
-    own_sum, own_n = within(lambda o: o["cluster"] == F.col("cluster"))
-    clusters = F.array_distinct(F.transform(F.col("cells"), lambda o: o["cluster"]))
+    def of_cluster(c: Column) -> Column:
+        return F.filter("cells", lambda o: o["cluster"] == c)
 
     def mean_distance(c: Column) -> Column:
-        chosen = F.filter(F.col("cells"), lambda o: o["cluster"] == c)
-        return F.aggregate(chosen, F.lit(0.0), lambda a, o: a + o["n"] * distance(o)) / F.aggregate(
-            chosen, F.lit(0).cast("bigint"), lambda a, o: a + o["n"]
-        )
+        size, away = total(of_cluster(c))
+        return away / size
 
-    nearest = F.array_min(
-        F.transform(F.filter(clusters, lambda c: c != F.col("cluster")), mean_distance)
+    rivals = F.filter(
+        F.array_distinct(F.transform("cells", lambda o: o["cluster"])),
+        lambda c: c != F.col("cluster"),
     )
-    sides = withall.select("n", own_sum.alias("own"), own_n.alias("size"), nearest.alias("b"))
-    a = F.try_divide(F.col("own"), F.col("size") - 1)
-    score = F.when(F.col("size") == 1, 0.0).otherwise(
-        F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0))
+    size, away = total(of_cluster(F.col("cluster")))
+    sides = cells.join(lists, "k").select(
+        "k",
+        "n",
+        size.alias("size"),
+        F.try_divide(away, size - 1).alias("a"),  # a customer is no neighbour of itself
+        F.array_min(F.transform(rivals, mean_distance)).alias("b"),
     )
-    return sides.agg(ratio(F.sum(F.col("n") * score), F.sum("n")).alias("silhouette"))
+    gap = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
+    score = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(gap, F.lit(0.0)))
+    return sides.groupBy("k").agg(ratio(F.sum(F.col("n") * score), F.sum("n")).alias("silhouette"))
 
 
-def best_k(by_k: DataFrame, measure: str = "silhouette") -> DataFrame:
-    """The k with the highest measure; the smallest k on ties."""
-    return by_k.agg(F.max_by("k", F.struct(F.col(measure), -F.col("k"))).alias("best_k"))
+def silhouette(clustered: DataFrame) -> DataFrame:
+    """Exact mean silhouette, Euclidean on standardised scores, over all customers."""
+    cells = clustered.groupBy(*SCORES, "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return _silhouettes(_standard_cells(cells).withColumn("k", F.lit(0))).select("silhouette")
 
 
 def silhouette_by_k(
-    scores: DataFrame, ks: range = range(2, 11), n_init: int = 10, seed: int = 42
+    scores: DataFrame,
+    ks: range = range(2, 11),
+    n_init: int = 10,
+    seed: int = 42,
+    parallelism: int = 8,
 ) -> DataFrame:
     """k, inertia and exact silhouette of the best fit for each k."""
     points = _points(scores)
-    out = None
-    for k in ks:
-        cost, model = _fit(points, k, n_init, seed)
-        cells = model.transform(points).select(*SCORES, F.col("prediction").alias("cluster"))
-        row = silhouette(scores.join(F.broadcast(cells), list(SCORES))).select(
-            F.lit(k).alias("k"), F.lit(float(cost)).alias("inertia"), "silhouette"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy("k")
+    fits = _best_fits(points, list(ks), n_init, seed, parallelism)
+    labelled = reduce(
+        DataFrame.unionByName,
+        [_labels(model, points).withColumn("k", F.lit(k)) for k, (_, model) in fits.items()],
+    )
+    cells = _standard_cells(score_cells(scores)).drop("n").join(labelled, list(SCORES))
+    costs = F.create_map(*[F.lit(x) for k, (cost, _) in fits.items() for x in (k, float(cost))])
+    return (
+        _silhouettes(cells)
+        .select("k", costs[F.col("k")].alias("inertia"), "silhouette")
+        .orderBy("k")
+    )
+
+
+def best_k(by_k: DataFrame, measure: str = "silhouette") -> DataFrame:
+    """The k with the highest measure; the smallest k on ties."""
+    return by_k.agg(F.max_by("k", F.struct(F.col(measure), -F.col("k"))).alias("best_k"))
 
 
 def segment_profile(clustered: DataFrame) -> DataFrame:
