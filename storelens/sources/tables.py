@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,11 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
 
 def preview(spark: SparkSession, name: str, n: int = 100) -> DataFrame:
     """Any n rows of a registered table; an unknown name is refused, not interpolated."""
-    if not spark.catalog.tableExists(name):
+    try:
+        known = spark.catalog.tableExists(name)
+    except ParseException:
+        known = False
+    if not known:
         raise ValueError(f"no table named {name!r}")
     return spark.table(name).limit(n)
 
