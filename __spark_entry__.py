@@ -57,6 +57,11 @@ def _double(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+def _curve(df: DataFrame) -> DataFrame:
+    """A density curve with its grid and values rounded for comparison."""
+    return df.withColumns({"x": F.round("x", 3), "density": F.round("density", 12)})
+
+
 def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     """Sums of transcendental terms depend on their order in the last digits."""
     return df.withColumns({c: F.round(c, digits) for c in cols})
@@ -218,8 +223,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         .withColumn("measure", F.lit("recency"))
         .unionByName(histogram(m.rfm, "frequency").withColumn("measure", F.lit("frequency")))
         .unionByName(histogram(m.rfm, "monetary").withColumn("measure", F.lit("monetary"))),
-        "kde_delivery": lambda m: _rounded(
-            kde(sales.delivery_days(m.orders), "delivery_days"), 9, "density", "x"
+        "kde_delivery": lambda m: _curve(kde(sales.delivery_days(m.orders), "delivery_days")),
+        "kde_rfm": lambda m: _curve(
+            kde(m.rfm, "recency")
+            .withColumn("measure", F.lit("recency"))
+            .unionByName(kde(m.rfm, "frequency").withColumn("measure", F.lit("frequency")))
+            .unionByName(kde(m.rfm, "monetary", bins=512).withColumn("measure", F.lit("monetary")))
         ),
         "category_month_matrix": lambda m: eda.category_month_matrix(m.fact_sales),
         "best_month": lambda m: eda.best_month(m.fact_sales),
@@ -265,6 +274,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             segments.kmeans_segments(m.rfm_scores, n_init=3), "monetary"
         ),
         "elbow": lambda m: segments.elbow(m.rfm_scores, n_init=3),
+        "best_k": lambda m: segments.best_k(
+            segments.silhouette_by_k(m.rfm_scores, range(2, 6), n_init=2)
+        ),
         "silhouette_by_k": lambda m: segments.silhouette_by_k(
             m.rfm_scores, n_init=3
         ),

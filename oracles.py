@@ -257,6 +257,18 @@ def _histogram(source: str, x: str, bins: int) -> str:
              range({bins}) AS b(bin)"""
 
 
+def _kde(source: str, x: str, values: str | None = None) -> str:
+    """Every grid point against every value, or against `values` (v, c) standing for them."""
+    values = values or f"(SELECT CAST({x} AS DOUBLE) AS v, 1 AS c FROM {source})"
+    return f"""
+        SELECT CAST(point AS INTEGER) AS point, ROUND(x, 3) AS x,
+               ROUND(SUM(c * exp(-0.5 * ((x - v) / h) ** 2)) / (MAX(n) * MAX(h) * sqrt(2 * pi())), 12) AS density
+        FROM (SELECT point, lo + point * ((hi - lo) / 199) AS x, n, sd * n::DOUBLE ** (-0.2) AS h
+              FROM (SELECT MIN(CAST({x} AS DOUBLE)) AS lo, MAX(CAST({x} AS DOUBLE)) AS hi, COUNT(*) AS n,
+                           stddev_samp(CAST({x} AS DOUBLE)) AS sd FROM {source}), range(200) r(point)), {values}
+        GROUP BY point, x"""
+
+
 def _describe(x: str) -> str:
     d = f"CAST({x} AS DOUBLE)"
     return f"""
@@ -426,13 +438,11 @@ def all_sql() -> dict[str, str]:
     sql["histogram_rfm"] = _query("rfm", " UNION ALL ".join(
         f"SELECT *, '{x}' AS measure FROM ({_histogram('rfm', x, 50)})"
         for x in ("recency", "frequency", "monetary")))
-    sql["kde_delivery"] = _query("delivery", """
-        SELECT CAST(point AS INTEGER) AS point, ROUND(x, 9) AS x, ROUND(SUM(exp(-0.5 * ((x - delivery_days) / h) ** 2))
-               / (MAX(n) * MAX(h) * sqrt(2 * pi())), 9) AS density
-        FROM (SELECT point, lo + point * ((hi - lo) / 199) AS x, n, sd * n::DOUBLE ** (-0.2) AS h
-              FROM (SELECT MIN(delivery_days)::DOUBLE AS lo, MAX(delivery_days)::DOUBLE AS hi, COUNT(*) AS n,
-                           stddev_samp(delivery_days) AS sd FROM delivery), range(200) r(point)), delivery
-        GROUP BY point, x""")
+    sql["kde_delivery"] = _query("delivery", _kde("delivery", "delivery_days"))
+    binned = f"(SELECT (lo + hi) / 2 AS v, n AS c FROM ({_histogram('rfm', 'monetary', 512)}))"
+    sql["kde_rfm"] = _query("rfm", " UNION ALL ".join(
+        f"SELECT *, '{x}' AS measure FROM ({_kde('rfm', x, values)})"
+        for x, values in (("recency", None), ("frequency", None), ("monetary", binned))))
     months = ", ".join(
         f"CAST(ROUND(COALESCE(SUM(total_amount) FILTER (month = {m}), 0), 2) AS DOUBLE) AS m{m}" for m in range(1, 13))
     sql["category_month_matrix"] = _query("fact", f"""

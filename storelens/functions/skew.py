@@ -1,6 +1,6 @@
 """Joins that keep working when one key holds a large part of the rows.
 
-A side is broadcast only after its rows were counted and found few. Otherwise
+A side is broadcast only after its rows and bytes were counted and found few. Otherwise
 the join shuffles on its key, and the keys that a sketch finds hot are spread
 over several salts on the big side and repeated per salt on the other.
 """
@@ -9,17 +9,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.session import materialize
 
-BROADCAST_ROWS = 100_000
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024**2
 HOT_SHARE = 0.002
 _SPREAD = "_spread"
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most max_rows rows; reads no more than that bound needs."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Whether df stays within both bounds, by counting its rows and the bytes of its text.
+
+    A plain aggregate: a limit would first move that many rows of every
+    partition into one task.
+    """
+    fixed = sum(8 for f in df.schema if isinstance(f.dataType, _FIXED_WIDTH))
+    varying = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+        for f in df.schema
+        if not isinstance(f.dataType, _FIXED_WIDTH)
+    ]
+    width = sum(varying, F.lit(fixed)).cast("bigint")
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def spread_rows(df: DataFrame) -> DataFrame:
@@ -55,16 +73,16 @@ def left_join(
     right: DataFrame,
     key: str,
     how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    known_large: bool = False,
     hot_in: DataFrame | None = None,
 ) -> DataFrame:
     """`left` joined with `right` on one key; `how` is left, inner or left_semi.
 
-    `max_rows=0` is for a right side known to be large: it is not counted, and
-    only what Spark itself measures while running can turn it into a broadcast.
+    A right side that is `known_large` is not counted; only what Spark itself
+    measures while running can turn it into a broadcast.
     `hot_in` names the frame whose rows tell which keys are hot; by default left.
     """
-    if max_rows and is_small(right, max_rows):
+    if not known_large and is_small(right):
         return left.join(F.broadcast(right), key, how)
     hot = hot_keys(left if hot_in is None else hot_in, key)
     if not hot:

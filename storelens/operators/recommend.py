@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from storelens.functions.columns import hash_number
 from storelens.functions.ranking import global_rank
 from storelens.functions.sampling import hash_sample
-from storelens.functions.skew import is_small, left_join, spread_rows
+from storelens.functions.skew import left_join
 from storelens.session import materialize
 
 MIN_PURCHASES = 10
@@ -84,17 +84,21 @@ def bought_products(fact: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_categories(counts: DataFrame) -> DataFrame:
+    """(customer, category, _n) as favourites: most items first, ties by name."""
+    order = Window.partitionBy(_CUSTOMER).orderBy(F.desc("_n"), "category")
+    return counts.select(_CUSTOMER, "category", F.row_number().over(order).alias("fav_rank"))
+
+
 def favourite_categories(fact: DataFrame) -> DataFrame:
     """Categories of each customer by number of items, ties by name."""
-    counts = (
+    return _ranked_categories(
         fact.where(
             F.col(_CUSTOMER).isNotNull() & F.col("product_category_name_english").isNotNull()
         )
         .groupBy(_CUSTOMER, _category())
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    order = Window.partitionBy(_CUSTOMER).orderBy(F.desc("_n"), "category")
-    return counts.select(_CUSTOMER, "category", F.row_number().over(order).alias("fav_rank"))
 
 
 def top_per_category(popular: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
@@ -108,63 +112,97 @@ def top_per_category(popular: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
     )
 
 
-def _bought_counts(customers: DataFrame, bought: DataFrame) -> DataFrame:
-    """Every customer with _b, the number of products bought."""
-    counts = bought.groupBy(_CUSTOMER).agg(F.count(F.lit(1)).alias("_b"))
-    return customers.join(counts, _CUSTOMER, "left").select(
-        _CUSTOMER, F.coalesce("_b", F.lit(0)).alias("_b")
+def _customer_items(fact: DataFrame) -> DataFrame:
+    """Items per customer, product and category: the one pass over the fact table.
+
+    All that follows works on this written table.
+    """
+    return materialize(
+        fact.where(F.col(_CUSTOMER).isNotNull())
+        .groupBy(_CUSTOMER, "product_id", _category())
+        .agg(F.count(F.lit(1)).alias("_n")),
+        "customer-items",
+    )
+
+
+def _favourites(items: DataFrame) -> DataFrame:
+    return _ranked_categories(
+        items.where(F.col("category").isNotNull())
+        .groupBy(_CUSTOMER, "category")
+        .agg(F.sum("_n").alias("_n"))
     )
 
 
+def _bought(items: DataFrame) -> DataFrame:
+    """(customer, product) pairs; a pair may occur twice if a product has two categories."""
+    return items.where(F.col("product_id").isNotNull()).select(_CUSTOMER, "product_id")
+
+
+def _only(pairs: DataFrame, keep: DataFrame, key: str, label: str) -> DataFrame:
+    """The pairs whose key occurs in `keep`, written because they are read twice."""
+    return materialize(left_join(pairs, keep.select(key).distinct(), key, "left_semi"), label)
+
+
+def _pair_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(_CUSTOMER).agg(F.count(F.lit(1)).alias("_b"))
+
+
 def _from_favourites(
-    favourites: DataFrame, popular: DataFrame, counts: DataFrame, n: int, per_category: int
+    favourites: DataFrame, lists: DataFrame, bought: DataFrame, n: int
 ) -> DataFrame:
-    """Candidates with their position in the customer's own list, before exclusion."""
-    lists = (
-        top_per_category(popular, per_category)
-        .groupBy("category")
-        .agg(F.sort_array(F.collect_list(F.struct("cat_rank", "product_id"))).alias("_list"))
+    """The first n + b products of the customer's own list, with their position.
+
+    b counts what the customer bought among the listed products, so after taking
+    those out n are left, or the list has no more.
+    """
+    by_category = lists.groupBy("category").agg(
+        F.sort_array(F.collect_list(F.struct("cat_rank", "product_id"))).alias("_list")
+    )
+    own = left_join(favourites, by_category, "category", "inner").join(
+        _pair_counts(bought), _CUSTOMER, "left"
     )
-    own = left_join(favourites, lists, "category", "inner").join(counts, _CUSTOMER)
     earlier = (
         Window.partitionBy(_CUSTOMER)
         .orderBy("fav_rank")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    reach = F.col("_b") + n
     return (
-        own.withColumn("_before", F.coalesce(F.sum(F.size("_list")).over(earlier), F.lit(0)))
-        .where(F.col("_before") < reach)
-        .select(_CUSTOMER, "category", "_before", reach.alias("_reach"), F.inline("_list"))
+        own.withColumn("_reach", F.coalesce("_b", F.lit(0)) + n)
+        .withColumn("_before", F.coalesce(F.sum(F.size("_list")).over(earlier), F.lit(0)))
+        .where(F.col("_before") < F.col("_reach"))
+        .select(_CUSTOMER, "category", "_before", "_reach", F.inline("_list"))
         .withColumn("_position", F.col("_before") + F.col("cat_rank"))
         .where(F.col("_position") <= F.col("_reach"))
         .select(_CUSTOMER, "product_id", "category", "_position")
     )
 
 
-def _from_popular(short: DataFrame, popular: DataFrame, n: int) -> DataFrame:
+def _from_popular(short: DataFrame, bought: DataFrame, popular: DataFrame, n: int) -> DataFrame:
     """The first n + b popular products for each customer that is short of n.
 
-    Of these at most b were bought and the customer's own candidates make up the
-    rest, so n stay. Ranks are unrolled in blocks and matched by equality; every
-    short customer asks for the best ranks, so those are broadcast.
+    b counts the popular products the customer bought. Of n + b products at most
+    b were bought and the customer's own candidates are part of the n, so n
+    remain. Ranks are unrolled in blocks and matched by equality; every short
+    customer asks for the best ranks, so those are broadcast.
     """
     listed = popular.select("popularity_rank", "product_id", "category")
     most = popular.agg(F.count(F.lit(1))).scalar()
-    blocks = short.withColumn("_reach", F.least(F.col("_b") + n, most)).where("_reach > 0")
+    reach = F.least(F.coalesce("_b", F.lit(0)) + n, most)
+    wanted = short.join(_pair_counts(bought), _CUSTOMER, "left").select(
+        _CUSTOMER, reach.alias("_reach")
+    )
+    last_block = F.floor((F.col("_reach") - 1) / _BLOCK)
     first = F.col("_block") * _BLOCK + 1
     last = F.least(F.col("_reach"), (F.col("_block") + 1) * _BLOCK)
     ranks = (
-        blocks.withColumn(
-            "_block",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_reach") - 1) / _BLOCK))),
-        )
+        wanted.where("_reach > 0")
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
         .withColumn("popularity_rank", F.explode(F.sequence(first, last)))
         .select(_CUSTOMER, "popularity_rank")
     )
     head = F.broadcast(listed.where(F.col("popularity_rank") <= HEAD_ROWS))  # ranks are unique
     out = ranks.where(F.col("popularity_rank") <= HEAD_ROWS).join(head, "popularity_rank")
-    if not is_small(popular, HEAD_ROWS):
+    if popular.count() > HEAD_ROWS:
         rest = listed.where(F.col("popularity_rank") > HEAD_ROWS)
         out = out.unionByName(
             ranks.where(F.col("popularity_rank") > HEAD_ROWS).join(rest, "popularity_rank")
@@ -173,35 +211,35 @@ def _from_popular(short: DataFrame, popular: DataFrame, n: int) -> DataFrame:
 
 
 def _recommend(
-    fact: DataFrame,
+    customers: DataFrame,
+    favourites: DataFrame,
+    bought: DataFrame,
     popular: DataFrame,
     n: int,
     per_category: int,
-    bought: DataFrame | None,
-    favourites: DataFrame | None,
 ) -> DataFrame:
+    """The first n of favourites, then popular, for each of the distinct customers."""
     pair = [_CUSTOMER, "product_id"]
-    bought = bought_products(fact) if bought is None else bought
-    favourites = favourite_categories(fact) if favourites is None else favourites
-    customers = fact.where(F.col(_CUSTOMER).isNotNull()).select(_CUSTOMER).distinct()
-    counts = _bought_counts(customers, bought)
     best = Window.partitionBy(_CUSTOMER).orderBy("_source", "_position")
 
     def first_n(candidates: DataFrame) -> DataFrame:
         return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
-    own = _from_favourites(favourites, popular, counts, n, per_category)
-    own = first_n(own.join(bought, pair, "left_anti").withColumn("_source", F.lit(0)))
-    own = materialize(own.drop("rank"), "favourite-picks")
+    lists = top_per_category(popular, per_category)
+    known = _only(bought, lists, "product_id", "bought-listed")
+    own = _from_favourites(favourites, lists, known, n).join(known, pair, "left_anti")
+    own = materialize(first_n(own.withColumn("_source", F.lit(0))).drop("rank"), "favourite-picks")
 
     found = own.groupBy(_CUSTOMER).agg(F.count(F.lit(1)).alias("_found"))
-    short = counts.join(found, _CUSTOMER, "left").where(F.coalesce("_found", F.lit(0)) < n)
-    short = materialize(short.select(_CUSTOMER, "_b"), "short-customers")
+    short = customers.join(found, _CUSTOMER, "left").where(F.coalesce("_found", F.lit(0)) < n)
+    short = materialize(short.select(_CUSTOMER), "short-customers")
     if short.isEmpty():
         return first_n(own).select(*_reco(), "category")
+    known = _only(bought, short, _CUSTOMER, "bought-by-short")
+    known = _only(known, popular, "product_id", "bought-popular")
     fill = (
-        _from_popular(short, popular, n)
-        .join(bought.unionByName(own.select(*pair)), pair, "left_anti")
+        _from_popular(short, known, popular, n)
+        .join(known.unionByName(own.select(*pair)), pair, "left_anti")
         .select(
             _CUSTOMER,
             "product_id",
@@ -224,7 +262,15 @@ def recommend(
 
     `bought` overrides which (customer, product) pairs are left out.
     """
-    return _recommend(fact, popular, n, per_category, bought, None).drop("category")
+    items = _customer_items(fact)
+    return _recommend(
+        items.select(_CUSTOMER).distinct(),
+        _favourites(items),
+        _bought(items) if bought is None else bought,
+        popular,
+        n,
+        per_category,
+    ).drop("category")
 
 
 def hit_rate(
@@ -243,38 +289,41 @@ def hit_rate(
     random_baseline is in percent. Favourite categories still know the held-out
     purchase unless `leak_free`.
     """
-    products = (
-        fact.where(F.col(_CUSTOMER).isNotNull() & F.col("product_id").isNotNull())
-        .groupBy(_CUSTOMER, "product_id")
-        .agg(F.min("product_category_name_english").alias("category"))
-    )
-    held = products.groupBy(_CUSTOMER).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min_by(
-            F.struct("product_id", "category"),
-            F.struct(hash_number(_CUSTOMER, "product_id"), "product_id"),
-        ).alias("_held"),
+    pair = [_CUSTOMER, "product_id"]
+    items = _customer_items(fact)
+    held = (
+        items.where(F.col("product_id").isNotNull())
+        .groupBy(*pair)
+        .agg(F.min("category").alias("category"))
+        .groupBy(_CUSTOMER)
+        .agg(
+            F.count(F.lit(1)).alias("_products"),
+            F.min_by(
+                F.struct("product_id", "category"),
+                F.struct(hash_number(*pair), "product_id"),
+            ).alias("_held"),
+        )
     )
     if n_users is not None:
         held = hash_sample(materialize(held, "held-candidates"), [_CUSTOMER], n_users, seed)
     held = materialize(
-        held.where("_n >= 2").select(
+        held.where("_products >= 2").select(
             _CUSTOMER,
             F.col("_held.product_id").alias("product_id"),
             F.col("_held.category").alias("_category"),
         ),
         "held-out",
     )
-    asked = left_join(spread_rows(fact), held.select(_CUSTOMER), _CUSTOMER, "left_semi")
-    asked = asked.drop("_spread")
-    pair = [_CUSTOMER, "product_id"]
-    kept = bought_products(asked).join(held, pair, "left_anti")
-    favourites = asked.join(held, pair, "left_anti") if leak_free else asked
-    recos = _recommend(
-        asked, popular, k, per_category, kept, favourite_categories(favourites)
-    ).select(_CUSTOMER, "category")
+    asked = held.select(_CUSTOMER)
+    if n_users is not None:
+        items = _only(items, asked, _CUSTOMER, "asked-items")
+    kept = items.join(held.select(*pair), pair, "left_anti")
+    favourites = _favourites(kept if leak_free else items)
+    if n_users is None:
+        favourites = favourites.join(asked, _CUSTOMER, "left_semi")
+    recos = _recommend(asked, favourites, _bought(kept), popular, k, per_category)
     hits = (
-        held.join(recos, _CUSTOMER, "left")
+        held.join(recos.select(_CUSTOMER, "category"), _CUSTOMER, "left")
         .groupBy(_CUSTOMER)
         .agg(F.max(F.coalesce(F.col("category") == F.col("_category"), F.lit(False))).alias("hit"))
     )

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import (
+    SECONDS_PER_DAY,
     city_label,
-    days_between,
     money_sum,
     ratio,
     round_half_up,
+    seconds_between,
     share_pct,
     whole_days_between,
 )
@@ -220,12 +221,14 @@ def review_by_category(
 
 
 def avg_delivery(orders: DataFrame) -> DataFrame:
-    """Mean of fractional days from purchase to delivery."""
-    days = days_between("order_delivered_customer_date", "order_purchase_timestamp")
+    """Mean of fractional days from purchase to delivery; seconds are summed exactly."""
+    seconds = seconds_between("order_delivered_customer_date", "order_purchase_timestamp")
     return (
         orders.where(F.col("order_delivered_customer_date").isNotNull())
-        .agg(F.avg(days).alias("days"))
-        .select(round_half_up("days").alias("avg_delivery_days"))
+        .agg(F.sum(seconds).alias("seconds"), F.count(seconds).alias("n"))
+        .select(
+            round_half_up(ratio("seconds", F.col("n") * SECONDS_PER_DAY)).alias("avg_delivery_days")
+        )
     )
 
 

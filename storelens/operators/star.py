@@ -42,7 +42,7 @@ def build_fact_sales(
         ),
         "product_id",
     )
-    fact = left_join(items, per_order, "order_id", max_rows=0, hot_in=order_items).drop("_spread")
+    fact = left_join(items, per_order, "order_id", known_large=True, hot_in=order_items).drop("_spread")
     fact = fact.withColumn("total_amount", F.col("price") + F.col("freight_value"))
     fact = date_features(fact, "order_purchase_timestamp")
 

@@ -79,8 +79,8 @@ def test_salted_join_equals_plain_join(spark, how):
     right = [("hot", "h1"), ("hot", "h2")] + [(f"k{i}", str(i)) for i in range(0, 4000, 2)]
     a = spark.createDataFrame(left, "k string, v int").repartition(5)
     b = spark.createDataFrame(right, "k string, w string")
-    salted = skew.left_join(skew.spread_rows(a), b, "k", how, max_rows=0).drop("_spread")
-    unnumbered = skew.left_join(a, b, "k", how, max_rows=0)
+    salted = skew.left_join(skew.spread_rows(a), b, "k", how, known_large=True).drop("_spread")
+    unnumbered = skew.left_join(a, b, "k", how, known_large=True)
     plain = a.join(b, "k", how)
 
     def rows(df):
@@ -142,3 +142,11 @@ def test_hash_sample(spark):
     again = hash_sample(df.repartition(9), ["id"], 20).collect()
     assert first == again and len(first) == 20
     assert hash_sample(df.limit(5), ["id"], 20).count() == 5
+
+
+def test_small_means_few_rows_and_few_bytes(spark):
+    df = spark.createDataFrame([("x" * 100, i, [1, 2]) for i in range(10)], "t string, n int, a array<int>")
+    assert skew.is_small(df)
+    assert not skew.is_small(df, max_rows=9)
+    assert not skew.is_small(df, max_bytes=1000)
+    assert skew.is_small(df.where("n < 0"), max_rows=0, max_bytes=0)
