@@ -15,6 +15,8 @@ ORDER_DATES = (
     "order_delivered_customer_date",
     "order_estimated_delivery_date",
 )
+# Weekdays in calendar order.
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 UNKNOWN = "unknown"
 
 
@@ -37,14 +39,22 @@ def add_category_translation(products: DataFrame, translation: DataFrame) -> Dat
 
 
 def date_features(df: DataFrame, ts_col: str = "order_purchase_timestamp") -> DataFrame:
-    """Adds year, month, quarter, year_month and day_of_week; all NULL for a missing date."""
+    """Adds year, month, quarter, year_month and day_of_week; all NULL for a missing date.
+
+    None of them goes through the session time zone, in which some local times
+    do not exist.
+    """
+    names = F.array(*[F.lit(day) for day in WEEKDAYS])
     return df.withColumns(
         {
             "year": F.year(ts_col),
             "month": F.month(ts_col),
             "quarter": F.quarter(ts_col),
-            "year_month": F.date_format(ts_col, "yyyy-MM"),
-            "day_of_week": F.date_format(ts_col, "EEEE"),
+            "year_month": F.substring(F.col(ts_col).cast("string"), 1, 7),
+            # element_at over literals takes its index for known, so ask first
+            "day_of_week": F.when(
+                F.col(ts_col).isNotNull(), F.element_at(names, F.weekday(ts_col) + 1)
+            ),
         }
     )
 

@@ -14,11 +14,9 @@ from storelens.functions.quantiles import exact_quantiles
 from storelens.functions.sampling import hash_sample
 from storelens.functions.skew import left_join
 from storelens.operators import sales
+from storelens.operators.cleaning import WEEKDAYS
 from storelens.operators.rfm import SCORES
 
-# Weekdays in calendar order.
-WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-
 
 def missing_values(df: DataFrame) -> DataFrame:
     """column, n_missing for every column that misses any, most first; one pass."""

@@ -140,7 +140,7 @@ def _bought(items: DataFrame) -> DataFrame:
 
 def _only(pairs: DataFrame, keep: DataFrame, key: str, label: str) -> DataFrame:
     """The pairs whose key occurs in `keep`, written because they are read twice."""
-    return materialize(left_join(pairs, keep.select(key).distinct(), key, "left_semi"), label)
+    return materialize(left_join(pairs, keep.select(key), key, "left_semi"), label)
 
 
 def _pair_counts(pairs: DataFrame) -> DataFrame:

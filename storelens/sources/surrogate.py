@@ -76,17 +76,17 @@ def orders_as_text(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.col("o_orderstatus").alias("order_status"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("order_purchase_timestamp"),
+        F.col("o_orderdate").cast("string").alias("order_purchase_timestamp"),
         F.expr(
             "CASE WHEN o_orderstatus = 'P' THEN o_orderpriority "
-            "ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') END"
+            "ELSE CAST(o_orderdate AS STRING) END"
         ).alias("order_approved_at"),
         F.expr(
-            "CASE WHEN o_orderstatus = 'F' THEN date_format(o_orderdate, 'yyyy-MM-dd') "
+            "CASE WHEN o_orderstatus = 'F' THEN CAST(to_date(o_orderdate) AS STRING) "
             "WHEN o_orderstatus = 'O' THEN 'not a date' END"
         ).alias("order_delivered_carrier_date"),
         F.lit(None).cast("string").alias("order_delivered_customer_date"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_estimated_delivery_date"),
+        F.to_date("o_orderdate").cast("string").alias("order_estimated_delivery_date"),
     )
 
 

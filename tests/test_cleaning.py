@@ -37,15 +37,10 @@ def test_date_does_not_depend_on_the_session_zone(spark):
             [("2018-11-04 00:30:00", "2018-11-05 00:30:00")],
             "order_purchase_timestamp string, order_delivered_customer_date string",
         )
-        row = (
-            cleaning.clean_orders(orders)
-            .select(
-                F.date_format("order_purchase_timestamp", "yyyy-MM").alias("m"),
-                days_between("order_delivered_customer_date", "order_purchase_timestamp").alias("d"),
-            )
-            .first()
-        )
-        assert (row["m"], row["d"]) == ("2018-11", 1.0)
+        clean = cleaning.date_features(cleaning.clean_orders(orders))
+        days = days_between("order_delivered_customer_date", "order_purchase_timestamp")
+        row = clean.select("order_purchase_timestamp", "year_month", "day_of_week", days.alias("d")).first()
+        assert tuple(row) == (dt.datetime(2018, 11, 4, 0, 30), "2018-11", "Sunday", 1.0)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
 
