@@ -35,6 +35,14 @@ from storelens.plans.mart import FIXED_CENTRES, Mart  # noqa: E402
 from storelens.session import shared_dir  # noqa: E402
 from storelens.sources import surrogate, tables  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline
+    from storelens.llm import queries as llm
+except ModuleNotFoundError as absent:
+    if absent.name not in ("corpus_pipeline", "storelens.llm"):
+        raise
+    corpus_pipeline = llm = None
+
 MIN_PURCHASES = 30
 LOOKUP_ID = "Customer#000000007"
 SINCE = "2000-01"
@@ -355,6 +363,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             surrogate.questions(spark, sf_dir)
         ),
     }
+    if llm:
+        out |= llm.queries()
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
@@ -364,4 +375,9 @@ def churn_bands_of(m: Mart) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL per query, written against the given tables only."""
-    return oracles.all_sql()
+    sql = oracles.all_sql()
+    if llm:
+        sql |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
