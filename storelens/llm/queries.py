@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import mixing, simhash, token_counts
+from storelens.llm import archives, mixing, simhash, token_counts
 from storelens.llm.common import table
+from storelens.session import shared_dir
 
 TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -18,6 +20,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
 
+def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = f"{shared_dir(spark).rstrip('/')}/storelens/archives-{uuid.uuid4().hex}"
+    archives.write_arc(table(spark, sf_dir, "pages"), f"{base}/arc")
+    archives.convert(spark, f"{base}/arc", f"{base}/warc", least_bytes=0)
+    return archives.page_records(archives.read_warc(spark, f"{base}/warc", with_payload=False))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -30,6 +39,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": op3_token_counts,
+        "op7_archives": op7_archives,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
     }
