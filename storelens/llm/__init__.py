@@ -2,8 +2,8 @@
 
 from pyspark import cloudpickle
 
-from storelens.llm import archives, common, mixing, queries, simhash, token_counts
+from storelens.llm import ann, archives, common, mixing, queries, simhash, token_counts
 
-for _module in (archives, common, mixing, queries, simhash, token_counts):
+for _module in (ann, archives, common, mixing, queries, simhash, token_counts):
     # functions that run in workers travel with the job, so executors need no copy of this package
     cloudpickle.register_pickle_by_value(_module)

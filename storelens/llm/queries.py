@@ -9,13 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import archives, mixing, simhash, token_counts
+from storelens.llm import ann, archives, mixing, simhash, token_counts
 from storelens.llm.common import table
 from storelens.session import shared_dir
 
 TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
@@ -38,6 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_nearest": op2_nearest,
         "op3_token_counts": op3_token_counts,
         "op7_archives": op7_archives,
         "op8_simhash": op8_simhash,
@@ -46,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_nearest": ann.NEAREST_SQL}
