@@ -180,7 +180,8 @@ def nearest(
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-#: The same search in DuckDB, over all pairs.
+#: The same search in DuckDB, over all pairs. list_distance adds in an order of its own, so the
+#: distances of each query's first 20 are added up again in the order of the components.
 NEAREST_SQL = """
 WITH v AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -188,10 +189,14 @@ WITH v AS (
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
       AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, min(list_distance(q.e, c.e)) AS score
-    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
-    GROUP BY ALL)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs)
-WHERE rank <= 10
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, q.e AS a, c.e AS b, list_distance(q.e, c.e) AS d
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+first AS (
+    SELECT query_id, vec_id, sqrt(list_reduce(
+        list_transform(range(1, len(a) + 1), lambda i: (a[i] - b[i]) * (a[i] - b[i])),
+        lambda x, y: x + y)) AS score
+    FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 20)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM first QUALIFY rank <= 10
 """
