@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import ann, archives, mixing, simhash, token_counts
+from storelens.llm import ann, archives, mixing, simhash, substring_dedup, token_counts
 from storelens.llm.common import table
 from storelens.session import shared_dir
 
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark).rstrip('/')}/storelens/archives-{uuid.uuid4().hex}"
     archives.write_arc(table(spark, sf_dir, "pages"), f"{base}/arc")
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_nearest": op2_nearest,
         "op3_token_counts": op3_token_counts,
+        "op4_substring_dedup": op4_substring_dedup,
         "op7_archives": op7_archives,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
@@ -51,4 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_nearest": ann.NEAREST_SQL}
+    return {
+        "op2_nearest": ann.NEAREST_SQL,
+        "op4_substring_dedup": substring_dedup.REPEATS_SQL,
+    }
