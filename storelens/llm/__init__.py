@@ -2,8 +2,21 @@
 
 from pyspark import cloudpickle
 
-from storelens.llm import ann, archives, common, mixing, queries, simhash, substring_dedup, token_counts
+from storelens.llm import (
+    ann,
+    archives,
+    common,
+    mixing,
+    queries,
+    samples,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
-for _module in (ann, archives, common, mixing, queries, simhash, substring_dedup, token_counts):
+for _module in (
+    ann, archives, common, mixing, queries, samples, simhash, substring_dedup, token_counts, toxicity,
+):
     # functions that run in workers travel with the job, so executors need no copy of this package
     cloudpickle.register_pickle_by_value(_module)

@@ -9,13 +9,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import ann, archives, mixing, simhash, substring_dedup, token_counts
-from storelens.llm.common import table
+from storelens.llm import ann, archives, mixing, simhash, substring_dedup, token_counts, toxicity
+from storelens.llm.common import crc_rest, table
 from storelens.session import shared_dir
 
 TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, crc_rest("_id", 3) != 1)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (crc_rest("doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -46,6 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_nearest": op2_nearest,
         "op3_token_counts": op3_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
