@@ -3,7 +3,8 @@
 A token's score is its log-odds between toxic and other labelled documents, both smoothed by a Dirichlet
 prior: the token's share of all documents times PRIOR tokens. A word counts once a document, so a
 document that repeats itself teaches no more than another. Rare word forms back off to their prefixes; a positive
-score that is not LEAST_Z standard deviations above 0 counts as 0. DRIFT is taken off every score, so
+score whose likelihood ratio statistic is below LEAST_RATIO (about one in ten million by chance) counts
+as 0. DRIFT is taken off every score, so
 unremarkable text has a negative sum and a passage stands out as a segment whose sum is large. From the
 third occurrence of a word in a document on, it scores no more than unremarkable text.
 
@@ -34,7 +35,8 @@ PER_CLASS = 10_000  # labelled documents of each label to learn from, at most
 FEATURES = 100_000  # words and prefixes with a score, at most: the most frequent in the sample
 PREFIXES = (6, 5, 4)
 LEAST_SEEN = 8  # sample occurrences below which a word backs off to its prefixes
-PRIOR, DRIFT, ALPHA, LEAST_Z, OCCURRENCES = 2_000.0, 0.25, 0.05, 3.0, 2
+PRIOR, DRIFT, ALPHA, LEAST_RATIO, OCCURRENCES = 2_000.0, 0.25, 0.05, 28.0, 2
+SHARE = 0.15  # of toxic documents that the scores assume
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”’‘…–—"
 
 
@@ -105,10 +107,11 @@ def background(docs: DataFrame, vocabulary: list[str], text_col: str) -> tuple[d
 
 def log_odds(y: tuple[int, int], n: tuple[int, int], share: float) -> float:
     """Of a token seen y times in n tokens, toxic and other, with PRIOR * share more in either."""
-    a = [(y[i] + PRIOR * share) / (n[i] + PRIOR) for i in (0, 1)]
+    a = [(y[i] + PRIOR * share + 0.1) / (n[i] + PRIOR + 0.1) for i in (0, 1)]
     odds = math.log(a[0] / (1 - a[0])) - math.log(a[1] / (1 - a[1]))
-    deviation = math.sqrt(sum(1 / (y[i] + PRIOR * share) for i in (0, 1)))
-    return odds if odds < 0 or odds > LEAST_Z * deviation else 0.0
+    expected = [sum(y) * n[i] / sum(n) for i in (0, 1)]
+    ratio = 2 * sum(y[i] * math.log(y[i] / expected[i]) for i in (0, 1) if y[i])
+    return odds if odds < 0 or ratio >= LEAST_RATIO else 0.0
 
 
 class Scorer:
@@ -186,8 +189,8 @@ def evidence(found: list[tuple[int, int, float]], n: int, lam: float, log_k: flo
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, the classes weighing the same; slightly penalised."""
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    """Slope and offset of the logistic curve, label 1 weighing SHARE of all; slightly penalised."""
+    weight = np.where(y == 1, SHARE / max(1, (y == 1).sum()), (1 - SHARE) / max(1, (y == 0).sum()))
     design = np.stack([x, np.ones_like(x)], axis=1)
     beta = np.zeros(2)
     for _ in range(rounds):
