@@ -9,7 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import ann, archives, mixing, simhash, substring_dedup, token_counts, toxicity
+from storelens.llm import (
+    ann,
+    archives,
+    mixing,
+    quality_fm,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from storelens.llm.common import crc_rest, table
 from storelens.session import shared_dir
 
@@ -38,6 +47,15 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_fm.fit(docs, labels, crc_rest("_id", 4) != 2)
+    return quality_fm.score_documents(docs, model).select(
+        "doc_id", (crc_rest("doc_id", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark).rstrip('/')}/storelens/archives-{uuid.uuid4().hex}"
     archives.write_arc(table(spark, sf_dir, "pages"), f"{base}/arc")
@@ -60,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nearest": op2_nearest,
         "op3_token_counts": op3_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_quality": op5_quality,
         "op7_archives": op7_archives,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
