@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.functions.skew import left_join
 from storelens.llm.common import chunks, map_batches, texts
 from storelens.session import materialize
 
@@ -448,6 +449,6 @@ def near_duplicates(
     else:
         classes = classes.withColumn("component", F.col("first"))
     classes = classes.select("fingerprint", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(classes, "fingerprint").select(
+    return left_join(prints, classes, "fingerprint", "inner").select(
         F.col("doc_id").alias(id_col), "fingerprint", "component_id"
     )
