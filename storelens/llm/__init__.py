@@ -6,6 +6,7 @@ from storelens.llm import (
     ann,
     archives,
     common,
+    decontamination,
     mixing,
     quality_fm,
     queries,
@@ -17,7 +18,7 @@ from storelens.llm import (
 )
 
 for _module in (
-    ann, archives, common, mixing, quality_fm, queries, samples, simhash, substring_dedup, token_counts, toxicity,
+    ann, archives, common, decontamination, mixing, quality_fm, queries, samples, simhash, substring_dedup, token_counts, toxicity,
 ):
     # functions that run in workers travel with the job, so executors need no copy of this package
     cloudpickle.register_pickle_by_value(_module)

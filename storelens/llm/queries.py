@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from storelens.llm import (
     ann,
     archives,
+    decontamination,
     mixing,
     quality_fm,
     simhash,
@@ -56,6 +57,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_overlaps(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark).rstrip('/')}/storelens/archives-{uuid.uuid4().hex}"
     archives.write_arc(table(spark, sf_dir, "pages"), f"{base}/arc")
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_quality": op5_quality,
+        "op6_decontamination": op6_decontamination,
         "op7_archives": op7_archives,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
