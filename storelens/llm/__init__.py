@@ -7,6 +7,8 @@ from storelens.llm import (
     archives,
     common,
     decontamination,
+    license_templates,
+    licenses,
     mixing,
     quality_fm,
     queries,
@@ -18,7 +20,8 @@ from storelens.llm import (
 )
 
 for _module in (
-    ann, archives, common, decontamination, mixing, quality_fm, queries, samples, simhash, substring_dedup, token_counts, toxicity,
+    ann, archives, common, decontamination, license_templates, licenses, mixing, quality_fm, queries,
+    samples, simhash, substring_dedup, token_counts, toxicity,
 ):
     # functions that run in workers travel with the job, so executors need no copy of this package
     cloudpickle.register_pickle_by_value(_module)

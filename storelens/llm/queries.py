@@ -13,6 +13,7 @@ from storelens.llm import (
     ann,
     archives,
     decontamination,
+    licenses,
     mixing,
     quality_fm,
     simhash,
@@ -74,6 +75,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_archives": op7_archives,
         "op8_simhash": op8_simhash,
+        "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
     }
 
