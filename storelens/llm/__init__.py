@@ -10,6 +10,7 @@ from storelens.llm import (
     license_templates,
     licenses,
     mixing,
+    near_copies,
     quality_fm,
     queries,
     samples,
@@ -20,7 +21,7 @@ from storelens.llm import (
 )
 
 for _module in (
-    ann, archives, common, decontamination, license_templates, licenses, mixing, quality_fm, queries,
+    ann, archives, common, decontamination, license_templates, licenses, mixing, near_copies, quality_fm, queries,
     samples, simhash, substring_dedup, token_counts, toxicity,
 ):
     # functions that run in workers travel with the job, so executors need no copy of this package

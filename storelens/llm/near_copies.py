@@ -1,0 +1,181 @@
+"""One document of each group of near copies: SimHash candidates, verified on shingles.
+
+Documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Two SimHash fingerprints of each text give the candidates by the pigeonhole search of
+`simhash`: texts within MAX_BITS in either fingerprint and JOINT_BITS in both together. The
+components of these links are small, so all pairs inside one are then compared on their shingle
+sets, but for pairs already joined through others; large components are compared block by
+block. Equal texts are one class throughout.
+
+Texts at similarity 0.8 mostly differ in 7 bits and seldom in more than 10; that one of the two
+fingerprints finds a pair, or that a third copy leads to it, is what makes the search near complete.
+It is a search by fingerprints all the same: a pair that both of them miss stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from storelens.functions.skew import is_small, left_join
+from storelens.llm import simhash
+from storelens.llm.common import chunks, map_batches, texts
+from storelens.session import materialize
+
+WORDS, SIMILARITY = 5, 0.8
+PRINT_WORDS, MAX_BITS, JOINT_BITS = 3, 10, 22
+GROUP = 500  # documents compared in one task at a time, twice as many for pairs of blocks
+NO_ID = -(2**63)  # stands for a null id, before all others
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with _key (the id, NO_ID for null) and _node (the hash of the text)."""
+    return docs.withColumn("_key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))).withColumn(
+        "_node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def candidates(classes: DataFrame, n: int, max_bits: int, joint_bits: int) -> DataFrame:
+    """Linked nodes (a, b) of classes (node, fingerprint, fingerprint1)."""
+    found = None
+    for first, second in (("fingerprint", "fingerprint1"), ("fingerprint1", "fingerprint")):
+        prints = classes.select(
+            F.col(first).alias("fingerprint"), F.col(second).alias("fingerprint1"), "node")
+        parts = simhash.plan(prints.select("fingerprint"), n, max_bits)
+        rows = simhash.keyed(prints, parts, ", fingerprint1 long, node long")
+        pairs = simhash.links(simhash.in_blocks(rows, "node"), [max_bits, joint_bits])
+        found = pairs if found is None else found.union(pairs)
+    return found.distinct()
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first set it is joined with, over any number of similar pairs."""
+    label = np.arange(len(sets))
+    for i in range(1, len(sets)):
+        for j in range(i):
+            if label[i] == label[j]:
+                continue
+            a, b = len(sets[i]), len(sets[j])
+            if min(a, b) < similarity * max(a, b):
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if a + b == 0 or shared >= similarity * (a + b - shared) - 1e-9:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    return label
+
+
+def verified(shingled: DataFrame, similarity: float) -> DataFrame:
+    """Joined nodes (a, b) of rows (key, node, shingles): all pairs inside a key are compared."""
+
+    def compare(_, rows):
+        node = rows.column("node").to_numpy()
+        order = np.argsort(node)
+        node = node[order]
+        packed = rows.column("shingles").to_pylist()
+        label = similar([np.frombuffer(packed[i], np.uint64) for i in order], similarity)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"a": node[label[moved]], "b": node[moved]})
+
+    buckets = simhash.in_blocks(shingled, "node", GROUP)
+    return buckets.groupBy("bucket").applyInArrow(compare, "a long, b long")
+
+
+def _shingled(docs: DataFrame, words: int) -> DataFrame:
+    """key, node, shingles (sorted distinct hashes) of rows (key, node, text)."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column(2)
+        for a, b in chunks([len(t) if t else 0 for t in column.to_pylist()]):
+            sets = [np.unique(simhash.shingle_hashes(t.lower(), words)).tobytes()
+                    for t in texts(column.slice(a, b - a))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a),
+                 pa.array(sets, pa.binary())], ["key", "node", "shingles"])
+
+    return map_batches(docs, run, "key long, node long, shingles binary")
+
+
+def groups(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    max_bits: int = MAX_BITS,
+    joint_bits: int = JOINT_BITS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """_key, _node, and first_key, first_node (the group's first document) of every row of docs.
+
+    The first document is that of the smallest id; null ids come before all others.
+    """
+    known = _identified(docs.select(id_col, text_col), id_col, text_col)
+    prints = materialize(
+        simhash.fingerprints(
+            known.select(F.struct("_key", "_node").alias("at"), F.col(text_col).alias("text")),
+            PRINT_WORDS, 2, "at", "text",
+        ).select("doc_id._key", "doc_id._node", "fingerprint", "fingerprint1"), "copies-prints",
+    )
+    classes = materialize(
+        prints.groupBy("_node").agg(
+            F.min("_key").alias("first"), F.first("fingerprint").alias("fingerprint"),
+            F.first("fingerprint1").alias("fingerprint1"),
+        ).withColumnRenamed("_node", "node"), "copies-classes",
+    )
+    n = classes.count()
+    if n < 2:
+        joined = classes.select("node", F.col("node").alias("root"))
+    else:
+        near = materialize(
+            simhash.components(candidates(classes, n, max_bits, joint_bits), "copies-near"),
+            "copies-components")
+        wanted = near.join(classes, "node").select(
+            F.struct(F.col("first").alias("_key"), F.col("node").alias("_node")).alias("_at"),
+            F.col("root").alias("key"))
+        rows = known.select(
+            F.struct("_key", "_node").alias("_at"), F.col(text_col).cast("string").alias("_text"))
+        # repeated rows bring the same set twice
+        shingled = _shingled(
+            left_join(rows, wanted, "_at", "inner").select(
+                "key", F.col("_at._node").alias("node"), F.col("_text").alias("text")), words,
+        ).dropDuplicates(["node"])
+        joined = materialize(
+            simhash.components(
+                verified(materialize(shingled, "copies-shingles"), similarity), "copies-stars"),
+            "copies-joined")
+    rooted = classes.join(joined, "node", "left").select(
+        "node", "first", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(
+        F.min(F.struct(F.col("first").alias("key"), "node")).alias("first"))
+    placed = rooted.select("node", "root").join(first, "root").select(
+        F.col("node").alias("_node"), F.col("first.key").alias("first_key"),
+        F.col("first.node").alias("first_node"))
+    return left_join(prints.select("_key", "_node"), placed, "_node", "inner")
+
+
+def without_copies(
+    docs: DataFrame,
+    words: int = WORDS,
+    similarity: float = SIMILARITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs, all columns, that are the first of their group of near copies.
+
+    One row of each group stays: of the smallest id (null before all others), and one of rows that are
+    equal in id and text. Null texts count as empty; texts without words are copies of each other, texts
+    of fewer than five words of equal ones only. Empty table: no rows.
+    """
+    grouped = materialize(groups(docs, words, similarity, id_col=id_col, text_col=text_col), "copies")
+    out = grouped.where("_key != first_key OR _node != first_node").select("_key", "_node").distinct()
+    identified = _identified(docs, id_col, text_col)
+    at = ["_key", "_node"]
+    small = is_small(out)
+    kept = identified.join(F.broadcast(out) if small else out, at, "left_anti")
+    repeated = grouped.groupBy(at).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates(at)
+    return kept.select(docs.columns)

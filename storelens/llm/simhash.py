@@ -257,15 +257,18 @@ def keyed(prints: DataFrame, parts: list[tuple[list[int], int]], carried: str =
     return map_batches(prints, run, f"key long, probe byte, fingerprint long{carried}")
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """rows with `bucket`: the key, or for keys above BLOCK rows one bucket for each pair of blocks."""
+def in_blocks(rows: DataFrame, member: str = "fingerprint", most: int = BLOCK) -> DataFrame:
+    """rows with `bucket`: the key, or for keys above `most` rows one bucket for each pair of blocks.
+
+    `member` is what the blocks are dealt by: any two members of a key meet in some bucket.
+    """
     large = materialize(
-        rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > BLOCK)
-        .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "simhash-large",
+        rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > most)
+        .select("key", F.ceil(F.col("rows") / most).cast("int").alias("blocks")), "simhash-large",
     )
     if large.isEmpty():
         return rows.withColumn("bucket", F.col("key")).drop("key")
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1)))
                       .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return (
