@@ -1,30 +1,72 @@
-"""The corpus pipeline: documents in, a mixed training set out, one operator a stage."""
+"""The corpus pipeline: documents in, a mixed training set out, one operator a stage.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of
+documents; the last returns what the mix takes of each document.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelens.llm import mixing
+from storelens.llm import decontamination, mixing, near_copies, quality_fm, substring_dedup
+from storelens.llm.common import crc_rest, table
 from storelens.session import shared_dir
 
+KEEP_FROM = 0.7  # quality score from which a document stays
+
+
+def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores at KEEP_FROM or more."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality_fm.fit(docs, labels, crc_rest("_id", 4) != 2)
+    scored = quality_fm.score_documents(docs, model, keep=docs.columns)
+    return scored.where(F.col("score") >= KEEP_FROM).select(docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8, found by SimHash."""
+    return near_copies.without_copies(docs)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the windows of 20 words that start earlier elsewhere; texts left empty go."""
+    stripped = substring_dedup.without_repeats(docs, keep=docs.columns)
+    changed = F.col("n_removed") > 0
+    n_chars = F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
+    return (
+        stripped.where(~changed | (F.col("kept") != ""))
+        .withColumns({"n_chars": n_chars, "text": F.col("kept")}).select(docs.columns)
+    )
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document."""
     return mixing.mix_sources(docs)
 
 
 STAGES = [
+    ("quality classifier", of_quality),
+    ("SimHash near-dedup", without_near_copies),
+    ("substring dedup", without_passages),
+    ("benchmark decontamination", without_benchmark),
     ("mixing sources to target weights", mixed),
 ]
 
-#: The stages draw, train and hash; DuckDB cannot state them. Each is tested against brute force.
+#: The stages train, draw and search by fingerprints; SQL cannot state them. Tests hold each against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each writes Parquet to the shared folder for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/storelens/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         path = f"{base}/{number}"
