@@ -32,10 +32,11 @@ GROUP = 500  # documents compared in one task at a time, twice as many for pairs
 NO_ID = -(2**63)  # stands for a null id, before all others
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _key (the id, NO_ID for null) and _node (the hash of the text)."""
-    return docs.withColumn("_key", F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))).withColumn(
-        "_node", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+def _place(id_col: str, text_col: str) -> list:
+    """_key (the id, NO_ID for null) and _node (the hash of the text)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return [F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_key"),
+            F.xxhash64(text).alias("_node")]
 
 
 def candidates(classes: DataFrame, n: int, max_bits: int, joint_bits: int) -> DataFrame:
@@ -112,10 +113,10 @@ def groups(
 
     The first document is that of the smallest id; null ids come before all others.
     """
-    known = _identified(docs.select(id_col, text_col), id_col, text_col)
+    known = docs.select(*_place(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
     prints = materialize(
         simhash.fingerprints(
-            known.select(F.struct("_key", "_node").alias("at"), F.col(text_col).alias("text")),
+            known.select(F.struct("_key", "_node").alias("at"), F.col("_text").alias("text")),
             PRINT_WORDS, 2, "at", "text",
         ).select("doc_id._key", "doc_id._node", "fingerprint", "fingerprint1"), "copies-prints",
     )
@@ -135,8 +136,7 @@ def groups(
         wanted = near.join(classes, "node").select(
             F.struct(F.col("first").alias("_key"), F.col("node").alias("_node")).alias("_at"),
             F.col("root").alias("key"))
-        rows = known.select(
-            F.struct("_key", "_node").alias("_at"), F.col(text_col).cast("string").alias("_text"))
+        rows = known.select(F.struct("_key", "_node").alias("_at"), "_text")
         # repeated rows bring the same set twice
         shingled = _shingled(
             left_join(rows, wanted, "_at", "inner").select(
@@ -171,11 +171,12 @@ def without_copies(
     """
     grouped = materialize(groups(docs, words, similarity, id_col=id_col, text_col=text_col), "copies")
     out = grouped.where("_key != first_key OR _node != first_node").select("_key", "_node").distinct()
-    identified = _identified(docs, id_col, text_col)
+    identified = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_place(id_col, text_col))
     at = ["_key", "_node"]
     small = is_small(out)
     kept = identified.join(F.broadcast(out) if small else out, at, "left_anti")
     repeated = grouped.groupBy(at).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(at)
-    return kept.select(docs.columns)
+    return kept.select("_row.*")

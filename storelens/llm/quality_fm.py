@@ -183,20 +183,13 @@ def fit(
     return np.frombuffer(model[0]["model"], np.float32).copy() if model and model[0]["model"] else None
 
 
-def score_documents(
-    docs: DataFrame,
-    model: np.ndarray | None,
-    keep: list[str] | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """The `keep` columns of docs (default: the id) and score, 0 to 1, higher for quality.
+def scored_rows(docs: DataFrame, model: np.ndarray | None, text_col: str = "text") -> DataFrame:
+    """_row (a struct of all columns of docs) and score, 0 to 1, higher for quality.
 
     A narrow map: one row out for each row in, repeated rows and null ids included. A null text is scored
-    as an empty one, which has structure but no words; a null or absent n_chars has a feature of its own
-    left out. Without a model every score is 0.5. Other columns are ignored, whatever their names.
+    as an empty one, which has structure but no words; of a null or absent n_chars nothing is known, so its
+    feature is left out. Without a model every score is 0.5. Empty table: no rows.
     """
-    keep = [id_col] if keep is None else keep
 
     def run(batches):
         make = Features()
@@ -212,7 +205,16 @@ def score_documents(
             found = np.concatenate(scores) if scores else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["_row", "score"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), *_inputs(docs, text_col))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_inputs(docs, text_col))
     kind = rows.schema["_row"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_row {kind}, score double")
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in keep if c != "score"], "score")
+    return rows.mapInArrow(run, f"_row {kind}, score double")
+
+
+def score_documents(
+    docs: DataFrame, model: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id and score of every row of docs, as scored_rows has it; other columns are ignored."""
+    narrow = docs.select(*dict.fromkeys(
+        [id_col, text_col, *(["n_chars"] if "n_chars" in docs.columns else [])]))
+    return scored_rows(narrow, model, text_col).select(F.col("_row").getField(id_col).alias(id_col), "score")

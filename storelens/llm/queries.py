@@ -46,7 +46,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,28 +312,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def without_repeats(
-    docs: DataFrame,
-    keep: list[str] | None = None,
-    with_text: bool = True,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+def stripped_rows(
+    docs: DataFrame, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The `keep` columns of docs with n_words, n_removed, kept_sha256 and, if asked for, kept.
+    """_row (a struct of all columns of docs), n_words, n_removed, kept_sha256 and kept of every row.
 
     Every word covered by a window of 20 words that also starts earlier (in a document of a smaller id, or
     further ahead in the same one) is removed; windows are judged on the input. kept is
-    the text itself where nothing was removed, else the kept words joined by one space; kept_sha256 is
-    always that of the joined words. Null text: no words. A null id comes before all others. Rows of one id
-    stand at the same place, so none removes words of another. Fewer than 20
-    words: nothing is removed. Empty table: no rows. `keep` (default: the id) may hold any columns;
-    others are ignored, whatever their names.
+    the text itself where nothing was removed, else the kept words joined by one space (null unless
+    with_text); kept_sha256 is always that of the joined words. Null text: no words, and kept is null. A null id
+    comes before all others. Rows of one id stand at the same place, so none removes words of another. Fewer
+    than 20 words: nothing is removed. Empty table: no rows.
     """
-    keep = [id_col] if keep is None else keep
     spans = removals(docs, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_key"),
         F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_tag"),
         F.col(text_col).cast("string").alias("_text"),
@@ -364,11 +358,15 @@ def without_repeats(
             ["_row", "n_words", "n_removed", "kept_sha256", "kept"])
 
     kind = joined.schema["_row"].dataType.simpleString()
-    out = map_batches(
+    return map_batches(
         joined, strip, f"_row {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    fresh = ["n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
-    return out.select(
-        *[F.col("_row").getField(c).alias(c) for c in keep if c not in fresh], *fresh)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, n_removed, kept_sha256 of every row, as stripped_rows has it; other columns are ignored."""
+    narrow = docs.select(*dict.fromkeys([id_col, text_col]))
+    return stripped_rows(narrow, False, id_col, text_col).select(
+        F.col("_row").getField(id_col).alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 #: The same in DuckDB, over every window of every document.
