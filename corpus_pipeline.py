@@ -22,8 +22,7 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores at KEEP_FROM or more."""
     labels = table(spark, sf_dir, "labels")
     model = quality_fm.fit(docs, labels, crc_rest("_id", 4) != 2)
-    scored = quality_fm.score_documents(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") >= KEEP_FROM).select(docs.columns)
+    return quality_fm.scored_rows(docs, model).where(F.col("score") >= KEEP_FROM).select("_row.*")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +32,15 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 20 words that start earlier elsewhere; texts left empty go."""
-    stripped = substring_dedup.without_repeats(docs, keep=docs.columns)
     changed = F.col("n_removed") > 0
-    n_chars = F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars"))
+    fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return (
-        stripped.where(~changed | (F.col("kept") != ""))
-        .withColumns({"n_chars": n_chars, "text": F.col("kept")}).select(docs.columns)
+        substring_dedup.stripped_rows(docs).where(~changed | (F.col("kept") != ""))
+        .select(*[
+            F.when(changed, fresh[c]).otherwise(F.col("_row").getField(c)).alias(c)
+            if c in fresh else F.col("_row").getField(c).alias(c)
+            for c in docs.columns
+        ])
     )
 
 
