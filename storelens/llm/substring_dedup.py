@@ -174,8 +174,8 @@ class Packer:
         send, again = np.array(send, np.int64), np.array(again, np.int64)
         order = np.argsort(bucket[send], kind="stable")
         send = send[order]
-        cuts = np.flatnonzero(np.r_[True, np.diff(bucket[send]) != 0, True])
-        for a, b in zip(cuts[:-1], cuts[1:]):
+        cuts = [0, *(np.flatnonzero(np.diff(bucket[send])) + 1).tolist(), len(send)]
+        for a, b in zip(cuts, cuts[1:] if len(send) else []):
             rows = send[a:b]
             text = b"\n".join([strings[i] for i in order[a:b]])
             yield (int(bucket[rows[0]]), self.press.compress(text),
