@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.common import Learned, texts
-from storelens.llm.simhash import mixed
 
 # Span 12, weight 8: each leaves out other positions.
 MASKS = ("111010011011", "110111000111", "101100111011")
@@ -35,7 +34,8 @@ _MULTIPLIERS = [pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)]
 
 def token(word: bytes) -> int:
     """The hash of a word without case and outer punctuation; 0 if nothing is left."""
-    plain = word.decode("utf-8", "replace").lower().encode().strip(_EDGE)
+    low = word.lower() if word.isascii() else word.decode("utf-8", "replace").lower().encode()
+    plain = low.strip(_EDGE)
     return xxhash.xxh64_intdigest(plain) or 1 if plain else 0
 
 
@@ -55,8 +55,8 @@ def spaced(hashes: np.ndarray, mask: str) -> np.ndarray:
     total = np.full(n, len(mask), np.uint64)
     with np.errstate(over="ignore"):
         for k in (k for k, c in enumerate(mask) if c == "1"):
-            total += mixed(hashes[k:k + n], 1) * np.uint64(_MULTIPLIERS[k])
-    return mixed(total, 1)
+            total += hashes[k:k + n] * np.uint64(_MULTIPLIERS[k])
+    return total
 
 
 def masks_for(n: int) -> list[str]:
@@ -84,14 +84,14 @@ class Index:
             seeds, number, at = (np.concatenate(p) for p in zip(*parts))
             order = np.argsort(seeds, kind="stable")
             maybe = np.zeros(1 << 20, bool)
-            maybe[(seeds & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            maybe[(seeds >> np.uint64(44)).astype(np.int64)] = True
             self.masks[mask] = seeds[order], number[order], at[order], maybe
 
     def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(position, item, position in the item) of every seed met, over all masks."""
         for mask, (seeds, number, at, maybe) in self.masks.items():
             found = spaced(hashes, mask)
-            places = np.flatnonzero(maybe[(found & np.uint64(0xFFFFF)).astype(np.int64)])
+            places = np.flatnonzero(maybe[(found >> np.uint64(44)).astype(np.int64)])
             low = np.searchsorted(seeds, found[places], "left")
             high = np.searchsorted(seeds, found[places], "right")
             for place, a, b in zip(
