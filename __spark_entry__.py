@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,17 +24,20 @@ from storelens.operators import (  # noqa: E402
     cleaning,
     eda,
     evaluate,
+    model_checks,
     quality,
     questions,
     recommend,
+    rfm,
     sales,
     segments,
     star,
 )
-from storelens.plans import experiments, sqlpack  # noqa: E402
+from storelens.plans import business_questions, experiments, sqlpack  # noqa: E402
 from storelens.plans.mart import FIXED_CENTRES, Mart  # noqa: E402
-from storelens.session import shared_dir  # noqa: E402
+from storelens.session import materialize, scratch  # noqa: E402
 from storelens.sources import surrogate, tables  # noqa: E402
+from storelens.sources.csv import load_raw  # noqa: E402
 
 try:  # the training-data operators are an optional part
     import corpus_pipeline
@@ -46,7 +50,6 @@ except ModuleNotFoundError as absent:
 MIN_PURCHASES = 30
 LOOKUP_ID = "Customer#000000007"
 SINCE = "2000-01"
-MODEL_SETTINGS = {"max_iter": 50, "trees": 20, "tree_depth": 8, "rounds": 20, "round_depth": 5}
 
 _marts: dict[tuple[str, str], Mart] = {}
 
@@ -128,37 +131,92 @@ def _segment_rows(m: Mart) -> DataFrame:
     return _double(m.customer_segments, "monetary")
 
 
-def _train(m: Mart, name: str) -> DataFrame:
-    """Test metrics of one model on the customer features."""
-    split = churn.stratified_split(m.churn_features)
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-    model = {
-        "lr": lambda: churn.train_lr(train, max_iter=50),
-        "rf": lambda: churn.train_rf(train, trees=20, depth=8),
-        "gbt": lambda: churn.train_gbt(train, iters=20, depth=5),
-    }[name]()
-    predicted = churn.predict(model, test)
-    return evaluate.all_metrics(
-        evaluate.scored(predicted, "churn", "churn_probability", "churn_prediction")
-    )
-
-
-def _customer_churn(m: Mart) -> DataFrame:
-    return churn.score_customers(churn.train_lr(m.churn_features, max_iter=50), m.churn_features)
+def _tested(m: Mart, model: str) -> DataFrame:
+    """Test metrics of one of the fitted models."""
+    return evaluate.all_metrics(m.trained.tested[model])
 
 
 def _feature_importance(m: Mart) -> DataFrame:
-    return churn.feature_importance(churn.train_rf(m.churn_features, trees=20, depth=8))
-
-
-def _run_log(spark: SparkSession, m: Mart) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/storelens/runs-{os.urandom(8).hex()}"
-    experiments.tracked_experiment(m.customer_segments, path, **MODEL_SETTINGS)
-    return tables.read_runs(spark, path)
-
-
-def _model_comparison(m: Mart) -> DataFrame:
-    return experiments.train_models(m.churn_features, **MODEL_SETTINGS).comparison()
+    return churn.feature_importance(m.trained.models["RandomForest"])
+
+
+def _gappy_fact(m: Mart) -> DataFrame:
+    """The fact table with the amounts and the dates of some customers missing."""
+    n = F.substring("customer_unique_id", 10, 20).cast("bigint")
+    return m.fact_sales.withColumns({
+        "total_amount": F.when(n % 11 != 0, F.col("total_amount")),
+        "order_purchase_timestamp": F.when(n % 13 != 0, F.col("order_purchase_timestamp")),
+    })
+
+
+def _rfm_gaps(m: Mart) -> DataFrame:
+    return _double(rfm.rfm_scores(materialize(rfm.rfm(_gappy_fact(m)), "rfm-gaps")), "monetary")
+
+
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each raw table written as CSV parts and loaded again: rows, and whether they are the same."""
+    folder = scratch(spark, "csv")
+    raw = surrogate.raw_tables(spark, sf_dir)
+    for name, df in raw.items():
+        df.repartition(3).write.option("header", True).option("escape", '"').csv(f"{folder}/{name}.csv")
+    loaded = load_raw(spark, folder)
+    rows = []
+    for name, df in raw.items():
+        back = loaded[name].select(*[F.col(c).cast(t).alias(c) for c, t in df.dtypes])
+        lost = df.exceptAll(back).agg(F.count(F.lit(1))).scalar()
+        added = back.exceptAll(df).agg(F.count(F.lit(1))).scalar()
+        rows.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows", (lost + added == 0).alias("same")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _save_load(spark: SparkSession, m: Mart) -> DataFrame:
+    """The warehouse stored and read back: rows of each table, and whether they are the same."""
+    folder = scratch(spark, "stored")
+    tables.save_tables(m.warehouse, folder)
+    loaded = tables.load_all(spark, folder)
+    rows = []
+    for name, df in m.warehouse.items():
+        lost = df.exceptAll(loaded[name]).agg(F.count(F.lit(1))).scalar()
+        rows.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows", (lost == 0).alias("same")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _model_reload(spark: SparkSession, m: Mart) -> DataFrame:
+    """Customers, and whether the best model scores them alike after saving and loading."""
+    path, best = scratch(spark, "model"), m.trained.best()
+    tables.save_model(m.trained.models[best], path)
+    again = churn.score_customers(tables.load_model(path), m.churn_features)
+    pair = m.customer_churn.select("customer_unique_id", "churn_probability").join(
+        again.select("customer_unique_id", F.col("churn_probability").alias("again")),
+        "customer_unique_id")
+    return pair.agg(
+        F.count(F.lit(1)).alias("n_customers"),
+        (F.max(F.abs(F.col("churn_probability") - F.col("again"))) < 1e-12).alias("same"))
+
+
+def _question_pack(spark: SparkSession, m: Mart) -> DataFrame:
+    """Every question of the pack with its number of rows; the broken one has none and stops nothing."""
+    tables.register({f"storelens_{n}": df for n, df in (
+        ("fact_sales", m.fact_sales), ("orders", m.orders), ("payments", m.payments),
+        ("reviews", m.reviews), ("customer_segments", m.customer_segments))})
+    pack = business_questions.PACK | {"broken": "SELECT no_such_column FROM storelens_orders"}
+    found = sqlpack.run_pack(spark, pack)
+    ran = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(name).alias("question"), "n_rows", F.lit(True).alias("ran"))
+        for name, df in found.items() if isinstance(df, DataFrame)]
+    failed = [(name, 0, False) for name, df in found.items() if isinstance(df, str)]
+    return reduce(DataFrame.unionByName, ran).unionByName(
+        spark.createDataFrame(failed, "question string, n_rows long, ran boolean"))
+
+
+def _answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mart(spark, sf_dir)
+    result = questions.format_results(sales.top_categories(m.fact_sales))
+    return questions.answer_table(
+        questions.question_top_n(questions.question_topics(surrogate.questions(spark, sf_dir))),
+        result)
 
 
 def _visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +294,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             kde(m.rfm, "recency")
             .withColumn("measure", F.lit("recency"))
             .unionByName(kde(m.rfm, "frequency").withColumn("measure", F.lit("frequency")))
-            .unionByName(kde(m.rfm, "monetary", bins=512).withColumn("measure", F.lit("monetary")))
+            .unionByName(kde(m.rfm, "monetary").withColumn("measure", F.lit("monetary")))
         ),
         "category_month_matrix": lambda m: eda.category_month_matrix(m.fact_sales),
         "best_month": lambda m: eda.best_month(m.fact_sales),
@@ -244,6 +302,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             m.fact_sales, m.orders, m.reviews, m.payments, since=SINCE, card="1-URGENT"
         ),
         "plot_sample": lambda m: _double(eda.plot_sample(m.rfm, "customer_unique_id"), "monetary"),
+        "plot_sample_500": lambda m: _double(
+            eda.plot_sample(m.rfm, "customer_unique_id", n=500), "monetary"
+        ),
         "dq_report": lambda m: quality.dq_report(
             {
                 "fact_sales": m.fact_sales,
@@ -278,16 +339,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "segment_summary": lambda m: sales.segment_summary(m.customer_segments),
         "segment_lookup": lambda m: sales.segment_lookup(_segment_rows(m), LOOKUP_ID),
         "segment_box": lambda m: eda.box_stats(m.customer_segments, "monetary", "segment"),
-        "kmeans_segments": lambda m: _double(
-            segments.kmeans_segments(m.rfm_scores, n_init=3), "monetary"
-        ),
-        "elbow": lambda m: segments.elbow(m.rfm_scores, n_init=3),
-        "best_k": lambda m: segments.best_k(
-            segments.silhouette_by_k(m.rfm_scores, range(2, 6), n_init=2)
-        ),
-        "silhouette_by_k": lambda m: segments.silhouette_by_k(
-            m.rfm_scores, n_init=3
-        ),
+        "kmeans_segments": lambda m: _double(segments.kmeans_segments(m.rfm_scores), "monetary"),
+        "elbow": lambda m: segments.elbow(m.rfm_scores),
+        "best_k": lambda m: segments.best_k(m.silhouette_by_k),
+        "silhouette_by_k": lambda m: m.silhouette_by_k,
         # churn
         "customer_reviews": lambda m: churn.customer_reviews(m.fact_sales, m.reviews),
         "churn_features": lambda m: churn.churn_features(m.fact_sales, m.reviews),
@@ -312,12 +367,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "churn_summary": lambda m: sales.churn_summary(_churn_table(m)),
         "churn_lookup": lambda m: sales.churn_lookup(_churn_table(m), LOOKUP_ID),
         "top_risk": lambda m: sales.top_risk(_churn_table(m)),
-        "churn_lr": lambda m: _train(m, "lr"),
-        "churn_rf": lambda m: _train(m, "rf"),
-        "churn_gbt": lambda m: _train(m, "gbt"),
-        "model_comparison": _model_comparison,
+        "churn_lr": lambda m: _tested(m, "LogisticRegression"),
+        "churn_rf": lambda m: _tested(m, "RandomForest"),
+        "churn_gbt": lambda m: _tested(m, "GradientBoosting"),
+        "model_comparison": lambda m: m.trained.comparison(),
         "feature_importance": _feature_importance,
-        "customer_churn": _customer_churn,
+        "customer_churn": lambda m: m.customer_churn,
+        "run_log": lambda m: m.runs,
+        # what must hold of the fitted models
+        "customer_churn_check": lambda m: model_checks.churn_scores(m.customer_churn),
+        "tested_models_check": lambda m: model_checks.tested_models(m.trained),
+        "model_comparison_check": lambda m: model_checks.comparison_is_sound(m.trained.comparison()),
+        "feature_importance_check": lambda m: model_checks.importance_is_sound(_feature_importance(m)),
+        "kmeans_segments_check": lambda m: model_checks.clusters_are_nearest(
+            segments.kmeans_segments(m.rfm_scores), m.clustered
+        ),
+        "best_k_check": lambda m: model_checks.curve_is_sound(
+            m.silhouette_by_k, segments.elbow(m.rfm_scores), segments.best_k(m.silhouette_by_k)
+        ),
+        "run_log_check": lambda m: model_checks.runs_are_sound(m.runs),
+        "best_run": lambda m: experiments.best_run(m.runs).select(
+            F.length("run_name").between(12, 18).alias("named"),
+            (F.col("metrics")["roc_auc"] == m.runs.agg(
+                F.max(F.col("metrics")["roc_auc"])).scalar()).alias("is_highest"),
+            F.col("params")["model_path"].isNotNull().alias("has_model"),
+        ),
+        "rfm_scores_gaps": _rfm_gaps,
         # recommendation
         "popular_products": lambda m: m.popular_products.drop("popularity_rank"),
         "popularity_rank": lambda m: m.popular_products.select("product_id", "popularity_rank"),
@@ -328,12 +403,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_per_category": lambda m: recommend.top_per_category(m.popular_products),
         "recommendations": lambda m: m.recommendations,
         "recommendations_fill": lambda m: recommend.recommend(
-            m.fact_sales, m.popular_products, n=30, per_category=1
+            m.fact_sales, m.popular_products, n=30, per_category=1, items=m.customer_items
         ),
         "reco_category_mix": lambda m: eda.reco_category_mix(m.recommendations, m.popular_products),
-        "hit_rate": lambda m: recommend.hit_rate(m.fact_sales, m.popular_products, n_users=None),
+        "hit_rate": lambda m: recommend.hit_rate(
+            m.fact_sales, m.popular_products, n_users=None, items=m.customer_items
+        ),
         "hit_rate_leak_free": lambda m: recommend.hit_rate(
-            m.fact_sales, m.popular_products, n_users=None, leak_free=True
+            m.fact_sales, m.popular_products, n_users=None, leak_free=True, items=m.customer_items
         ),
         # questions
         "format_results": lambda m: questions.format_results(sales.monthly_sales(m.fact_sales)),
@@ -350,7 +427,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_categories_param": lambda spark, sf_dir: _top_categories_param(
             spark, mart(spark, sf_dir)
         ),
-        "run_log": lambda spark, sf_dir: _run_log(spark, mart(spark, sf_dir)),
+        "table_preview_check": lambda spark, sf_dir: model_checks.preview_is_sound(
+            _table_preview(spark, mart(spark, sf_dir)), mart(spark, sf_dir).fact_sales,
+            ["order_id", "order_item_id"], 100,
+        ),
+        "csv_roundtrip": _csv_roundtrip,
+        "save_load": lambda spark, sf_dir: _save_load(spark, mart(spark, sf_dir)),
+        "model_reload": lambda spark, sf_dir: _model_reload(spark, mart(spark, sf_dir)),
+        "question_pack": lambda spark, sf_dir: _question_pack(spark, mart(spark, sf_dir)),
+        "answer_table": _answer_table,
         "reco_lookup": lambda spark, sf_dir: recommend.reco_lookup(
             _visitors(spark, sf_dir),
             mart(spark, sf_dir).recommendations,

@@ -7,6 +7,8 @@ the plain thing instead: all pairs, window functions over everything.
 
 from __future__ import annotations
 
+from storelens.operators.questions import ANSWER_ROWS, HEADINGS, TOPICS
+
 CTES = {
     # raw tables
     "places": "SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
@@ -257,9 +259,9 @@ def _histogram(source: str, x: str, bins: int) -> str:
              range({bins}) AS b(bin)"""
 
 
-def _kde(source: str, x: str, values: str | None = None) -> str:
-    """Every grid point against every value, or against `values` (v, c) standing for them."""
-    values = values or f"(SELECT CAST({x} AS DOUBLE) AS v, 1 AS c FROM {source})"
+def _kde(source: str, x: str) -> str:
+    """Every grid point against every value."""
+    values = f"(SELECT CAST({x} AS DOUBLE) AS v, 1 AS c FROM {source})"
     return f"""
         SELECT CAST(point AS INTEGER) AS point, ROUND(x, 3) AS x,
                ROUND(SUM(c * exp(-0.5 * ((x - v) / h) ** 2)) / (MAX(n) * MAX(h) * sqrt(2 * pi())), 12) AS density
@@ -439,10 +441,8 @@ def all_sql() -> dict[str, str]:
         f"SELECT *, '{x}' AS measure FROM ({_histogram('rfm', x, 50)})"
         for x in ("recency", "frequency", "monetary")))
     sql["kde_delivery"] = _query("delivery", _kde("delivery", "delivery_days"))
-    binned = f"(SELECT (lo + hi) / 2 AS v, n AS c FROM ({_histogram('rfm', 'monetary', 512)}))"
     sql["kde_rfm"] = _query("rfm", " UNION ALL ".join(
-        f"SELECT *, '{x}' AS measure FROM ({_kde('rfm', x, values)})"
-        for x, values in (("recency", None), ("frequency", None), ("monetary", binned))))
+        f"SELECT *, '{x}' AS measure FROM ({_kde('rfm', x)})" for x in ("recency", "frequency", "monetary")))
     months = ", ".join(
         f"CAST(ROUND(COALESCE(SUM(total_amount) FILTER (month = {m}), 0), 2) AS DOUBLE) AS m{m}" for m in range(1, 13))
     sql["category_month_matrix"] = _query("fact", f"""
@@ -659,17 +659,97 @@ def all_sql() -> dict[str, str]:
         FROM (SELECT c_name AS id FROM customer UNION SELECT s_name FROM supplier), popular
         WHERE popularity_rank <= 10 AND id NOT IN (SELECT customer_unique_id FROM recos)""")
 
-    # questions
-    topics = {
-        "category": "catégorie|categorie|category|فئة|فئات",
-        "city": "ville|villes|city|cities|مدينة|مدن",
-        "product": "produit|produits|product|منتج|منتجات",
-        "customer": "client|clients|customer|عميل|عملاء",
-        "payment": "paiement|payment|دفع",
-        "review": "avis|review|note|تقييم",
-        "segment": "segment|segments",
-        "month": "mois|month|mensuel|شهر",
+    # what must hold of fitted models, and what is stored and read back
+    names = "('LogisticRegression'), ('RandomForest'), ('GradientBoosting')"
+    sql["customer_churn_check"] = _query("rfm", """
+        SELECT customer_unique_id, CAST(recency AS BIGINT) AS recency, frequency, lifetime_days,
+               CAST(CASE WHEN recency > 180 THEN 1 ELSE 0 END AS BIGINT) AS churn,
+               CAST(monetary AS DOUBLE) AS monetary, TRUE AS probability_in_range, TRUE AS prediction_fits
+        FROM rfm JOIN (SELECT customer_unique_id, CAST(floor((epoch_us(MAX(order_purchase_timestamp))
+                              - epoch_us(MIN(order_purchase_timestamp))) / 86400000000) AS BIGINT) AS lifetime_days
+                       FROM fact GROUP BY 1) USING (customer_unique_id)""")
+    sql["tested_models_check"] = _query("churn", f"""
+        SELECT model, COUNT(*) AS n_test, CAST(SUM(churn) AS BIGINT) AS n_positive, TRUE AS cells_add_up
+        FROM churn, (VALUES {names}) m(model)
+        WHERE {draw} < CAST(floor(0.2 * 4294967296) AS BIGINT) GROUP BY model""")
+    sql["model_comparison_check"] = """
+        SELECT 'GradientBoosting,LogisticRegression,RandomForest' AS models, CAST(1 AS BIGINT) AS n_best,
+               TRUE AS best_is_highest, TRUE AS all_above_half"""
+    sql["feature_importance_check"] = """
+        SELECT feature, TRUE AS not_negative, TRUE AS sums_to_one FROM (SELECT unnest([
+            'frequency', 'monetary', 'lifetime_days', 'avg_order_value', 'total_freight', 'n_items', 'n_products',
+            'n_categories', 'n_sellers', 'n_payment_methods', 'avg_installments', 'avg_review_score', 'n_reviews',
+            'purchase_frequency', 'monetary_per_order']) AS feature)"""
+    sql["kmeans_segments_check"] = _query("scores", """
+        SELECT COUNT(*) AS n_customers, CAST(5 AS BIGINT) AS n_clusters, TRUE AS all_nearest, TRUE AS not_above_fixed
+        FROM scores""")
+    sql["best_k_check"] = """
+        SELECT CAST(k AS INTEGER) AS k, TRUE AS not_rising, TRUE AS agrees_with_elbow, TRUE AS in_range,
+               TRUE AS best_is_highest FROM range(2, 11) r(k)"""
+    sql["run_log_check"] = """
+        SELECT run_name, params, 'accuracy,f1,precision,recall,roc_auc' AS metrics, TRUE AS in_range FROM (VALUES
+            ('LogisticRegression', 'C,max_iter,model_path,model_type,n_features,needs_scaling,test_size'),
+            ('RandomForest', 'max_depth,model_path,model_type,n_estimators,n_features,needs_scaling,test_size'),
+            ('GradientBoosting', 'max_depth,model_path,model_type,n_estimators,n_features,needs_scaling,test_size'))
+        t(run_name, params)"""
+    sql["best_run"] = "SELECT TRUE AS named, TRUE AS is_highest, TRUE AS has_model"
+    sql["table_preview_check"] = _query("fact", """
+        SELECT least(100, COUNT(*)) AS n_rows, TRUE AS all_known FROM fact""")
+    sql["csv_roundtrip"] = _query("r_translation", " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, (SELECT COUNT(*) FROM {source}) AS n_rows, TRUE AS same"
+        for name, source in (
+            ("customers", "r_customers"), ("orders", "r_orders"), ("order_items", "r_items"),
+            ("payments", "r_payments"), ("reviews", "r_reviews"), ("products", "part"),
+            ("sellers", "supplier"), ("geolocation", "places"), ("category_translation", "r_translation"))))
+    sql["save_load"] = sql["table_inventory"].replace("AS n_rows", "AS n_rows, TRUE AS same")
+    sql["model_reload"] = _query("rfm", "SELECT COUNT(*) AS n_customers, TRUE AS same FROM rfm")
+    sql["plot_sample_500"] = sql["plot_sample"].replace("LIMIT 10000", "LIMIT 500")
+    counts = {
+        "revenue_by_month": "SELECT DISTINCT year_month FROM fact",
+        "top_products": "SELECT DISTINCT product_id FROM fact LIMIT 10",
+        "top_categories": f"SELECT DISTINCT {category} FROM fact LIMIT 10",
+        "top_cities": "SELECT DISTINCT customer_city FROM fact LIMIT 10",
+        "top_customers": "SELECT DISTINCT customer_unique_id FROM fact LIMIT 10",
+        "customers_by_segment": "SELECT DISTINCT segment FROM segments",
+        "payment_types": "SELECT DISTINCT payment_type FROM r_payments",
+        "installments": "SELECT DISTINCT payment_installments FROM r_payments",
+        "review_scores": "SELECT DISTINCT review_score FROM r_reviews",
+        "reviews_by_category": f"""
+            SELECT {category} FROM fact JOIN r_reviews USING (order_id) GROUP BY 1 HAVING COUNT(*) >= 100 LIMIT 15""",
+        "order_status": "SELECT DISTINCT order_status FROM r_orders",
     }
+    single = ("total_revenue", "total_orders", "total_customers", "average_order_value", "delivery_days")
+    sql["question_pack"] = _query("segments", " UNION ALL ".join([
+        *(f"SELECT '{name}' AS question, COUNT(*) AS n_rows, TRUE AS ran FROM ({text})" for name, text in counts.items()),
+        *(f"SELECT '{name}', CAST(1 AS BIGINT), TRUE" for name in single),
+        "SELECT 'broken', CAST(0 AS BIGINT), FALSE"]))
+    gappy = """
+        SELECT * REPLACE (CASE WHEN n % 11 <> 0 THEN total_amount END AS total_amount,
+                          CASE WHEN n % 13 <> 0 THEN order_purchase_timestamp END AS order_purchase_timestamp)
+        FROM (SELECT *, CAST(substr(customer_unique_id, 10, 20) AS BIGINT) AS n FROM fact)"""
+    sql["rfm_scores_gaps"] = _query("fact", f"""
+        , gappy AS MATERIALIZED ({gappy}),
+        g AS MATERIALIZED (
+            SELECT customer_unique_id, COUNT(DISTINCT order_id) AS frequency,
+                   COALESCE(CAST(SUM(total_amount) AS DOUBLE), 0) AS monetary,
+                   CAST(floor((epoch_us((SELECT MAX(order_purchase_timestamp) + INTERVAL 1 DAY FROM gappy))
+                               - epoch_us(MAX(order_purchase_timestamp))) / 86400000000) AS INTEGER) AS recency
+            FROM gappy WHERE customer_unique_id IS NOT NULL GROUP BY 1),
+        q AS (SELECT {", ".join(f"{quantile(c, p)} AS {c}{i}" for c in ("recency", "monetary")
+                                for i, p in enumerate((0.25, 0.5, 0.75)))}, COUNT(*) AS n FROM g),
+        s AS (SELECT customer_unique_id, recency, frequency, monetary,
+                     CASE WHEN recency IS NULL THEN NULL
+                          ELSE 4 - (CAST(recency > recency0 AS INTEGER) + CAST(recency > recency1 AS INTEGER)
+                                    + CAST(recency > recency2 AS INTEGER)) END AS R_score,
+                     CAST(1 + (place > 1 + (n - 1) * 0.25)::INTEGER + (place > 1 + (n - 1) * 0.5)::INTEGER
+                          + (place > 1 + (n - 1) * 0.75)::INTEGER AS INTEGER) AS F_score,
+                     1 + CAST(monetary > monetary0 AS INTEGER) + CAST(monetary > monetary1 AS INTEGER)
+                       + CAST(monetary > monetary2 AS INTEGER) AS M_score
+              FROM (SELECT *, row_number() OVER (ORDER BY frequency, customer_unique_id) AS place FROM g), q)
+        SELECT *, CAST(R_score AS VARCHAR) || F_score || M_score AS RFM_score FROM s""")
+
+    # questions
+    topics = {name: "|".join(words) for name, words in TOPICS.items()}
     cases = " ".join(f"WHEN regexp_matches(lower(question), '{words}') THEN '{t}'" for t, words in topics.items())
     sql["question_topics"] = _query("asked", f"SELECT *, CASE {cases} ELSE 'other' END AS topic FROM asked",
                                     ).replace("{n}", "5")
@@ -679,6 +759,23 @@ def all_sql() -> dict[str, str]:
     sql["question_top_n"] = _query("asked", f"""
         SELECT *, NULLIF(CASE WHEN {ranked} <> '' THEN TRY_CAST({ranked} AS BIGINT)
                               WHEN {plain} BETWEEN 1 AND 100 THEN {plain} END, 0) AS requested_n FROM asked""")
+    heads = " ".join(f"WHEN topic = '{t}' THEN '{h}'" for t, h in HEADINGS.items())
+    asked_n = f"COALESCE(requested_n, {ANSWER_ROWS})"
+    sql["answer_table"] = f"""
+        WITH topic AS MATERIALIZED ({sql["question_topics"]}), top AS MATERIALIZED ({sql["question_top_n"]}),
+        q AS (SELECT question_id, topic, requested_n FROM topic JOIN top USING (question_id)),
+        best AS MATERIALIZED ({sql["top_categories"]}),
+        shown AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY revenue DESC, category NULLS FIRST) AS i, COUNT(*) OVER () AS n,
+                   {{line}} AS line FROM best)
+        SELECT question_id, 0 AS position, CASE {heads} ELSE 'Result' END AS line FROM q
+        UNION ALL
+        SELECT question_id, CAST(i AS INTEGER), i || '. ' || line FROM q, shown WHERE i <= {asked_n}
+        UNION ALL
+        SELECT question_id, CAST({asked_n} + 1 AS INTEGER), '... and ' || (n - {asked_n}) || ' more rows'
+        FROM q, (SELECT MAX(n) AS n FROM shown) WHERE n > {asked_n}""".replace("{line}", """concat_ws(' — ',
+                       '**' || category || '**', '**' || replace(format('{:,}', orders), ',', ' ') || '**',
+                       '**' || replace(format('{:,.2f}', revenue), ',', ' ') || ' BRL**')""")
     sql["format_results"] = _query("fact", f"""
         SELECT year_month, replace(format('{{:,}}', orders), ',', ' ') AS orders,
                replace(format('{{:,.2f}}', revenue), ',', ' ') || ' BRL' AS revenue

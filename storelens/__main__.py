@@ -6,10 +6,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from storelens.operators.quality import EXPECTED_TABLES
+from storelens.operators.quality import missing_tables
 from storelens.plans.build import build_all
 from storelens.plans.sqlpack import run_single
-from storelens.sources.tables import load_tables, register, table_inventory
+from storelens.sources.tables import load_all, register, table_inventory
 
 
 def main() -> None:
@@ -29,9 +29,12 @@ def main() -> None:
     spark = SparkSession.builder.appName("storelens").getOrCreate()
     if args.command == "build":
         build_all(spark, args.raw, args.out, dict(f.split("=", 1) for f in args.file))
-        table_inventory(load_tables(spark, args.out, list(EXPECTED_TABLES))).show(truncate=False)
+        stored = load_all(spark, args.out)
+        table_inventory(stored).show(100, truncate=False)
+        for name in missing_tables(stored):
+            print(f"no table {name}")
     else:
-        register(load_tables(spark, args.out, list(EXPECTED_TABLES)))
+        register(load_all(spark, args.out))
         run_single(spark, args.text).show(args.rows, truncate=False)
 
 

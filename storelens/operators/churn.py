@@ -101,7 +101,7 @@ def _order_side(fact: DataFrame) -> DataFrame:
         F.min("first").alias("first_purchase"),
         F.max("last").alias("last_purchase"),
         F.count("order_id").alias("frequency"),
-        F.sum("amount").alias("monetary"),
+        F.coalesce(F.sum("amount"), F.lit(0)).alias("monetary"),
         ratio(F.sum("amount"), F.sum("amounts")).alias("avg_order_value"),
         F.coalesce(F.sum("freight"), F.lit(0)).alias("total_freight"),
         F.sum("items").alias("n_items"),
@@ -111,7 +111,11 @@ def _order_side(fact: DataFrame) -> DataFrame:
 
 
 def _variety_side(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("customer_unique_id").agg(
+    """Distinct counts over the distinct combinations, which are far fewer than the items."""
+    kinds = fact.select(
+        "customer_unique_id", "product_id", "product_category_name_english", "seller_id"
+    ).distinct()
+    return kinds.groupBy("customer_unique_id").agg(
         F.countDistinct("product_id").alias("n_products"),
         F.countDistinct("product_category_name_english").alias("n_categories"),
         F.countDistinct("seller_id").alias("n_sellers"),

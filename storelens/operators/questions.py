@@ -79,6 +79,39 @@ def format_results(df: DataFrame) -> DataFrame:
     )
 
 
+# What an answer is headed by, for each topic.
+HEADINGS = {
+    "category": "Categories", "city": "Cities", "product": "Products", "customer": "Customers",
+    "payment": "Payments", "review": "Reviews", "segment": "Segments", "month": "Months",
+}
+ANSWER_ROWS = 10  # lines of an answer that names no number
+
+
+def answer_table(questions: DataFrame, result: DataFrame, rows: int = ANSWER_ROWS) -> DataFrame:
+    """question_id, position, line: the answer to every question as numbered lines of text.
+
+    `questions` has topic and requested_n, `result` is a formatted result of a query, small by
+    nature. Line 0 is the heading by topic; then come the first requested_n rows (else `rows`)
+    with their numbers, and what is left over as a count.
+    """
+    lines = result.select(answer_lines(result).alias("line")).collect()  # a report, not data rows
+    texts = F.array(*[F.lit(r["line"]) for r in lines]).cast("array<string>")
+    wanted = F.least(F.coalesce("requested_n", F.lit(rows)), F.lit(len(lines))).cast("int")
+    heading = None
+    for topic, words in HEADINGS.items():
+        hit = F.col("topic") == topic
+        heading = F.when(hit, words) if heading is None else heading.when(hit, words)
+    numbered = F.transform(
+        F.slice(texts, F.lit(1), wanted),
+        lambda line, i: F.concat((i + 1).cast("string"), F.lit(". "), line),
+    )
+    left = F.lit(len(lines)) - wanted
+    more = F.when(left > 0, F.array(F.concat(F.lit("... and "), left.cast("string"), F.lit(" more rows"))))
+    out = F.concat(
+        F.array(heading.otherwise("Result")), numbered, F.coalesce(more, F.array().cast("array<string>")))
+    return questions.select("question_id", F.posexplode(out).alias("position", "line"))
+
+
 def answer_lines(df: DataFrame) -> Column:
     """`**label** — **value** — ...` of a formatted result, as one column."""
     return F.concat_ws(" — ", *[F.concat(F.lit("**"), F.col(f"`{c}`"), F.lit("**")) for c in df.columns])

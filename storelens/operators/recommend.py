@@ -64,14 +64,14 @@ def category_stats(fact: DataFrame) -> DataFrame:
 
 def customer_history(fact: DataFrame) -> DataFrame:
     """Distinct orders, products and categories per customer."""
-    return (
+    kinds = (
         fact.where(F.col(_CUSTOMER).isNotNull())
-        .groupBy(_CUSTOMER)
-        .agg(
-            F.countDistinct("order_id").alias("n_orders"),
-            F.countDistinct("product_id").alias("n_products"),
-            F.countDistinct("product_category_name_english").alias("n_categories"),
-        )
+        .select(_CUSTOMER, "order_id", "product_id", "product_category_name_english").distinct()
+    )
+    return kinds.groupBy(_CUSTOMER).agg(
+        F.countDistinct("order_id").alias("n_orders"),
+        F.countDistinct("product_id").alias("n_products"),
+        F.countDistinct("product_category_name_english").alias("n_categories"),
     )
 
 
@@ -112,10 +112,10 @@ def top_per_category(popular: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
     )
 
 
-def _customer_items(fact: DataFrame) -> DataFrame:
+def customer_items(fact: DataFrame) -> DataFrame:
     """Items per customer, product and category: the one pass over the fact table.
 
-    All that follows works on this written table.
+    All that follows works on this written table; several calls can share one.
     """
     return materialize(
         fact.where(F.col(_CUSTOMER).isNotNull())
@@ -257,12 +257,14 @@ def recommend(
     n: int = 5,
     per_category: int = PER_CATEGORY,
     bought: DataFrame | None = None,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """customer_unique_id, product_id, rank, score for every customer with a purchase.
 
-    `bought` overrides which (customer, product) pairs are left out.
+    `bought` overrides which (customer, product) pairs are left out, `items` is
+    customer_items(fact) if there is one already.
     """
-    items = _customer_items(fact)
+    items = customer_items(fact) if items is None else items
     return _recommend(
         items.select(_CUSTOMER).distinct(),
         _favourites(items),
@@ -281,6 +283,7 @@ def hit_rate(
     seed: int = 42,
     leak_free: bool = False,
     per_category: int = PER_CATEGORY,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """Share of customers whose k recommendations show the category of a held-out product.
 
@@ -290,7 +293,7 @@ def hit_rate(
     purchase unless `leak_free`.
     """
     pair = [_CUSTOMER, "product_id"]
-    items = _customer_items(fact)
+    items = customer_items(fact) if items is None else items
     held = (
         items.where(F.col("product_id").isNotNull())
         .groupBy(*pair)

@@ -21,7 +21,8 @@ def snapshot(fact: DataFrame) -> Column:
 def rfm(fact: DataFrame) -> DataFrame:
     """customer_unique_id, recency (whole days), frequency (orders), monetary.
 
-    monetary stays as exact as the amounts are.
+    monetary stays as exact as the amounts are; without any amount it is 0. Without any
+    purchase date recency is NULL.
     """
     return (
         fact.where(F.col("customer_unique_id").isNotNull())
@@ -29,7 +30,7 @@ def rfm(fact: DataFrame) -> DataFrame:
         .agg(
             F.max("order_purchase_timestamp").alias("_last"),
             F.countDistinct("order_id").alias("frequency"),
-            F.sum("total_amount").alias("monetary"),
+            F.coalesce(F.sum("total_amount"), F.lit(0)).alias("monetary"),
         )
         .select(
             "customer_unique_id",
@@ -41,8 +42,11 @@ def rfm(fact: DataFrame) -> DataFrame:
 
 
 def _bin(value: Column, edges: list[Column], scores: list[int]) -> Column:
-    """Right-closed bins; equal edges leave a bin empty, its values fall in the lower one."""
-    out = F.when(value <= edges[0], scores[0])
+    """Right-closed bins; equal edges leave a bin empty, its values fall in the lower one.
+
+    No value, no score.
+    """
+    out = F.when(value.isNull(), None).when(value <= edges[0], scores[0])
     for edge, score in zip(edges[1:], scores[1:]):
         out = out.when(value <= edge, score)
     return out.otherwise(F.lit(scores[-1])).cast("int")
@@ -53,7 +57,7 @@ def rfm_scores(rfm: DataFrame) -> DataFrame:
 
     Recency and amount are cut at their quartiles. Frequency is cut at the
     quartiles of its rank with ties by customer id, because most customers share
-    one value.
+    one value. A customer without a recency has neither R_score nor RFM_score.
     """
     ranked = global_rank(rfm, ["frequency", "customer_unique_id"], "_rank", "frequency-rank")
     # day counts have few distinct values, so the built-in exact percentile holds them easily

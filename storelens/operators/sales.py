@@ -48,9 +48,13 @@ def avg_order_value(fact: DataFrame) -> DataFrame:
 
 
 def kpis(fact: DataFrame) -> DataFrame:
-    """Revenue, orders, customers and average order value in one pass."""
-    sums = fact.agg(
-        F.sum("total_amount").alias("amount"),
+    """Revenue, orders, customers and average order value in one pass.
+
+    Items are summed by order and customer first, so the distinct counts run over those.
+    """
+    pairs = fact.groupBy("order_id", "customer_unique_id").agg(F.sum("total_amount").alias("amount"))
+    sums = pairs.agg(
+        F.sum("amount").alias("amount"),
         F.countDistinct("order_id").alias("total_orders"),
         F.countDistinct("customer_unique_id").alias("total_customers"),
     )

@@ -21,9 +21,16 @@ from storelens.operators.rfm import SCORES
 from storelens.session import materialize
 
 
+def _scored(scores: DataFrame) -> DataFrame:
+    return scores.dropna(subset=list(SCORES))
+
+
 def score_cells(scores: DataFrame) -> DataFrame:
-    """The at most 64 distinct score triples with their number of customers, n."""
-    return scores.groupBy(*SCORES).agg(F.count(F.lit(1)).alias("n"))
+    """The at most 64 distinct score triples with their number of customers, n.
+
+    A customer who lacks a score is in none.
+    """
+    return _scored(scores).groupBy(*SCORES).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _z(c: str, stats: DataFrame) -> Column:
@@ -54,7 +61,10 @@ def _standard_cells(cells: DataFrame) -> DataFrame:
 
 
 def assign_to_centres(scores: DataFrame, centres: list[tuple[float, ...]]) -> DataFrame:
-    """Adds cluster: the nearest of the given centres in score space, lowest id on ties."""
+    """Adds cluster: the nearest of the given centres in score space, lowest id on ties.
+
+    Customers who lack a score are left out.
+    """
     distances = [
         F.struct(
             sum((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(SCORES, centre)).alias("d"),
@@ -62,7 +72,7 @@ def assign_to_centres(scores: DataFrame, centres: list[tuple[float, ...]]) -> Da
         )
         for i, centre in enumerate(centres)
     ]
-    return scores.withColumn("cluster", F.array_min(F.array(*distances))["cluster"])
+    return _scored(scores).withColumn("cluster", F.array_min(F.array(*distances))["cluster"])
 
 
 def _points(scores: DataFrame) -> DataFrame:

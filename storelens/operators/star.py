@@ -13,6 +13,7 @@ from storelens.operators.cleaning import (
     date_features,
     payment_rollup,
 )
+from storelens.session import materialize
 
 
 def build_fact_sales(
@@ -90,9 +91,16 @@ def build_dim_sellers(sellers: DataFrame) -> DataFrame:
 
 
 def build_warehouse(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All eight tables from the nine raw ones, as lazy plans."""
-    orders = clean_orders(raw["orders"])
-    products = add_category_translation(clean_products(raw["products"]), raw["category_translation"])
+    """All eight tables from the nine raw ones.
+
+    Orders and products are written first: the joins below salt their rows by position, which
+    must not change when a task is run again.
+    """
+    orders = materialize(clean_orders(raw["orders"]), "orders")
+    products = materialize(
+        add_category_translation(clean_products(raw["products"]), raw["category_translation"]),
+        "products",
+    )
     return {
         "fact_sales": build_fact_sales(
             orders, raw["order_items"], products, raw["customers"], raw["payments"]

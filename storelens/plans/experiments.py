@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.operators import churn, evaluate
+from storelens.session import materialize
 from storelens.sources.tables import log_run, save_model, save_tables
 
 TEST_SHARE = 0.2
@@ -22,9 +23,14 @@ class Trained:
     tested: dict[str, DataFrame]
     features: tuple[str, ...]
     params: dict[str, dict] = field(default_factory=dict)
+    _comparison: DataFrame | None = None
 
     def comparison(self) -> DataFrame:
-        return evaluate.model_comparison(self.tested)
+        """Computed once; three rows."""
+        if self._comparison is None:
+            self._comparison = materialize(
+                evaluate.model_comparison(self.tested).coalesce(1), "model-comparison")
+        return self._comparison
 
     def best(self) -> str:
         return self.comparison().where("is_best").first()["model"]
@@ -50,10 +56,11 @@ def train_models(
             train, rounds, round_depth, features=features, seed=seed
         ),
     }
-    tested = {
-        name: evaluate.scored(
-            churn.predict(model, test), "churn", "churn_probability", "churn_prediction"
-        )
+    tested = {  # written, so that each metric does not run the model again
+        name: materialize(
+            evaluate.scored(
+                churn.predict(model, test), "churn", "churn_probability", "churn_prediction"
+            ), "scored-test-rows")
         for name, model in models.items()
     }
     params = {
@@ -64,8 +71,8 @@ def train_models(
     return Trained(models, tested, features, params)
 
 
-def log_trained(trained: Trained, path: str) -> None:
-    """One row per model in the run table at `path`."""
+def log_trained(trained: Trained, path: str, models: str | None = None) -> None:
+    """One row per model in the run table at `path`; the fitted models under `models`, if given."""
     for name, scored in trained.tested.items():
         metrics = evaluate.all_metrics(scored).first().asDict()
         params = {
@@ -74,17 +81,28 @@ def log_trained(trained: Trained, path: str) -> None:
             "n_features": len(trained.features),
             **trained.params[name],
         }
+        if models is not None:
+            params["model_path"] = f"{models.rstrip('/')}/{name}"
+            save_model(trained.models[name], params["model_path"])
         log_run(scored.sparkSession, name, params, metrics, path)
 
 
-def tracked_experiment(segments: DataFrame, path: str, **settings: int) -> Trained:
-    """The tracked variant: seven features from the segment table, every run recorded."""
+def tracked_experiment(
+    segments: DataFrame, path: str, models: str | None = None, **settings: int
+) -> Trained:
+    """The tracked variant: seven features from the segment table, every run and its model recorded."""
     labelled = churn.tracked_features(segments)
     trained = train_models(labelled, churn.TRACKED_FEATURES, **settings)
-    log_trained(trained, path)
+    log_trained(trained, path, models)
     return trained
 
 
+def best_run(runs: DataFrame, metric: str = "roc_auc") -> DataFrame:
+    """The logged run with the highest metric, the earliest and then the first name on ties."""
+    order = [F.col("metrics")[metric].desc_nulls_last(), "logged_at", "run_name"]
+    return runs.orderBy(*order).limit(1)
+
+
 def churn_build(features: DataFrame, folder: str, **settings: int) -> dict[str, DataFrame]:
     """Train on labelled, imputed features, keep the best model and score every customer."""
     trained = train_models(features, **settings)

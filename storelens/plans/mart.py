@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 
 from storelens.operators import churn, recommend, rfm, segments, star
 from storelens.operators.cleaning import add_category_translation, clean_orders, clean_products
-from storelens.sources.tables import save_tables
-from storelens.session import materialize
+from storelens.plans.experiments import Trained, tracked_experiment, train_models
+from storelens.session import materialize, scratch
+from storelens.sources.tables import read_runs, save_tables
 
 # Centres in (R, F, M) score space for segments that must not depend on a seed (FIXTURES.md).
 FIXED_CENTRES = [(4, 4, 4), (4, 2, 2), (2, 3, 4), (1, 2, 3), (2, 2, 1)]
@@ -39,8 +40,10 @@ class Mart:
 
     @cached_property
     def products(self) -> DataFrame:
-        return add_category_translation(
-            clean_products(self.raw["products"]), self.raw["category_translation"]
+        return materialize(
+            add_category_translation(
+                clean_products(self.raw["products"]), self.raw["category_translation"]
+            ), "products",
         )
 
     @cached_property
@@ -50,17 +53,18 @@ class Mart:
             self.raw["order_items"],
             self.products,
             self.raw["customers"],
-            self.raw["payments"],
+            self.payments,
         )
         return materialize(fact, "fact-sales")
 
-    @property
+    @cached_property
     def reviews(self) -> DataFrame:
-        return self.raw["reviews"]
+        """Written on first use: as raw CSV every reader would parse it again, a file to a task."""
+        return materialize(self.raw["reviews"], "reviews")
 
-    @property
+    @cached_property
     def payments(self) -> DataFrame:
-        return self.raw["payments"]
+        return materialize(self.raw["payments"], "payments")
 
     @cached_property
     def warehouse(self) -> dict[str, DataFrame]:
@@ -89,6 +93,10 @@ class Mart:
             return segments.assign_to_centres(self.rfm_scores, self.centres)
         return segments.kmeans_segments(self.rfm_scores)
 
+    @cached_property
+    def silhouette_by_k(self) -> DataFrame:
+        return materialize(segments.silhouette_by_k(self.rfm_scores).coalesce(1), "silhouette-by-k")
+
     @cached_property
     def segment_profile(self) -> DataFrame:
         return segments.segment_profile(self.clustered)
@@ -115,9 +123,33 @@ class Mart:
     @cached_property
     def recommendations(self) -> DataFrame:
         return materialize(
-            recommend.recommend(self.fact_sales, self.popular_products), "recommendations"
+            recommend.recommend(self.fact_sales, self.popular_products, items=self.customer_items),
+            "recommendations",
         )
 
+    @cached_property
+    def customer_items(self) -> DataFrame:
+        return recommend.customer_items(self.fact_sales)
+
+    @cached_property
+    def trained(self) -> Trained:
+        """The three churn models, fitted once."""
+        return train_models(self.churn_features)
+
+    @cached_property
+    def customer_churn(self) -> DataFrame:
+        """All customers scored by the best model, which has seen the training part only."""
+        model = self.trained.models[self.trained.best()]
+        return materialize(churn.score_customers(model, self.churn_features), "customer-churn")
+
+    @cached_property
+    def runs(self) -> DataFrame:
+        """The run log of the tracked variant, its models kept beside it."""
+        spark = self.fact_sales.sparkSession
+        path = scratch(spark, "runs")
+        tracked_experiment(self.customer_segments, path, f"{path}-models")
+        return read_runs(spark, path)
+
     def recommendation_artifacts(self) -> dict[str, DataFrame]:
         """What a recommendation service loads: history, favourites, lists, popularity."""
         return {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,6 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the application's own part of the shared folder, which close() removes."""
+    if spark.sparkContext.applicationId not in _opened:
+        _opened.add(spark.sparkContext.applicationId)
+        atexit.register(_close_active)
+    return f"{_application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_opened: set[str] = set()
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/storelens/{spark.sparkContext.applicationId}"
+
+
+def close(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application; results read from them end with it.
+
+    Called by itself when the interpreter ends and the session is still there.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _opened.discard(spark.sparkContext.applicationId)
+
+
+def _close_active() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext.applicationId in _opened:
+        try:
+            close(spark)
+        except Exception:  # noqa: BLE001 - the session ended first, and cannot delete any more
+            pass
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -46,6 +82,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     an order-dependent step produced.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/storelens/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

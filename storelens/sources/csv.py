@@ -26,7 +26,8 @@ def load_raw(
     `files` maps a raw table name to its file or directory, by default
     `<name>.csv`. Columns are typed by name, so their order is free; a column
     that the schema does not know is read as text, and a value that cannot be
-    parsed becomes NULL.
+    parsed becomes NULL. All parts of a directory need the same header: reading a
+    part with another one, or another order, is an error.
     """
     paths = {name: f"{name}.csv" for name in RAW} | (files or {})
     tables = {}
@@ -45,7 +46,8 @@ def load_raw(
         )
         tables[name] = (
             spark.read.schema(schema)
-            .options(header=True, mode="PERMISSIVE", multiLine=name == "reviews", escape='"')
+            .options(header=True, enforceSchema=False, mode="PERMISSIVE",
+                     multiLine=name == "reviews", escape='"')
             .csv(path)
         )
     return tables

@@ -36,6 +36,15 @@ def load_tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
     return {name: spark.read.parquet(f"{folder.rstrip('/')}/{name}") for name in names}
 
 
+def load_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Every table stored under `folder`, by the name of its subfolder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in found if f.isDirectory())
+    return load_tables(spark, folder, [n for n in names if n not in ("models", "artifacts")])
+
+
 def register(tables: dict[str, DataFrame]) -> None:
     """Make the tables visible to SQL under their names."""
     for name, df in tables.items():

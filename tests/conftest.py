@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from storelens.session import local_session  # noqa: E402
+from storelens.session import close, local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +18,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
     yield session
+    close(session)
     session.stop()
 
 

@@ -132,8 +132,9 @@ def test_kde(spark):
     expected = [np.mean(np.exp(-0.5 * ((x - np.array(values)) / h) ** 2)) / (h * np.sqrt(2 * np.pi)) for x in xs]
     out = kde(df, "v").collect()
     assert [r["density"] for r in out] == pytest.approx(expected)
-    binned = kde(df, "v", bins=512).collect()
-    assert [r["density"] for r in binned] == pytest.approx(expected, abs=1e-3)
+    assert kde(df.where("v IS NULL"), "v").collect() == []
+    one = kde(df.limit(1), "v").collect()
+    assert len(one) == 200 and one[0]["density"] is None
 
 
 def test_hash_sample(spark):

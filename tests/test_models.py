@@ -235,3 +235,24 @@ def test_mart_without_fixed_centres_uses_kmeans(spark, mart):
     own = Mart(mart.raw, min_purchases=10)
     own.__dict__["rfm_scores"] = mart.rfm_scores
     assert own.customer_segments.select("segment").distinct().count() == 5
+
+
+def test_missing_amounts_and_dates(spark, make_fact):
+    """No amount counts as 0 and scores lowest; no date leaves no recency, no score and no cell."""
+    from storelens.operators import rfm as r
+    from storelens.operators import segments as s
+
+    rows = [dict(customer_unique_id=f"c{i}", order_id=f"o{i}", order_item_id=1, total_amount=10 * i,
+                 order_purchase_timestamp=f"2020-01-{i + 1:02}T00:00:00") for i in range(1, 9)]
+    rows.append(dict(customer_unique_id="no-amount", order_id="x", order_item_id=1,
+                     order_purchase_timestamp="2020-01-05T00:00:00"))
+    rows.append(dict(customer_unique_id="no-date", order_id="y", order_item_id=1, total_amount=500))
+    scores = r.rfm_scores(r.rfm(make_fact(rows)))
+    by_id = {x["customer_unique_id"]: x for x in scores.collect()}
+    assert by_id["no-amount"]["monetary"] == 0 and by_id["no-amount"]["M_score"] == 1
+    assert by_id["no-date"]["recency"] is None and by_id["no-date"]["R_score"] is None
+    assert by_id["no-date"]["RFM_score"] is None and by_id["no-date"]["M_score"] == 4
+    assert s.score_cells(scores).agg({"n": "sum"}).first()[0] == 9
+    clustered = s.assign_to_centres(scores, [(4, 4, 4), (1, 1, 1)])
+    assert clustered.count() == 9
+    assert s.segment_profile(clustered).agg({"n_customers": "sum"}).first()[0] == 9

@@ -9,7 +9,6 @@ from compare import compare, duck
 
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
-SLOW = {"model_comparison", "run_log"}  # train every model once more
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_every_sql_belongs_to_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     assert compare(spark, con, sf, name, QUERIES[name], SQL.get(name)) is None
 

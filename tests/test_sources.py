@@ -134,3 +134,31 @@ def test_mart_save(spark, mart, tmp_path):
     assert spark.read.parquet(f"{out}/recommendations").groupBy("customer_unique_id").count().agg({"count": "max"}).first()[0] <= 5
     for artifact in ("customer_products", "customer_categories", "top_per_category", "popular_products"):
         assert spark.read.parquet(f"{out}/artifacts/{artifact}").count() > 0
+
+
+def test_parts_with_another_header_are_refused(spark, tmp_path):
+    folder = tmp_path / "payments.csv"
+    folder.mkdir()
+    head = "order_id,payment_sequential,payment_type,payment_installments,payment_value"
+    (folder / "part-1.csv").write_text(f"{head}\n1,1,card,2,10.50\n")
+    assert load_raw(spark, str(tmp_path))["payments"].first()["payment_type"] == "card"
+    other = "order_id,payment_type,payment_value,payment_sequential,payment_installments"
+    (folder / "part-2.csv").write_text(f"{other}\n2,voucher,2.00,1,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        load_raw(spark, str(tmp_path))["payments"].collect()
+
+
+def test_close_removes_what_was_written(spark, tmp_path, monkeypatch):
+    from storelens import session
+
+    monkeypatch.setattr(session, "_application_dir", lambda _: str(tmp_path / "app"))
+    assert materialize(spark.range(5), "gone").count() == 5
+    assert list(tmp_path.glob("app/gone-*"))
+    session.close(spark)
+    assert not list(tmp_path.iterdir())
+
+
+def test_explorer_lists_whatever_is_stored(spark, tmp_path):
+    tables.save_tables({"orders": spark.range(3).toDF("order_id"), "extra": spark.range(2)}, str(tmp_path))
+    found = tables.load_all(spark, str(tmp_path))
+    assert {n: df.count() for n, df in found.items()} == {"orders": 3, "extra": 2}
