@@ -32,11 +32,6 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(_col(num).cast("double"), _col(den).cast("double"))
 
 
-def mean(c: Column | str) -> Column:
-    """Mean of an exact sum over the non-null count."""
-    return ratio(F.sum(_col(c)), F.count(_col(c)))
-
-
 def share_pct(part: Column | str, whole: Column | str) -> Column:
     """100 * part / whole at two digits."""
     return round_half_up(F.try_divide(100.0 * _col(part).cast("double"), _col(whole).cast("double")))
@@ -47,11 +42,6 @@ def seconds_between(later: Column | str, earlier: Column | str) -> Column:
     return (_col(later) - _col(earlier)).cast("interval second").cast("decimal(18,6)")
 
 
-def days_between(later: Column | str, earlier: Column | str) -> Column:
-    """Fractional days."""
-    return seconds_between(later, earlier).cast("double") / F.lit(float(SECONDS_PER_DAY))
-
-
 def whole_days_between(later: Column | str, earlier: Column | str) -> Column:
     """Days rounded down, so two hours early is -1."""
     return F.floor(seconds_between(later, earlier) / SECONDS_PER_DAY).cast("int")

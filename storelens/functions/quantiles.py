@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.ranking import running_totals
-from storelens.functions.skew import is_small
+from storelens.functions.skew import is_small, left_join
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -40,8 +40,14 @@ def exact_quantiles(
         F.sum("_n").alias("n"), F.min(F.col("_upto") - F.col("_n")).alias("_start")
     )
     if by is None or is_small(groups):  # without `by` there is one row per column
-        groups = F.broadcast(groups)
-    within = summed.join(groups, keys).withColumn("_upto", F.col("_upto") - F.col("_start"))
+        within = summed.join(F.broadcast(groups), keys)
+    else:  # one group may hold most of the values
+        name = F.to_json(F.struct(*keys))
+        within = left_join(
+            summed.withColumn("_group", name), groups.withColumn("_group", name).drop(*keys),
+            "_group", "inner", known_large=True,
+        ).drop("_group")
+    within = within.withColumn("_upto", F.col("_upto") - F.col("_start"))
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("n") - 1) * F.lit(float(p))

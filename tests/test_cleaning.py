@@ -6,7 +6,6 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import (
-    days_between,
     round_half_even,
     round_half_up,
     short_id,
@@ -38,7 +37,7 @@ def test_date_does_not_depend_on_the_session_zone(spark):
             "order_purchase_timestamp string, order_delivered_customer_date string",
         )
         clean = cleaning.date_features(cleaning.clean_orders(orders))
-        days = days_between("order_delivered_customer_date", "order_purchase_timestamp")
+        days = whole_days_between("order_delivered_customer_date", "order_purchase_timestamp")
         row = clean.select("order_purchase_timestamp", "year_month", "day_of_week", days.alias("d")).first()
         assert tuple(row) == (dt.datetime(2018, 11, 4, 0, 30), "2018-11", "Sunday", 1.0)
     finally:

@@ -151,3 +151,14 @@ def test_small_means_few_rows_and_few_bytes(spark):
     assert not skew.is_small(df, max_rows=9)
     assert not skew.is_small(df, max_bytes=1000)
     assert skew.is_small(df.where("n < 0"), max_rows=0, max_bytes=0)
+
+
+def test_quantiles_of_many_groups_with_a_hot_one(spark, monkeypatch):
+    from storelens.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "is_small", lambda df: False)
+    rows = [(f"g{i % 300}", float(i)) for i in range(900)] + [("hot", float(i % 97)) for i in range(600)]
+    df = spark.createDataFrame(rows + [(None, 3.0), (None, 4.0)], "g string, v double")
+    found = {r["g"]: (r["n"], r["q0"]) for r in exact_quantiles(df, ["v"], (0.5,), by="g").collect()}
+    assert found["hot"] == (600, float(np.median([i % 97 for i in range(600)])))
+    assert found["g7"] == (3, 307.0) and len(found) >= 301
