@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -22,7 +21,7 @@ from storelens.llm import (
     toxicity,
 )
 from storelens.llm.common import crc_rest, table
-from storelens.session import shared_dir
+from storelens.session import scratch
 
 TOKENIZER_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -64,7 +63,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = f"{shared_dir(spark).rstrip('/')}/storelens/archives-{uuid.uuid4().hex}"
+    base = scratch(spark, "archives")
     archives.write_arc(table(spark, sf_dir, "pages"), f"{base}/arc")
     archives.convert(spark, f"{base}/arc", f"{base}/warc", least_bytes=0)
     return archives.page_records(archives.read_warc(spark, f"{base}/warc", with_payload=False))

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -271,9 +272,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         packer = Packer(buckets, common)
         for batch in batches:
             keys, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            contents = texts(batch.column(2))
-            for a, b in chunks([len(c) for c in contents]):
-                rows = list(packer(keys[a:b], tags[a:b], contents[a:b]))
+            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
+                rows = list(packer(keys[a:b], tags[a:b], texts(batch.column(2).slice(a, b - a))))
                 for i in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 500]), fields)],
