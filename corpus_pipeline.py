@@ -6,14 +6,12 @@ documents; the last returns what the mix takes of each document.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.llm import decontamination, mixing, near_copies, quality_fm, substring_dedup
 from storelens.llm.common import crc_rest, table
-from storelens.session import shared_dir
+from storelens.session import scratch
 
 KEEP_FROM = 0.7  # quality score from which a document stays
 
@@ -69,7 +67,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each writes Parquet to the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark).rstrip('/')}/storelens/pipeline-{uuid.uuid4().hex}"
+    base = scratch(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{base}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
