@@ -12,12 +12,25 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 CHUNK_BYTES = 4 * 1024**2
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Has the session send texts to Python in batches of at most `rows`, unless it already has fewer.
+
+    The default of 10,000 rows is meant for numbers; of texts it can be 100 MB and more, held
+    several times over in every worker and its executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -72,7 +85,7 @@ class Learned(dict):
     Only memory and time depend on `most`, never a value.
     """
 
-    def __init__(self, compute: Callable, fixed: dict | None = None, most: int = 400_000):
+    def __init__(self, compute: Callable, fixed: dict | None = None, most: int = 150_000):
         super().__init__(fixed or {})
         self.compute, self.fixed, self.limit = compute, fixed or {}, most + len(fixed or {})
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import Learned, chunks, map_batches, texts
+from storelens.llm.common import CHUNK_BYTES, Learned, chunks, map_batches, texts
 from storelens.llm.simhash import mixed
 
 WINDOW, SEED = 20, 4
@@ -45,10 +45,14 @@ def rolling(values: np.ndarray, length: int) -> np.ndarray:
     if n < length:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n, _ODD, np.uint64))
-        down = np.cumprod(np.full(n, pow(_ODD, -1, 1 << 64), np.uint64))
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(values * up)]
-        return mixed((total[length:] - total[:-length]) * down[: n - length + 1], 1)
+        power = np.cumprod(np.full(n, _ODD, np.uint64))
+        power *= values
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(power, out=total[1:])
+        sums = total[length:] - total[:-length]
+        del power, total
+        sums *= np.cumprod(np.full(n - length + 1, pow(_ODD, -1, 1 << 64), np.uint64))
+        return mixed(sums, 1)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -129,23 +133,26 @@ class Packer:
     def __call__(self, keys: list[int], tags: list[int], contents: list[bytes]) -> Iterator[tuple]:
         """(bucket, words, places) rows; bucket -1 has no words: stretches known to be repeated."""
         split = [c.split() for c in contents]
+        sizes = np.array([len(s) for s in split], np.int64)
         words = [w for s in split for w in s]
+        del split
         if len(words) < WINDOW:
             return
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        lengths = np.fromiter(map(len, words), np.int32, len(words))
         ends = np.cumsum(lengths + 1) - 1
         begins = ends - lengths
         joined = b" ".join(words)
-        found = seeds(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
+        hashes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        del words, lengths
+        found = seeds(hashes)
+        del hashes
         # common seeds sort after all others
         found = np.where(self.common(found), found | np.uint64(1 << 63), found >> np.uint64(1))
         least = sliding_min(found, WINDOW - SEED + 1)
-        sizes = np.array([len(s) for s in split], np.int64)
         doc_at = np.cumsum(sizes) - sizes
-        owner = np.repeat(np.arange(len(split)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         at = np.arange(len(least))
-        last = doc_at[owner[: len(least)]] + sizes[owner[: len(least)]] - WINDOW
-        at = at[at <= last]
+        at = at[at <= (doc_at + sizes - WINDOW)[owner[: len(least)]]]
         if not len(at):
             return
         new = np.r_[True, (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]])]
@@ -214,13 +221,15 @@ def repeated(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
     press = zstandard.ZstdDecompressor()
     key, tag, start, count = (
         np.concatenate(x) for x in zip(*(_unpacked(places) for _, places in rows)))
-    text = b"\n".join([press.decompress(words) for words, _ in rows])
-    words = text.replace(b"\n", b" ").split(b" ")
-    ids = np.fromiter(map(_Ids().__getitem__, words), np.int64, len(words))
-    del text, words
-    hashes = rolling(mixed(ids.view(np.uint64), 3), WINDOW)
+    number, parts = _Ids(), []
+    for packed, _ in rows:
+        words = press.decompress(packed).replace(b"\n", b" ").split(b" ")
+        parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+    ids = np.concatenate(parts)
+    del number, parts, words
+    hashes = rolling(mixed(ids.astype(np.uint64), 3), WINDOW)
     base = np.cumsum(count + WINDOW - 1) - (count + WINDOW - 1)  # first word of each stretch
-    stretch = np.repeat(np.arange(len(key)), count)
+    stretch = np.repeat(np.arange(len(key), dtype=np.int32), count)
     inside = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
     at = base[stretch] + inside
     hashes = hashes[at]
@@ -270,14 +279,27 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def pack(batches):
         packer = Packer(buckets, common)
+        keys, tags, contents, size = [], [], [], 0
+
+        def packed():
+            rows = list(packer(keys, tags, contents))
+            for i in range(0, len(rows), 500):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 500]), fields)],
+                    schema=fields)
+
         for batch in batches:
-            keys, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
-                rows = list(packer(keys[a:b], tags[a:b], texts(batch.column(2).slice(a, b - a))))
-                for i in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 500]), fields)],
-                        schema=fields)
+                more = texts(batch.column(2).slice(a, b - a))
+                if contents and size + sum(map(len, more)) > CHUNK_BYTES:
+                    yield from packed()
+                    keys, tags, contents, size = [], [], [], 0
+                keys += batch.column(0).slice(a, b - a).to_pylist()
+                tags += batch.column(1).slice(a, b - a).to_pylist()
+                contents += more
+                size += sum(map(len, more))
+        if contents:
+            yield from packed()
 
     def count(batches):
         now, held = None, []
