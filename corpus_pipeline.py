@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.llm import decontamination, mixing, near_copies, quality_fm, substring_dedup
-from storelens.llm.common import crc_rest, table
+from storelens.llm.common import bounded_batches, crc_rest, table
 from storelens.session import scratch
 
 KEEP_FROM = 0.7  # quality score from which a document stays
@@ -25,11 +25,13 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8, found by SimHash."""
+    bounded_batches(spark)
     return near_copies.without_copies(docs)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the windows of 20 words that start earlier elsewhere; texts left empty go."""
+    bounded_batches(spark)
     changed = F.col("n_removed") > 0
     fresh = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return (
