@@ -291,13 +291,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
                 more = texts(batch.column(2).slice(a, b - a))
-                if contents and size + sum(map(len, more)) > CHUNK_BYTES:
-                    yield from packed()
-                    keys, tags, contents, size = [], [], [], 0
                 keys += batch.column(0).slice(a, b - a).to_pylist()
                 tags += batch.column(1).slice(a, b - a).to_pylist()
                 contents += more
                 size += sum(map(len, more))
+                if size >= CHUNK_BYTES:
+                    yield from packed()
+                    keys, tags, contents, size = [], [], [], 0
         if contents:
             yield from packed()
 
