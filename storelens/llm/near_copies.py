@@ -1,15 +1,18 @@
 """One document of each group of near copies: SimHash candidates, verified on shingles.
 
 Documents are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or
-more. Two SimHash fingerprints of each text give the candidates by the pigeonhole search of
-`simhash`: texts within MAX_BITS in either fingerprint and JOINT_BITS in both together. The
-components of these links are small, so all pairs inside one are then compared on their shingle
-sets, but for pairs already joined through others; large components are compared block by
-block. Equal texts are one class throughout.
-
-Texts at similarity 0.8 mostly differ in 7 bits and seldom in more than 10; that one of the two
-fingerprints finds a pair, or that a third copy leads to it, is what makes the search near complete.
-It is a search by fingerprints all the same: a pair that both of them miss stays.
+more. ROUNDS independent SimHash fingerprints of each text give the candidates by the pigeonhole
+search of `simhash`: texts within MAX_BITS in any one fingerprint. The components of these links are
+small, so all pairs inside one are then compared on their shingle sets, but for pairs already
+joined through others; large components are compared block by block. Equal texts are one class
+throughout.
+
+Texts at similarity 0.8 differ in about 7 bits if single words are changed here and there, and in 9 to 10 if
+text is appended or a passage replaced, so one fingerprint misses up to four in ten of them and all
+ROUNDS together next to none (README). It is a search by fingerprints all the same: a pair that all
+of them miss stays. JOINT_BITS, over a fingerprint and the next, only keeps unrelated texts apart, which
+would else join into large components in a large corpus; it is five standard deviations above
+what similar texts differ in.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from storelens.llm.common import chunks, map_batches, texts
 from storelens.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
-PRINT_WORDS, MAX_BITS, JOINT_BITS = 3, 10, 22
+PRINT_WORDS, MAX_BITS, JOINT_BITS, ROUNDS = 3, 10, 34, 8
 GROUP = 500  # documents compared in one task at a time, twice as many for pairs of blocks
 NO_ID = -(2**63)  # stands for a null id, before all others
 
@@ -40,9 +43,10 @@ def _place(id_col: str, text_col: str) -> list:
 
 
 def candidates(classes: DataFrame, n: int, max_bits: int, joint_bits: int) -> DataFrame:
-    """Linked nodes (a, b) of classes (node, fingerprint, fingerprint1)."""
+    """Linked nodes (a, b) of classes (node, fingerprint, fingerprint1, ...)."""
     found = None
-    for first, second in (("fingerprint", "fingerprint1"), ("fingerprint1", "fingerprint")):
+    names = [c for c in classes.columns if c.startswith("fingerprint")]
+    for first, second in zip(names, [*names[1:], names[0]]):
         prints = classes.select(
             F.col(first).alias("fingerprint"), F.col(second).alias("fingerprint1"), "node")
         parts = simhash.plan(prints.select("fingerprint"), n, max_bits)
@@ -113,17 +117,17 @@ def groups(
 
     The first document is that of the smallest id; null ids come before all others.
     """
+    names = ["fingerprint", *(f"fingerprint{r}" for r in range(1, ROUNDS))]
     known = docs.select(*_place(id_col, text_col), F.col(text_col).cast("string").alias("_text"))
     prints = materialize(
         simhash.fingerprints(
             known.select(F.struct("_key", "_node").alias("at"), F.col("_text").alias("text")),
-            PRINT_WORDS, 2, "at", "text",
-        ).select("doc_id._key", "doc_id._node", "fingerprint", "fingerprint1"), "copies-prints",
+            PRINT_WORDS, ROUNDS, "at", "text",
+        ).select("doc_id._key", "doc_id._node", *names), "copies-prints",
     )
     classes = materialize(
         prints.groupBy("_node").agg(
-            F.min("_key").alias("first"), F.first("fingerprint").alias("fingerprint"),
-            F.first("fingerprint1").alias("fingerprint1"),
+            F.min("_key").alias("first"), *(F.first(c).alias(c) for c in names)
         ).withColumnRenamed("_node", "node"), "copies-classes",
     )
     n = classes.count()

@@ -247,6 +247,36 @@ def test_near_copies_against_all_pairs(make_docs, odd_rows, monkeypatch, group):
     assert near_copies.without_copies(make_docs([])).collect() == []
 
 
+def edited_pairs(kind, wanted=60):
+    """(text, edited text) at similarity 0.8 to 0.85, edited in that way, each pair apart from all others."""
+    rng, out, i = random.Random(kind), [], 0
+    while len(out) < wanted:
+        i += 1
+        words = prose(f"{kind}{i}", rng.randrange(100, 300))
+        fresh, n = prose(f"fresh{kind}{i}", 300), len(words)
+        if kind == "appended":
+            copy = words + fresh[:int(n * rng.uniform(0.17, 0.25))]
+        elif kind == "block":
+            k = int(n * rng.uniform(0.07, 0.11))
+            a = rng.randrange(n - k)
+            copy = words[:a] + fresh[:k] + words[a + k:]
+        else:
+            copy = list(words)
+            for k in rng.sample(range(n), int(n * rng.uniform(0.015, 0.025))):
+                copy[k] = f"z{k}"
+        a, b = " ".join(words), " ".join(copy)
+        if 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) <= 0.85:
+            out.append((a, b))
+    return out
+
+
+def test_isolated_copies_of_every_edit_kind_are_found(make_docs):
+    pairs = [p for kind in ("appended", "block", "scattered") for p in edited_pairs(kind)]
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = near_copies.without_copies(make_docs(rows)).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [2 * i for i in range(len(pairs))]
+
+
 # Archives
 
 
