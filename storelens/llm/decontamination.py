@@ -1,11 +1,11 @@
 """Benchmark decontamination by spaced seeds.
 
 A spaced seed hashes the tokens under the ones of a fixed mask and ignores those under its zeros,
-so a changed token under a zero does no harm, and several masks with different zeros leave few
-places where substitutions hide a passage. The seeds of the benchmark are looked up at every position of every
+so a changed token under a zero does no harm. The masks are chosen by enumeration: whichever tokens of
+an overlap are changed, one of them fits its equal tokens somewhere. The seeds of the benchmark are looked up at every position of every
 document. Each hit names a diagonal (a document and an item, one shifted along the other); around
-it the longest stretch is taken in which at least `similarity` of the tokens are equal, and that
-counts if it is long enough or covers all of a short item.
+it the longest stretch is taken that begins and ends with an equal token and has at least `similarity` of
+them equal, and that counts if it is long enough or covers that share of a short item.
 
 Tokens are words without case and outer punctuation. The benchmark goes to the tasks in blocks of about
 BLOCK_BYTES, so what a task holds has a bound; a larger benchmark takes more passes over the documents.
@@ -24,8 +24,20 @@ from pyspark.sql import functions as F
 
 from storelens.llm.common import Learned, texts
 
-# Span 12, weight 8: each leaves out other positions.
-MASKS = ("111010011011", "110111000111", "101100111011")
+# By the least length of an overlap: in every stretch of that length or more with equal ends and at least
+# COVERED of its tokens equal, one of the masks meets equal tokens only.
+COVERED = 0.8
+COVERS = {
+    1: ("1",),
+    2: ("11",),
+    4: ("111", "1011"),
+    5: ("1111", "10111", "11011", "11101"),
+    6: ("10111", "111001"),
+    7: ("11111", "110111", "1001111", "1101011"),
+    8: ("11111", "110111", "11010011"),
+    11: ("1011111", "1101111", "1111000101", "11000100111"),
+    12: ("1101111", "1110111", "1101000111", "111010000011"),
+}
 MIN_OVERLAP, SIMILARITY = 13, 0.8
 BLOCK_BYTES = 4 * 1024**2
 _EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -59,23 +71,33 @@ def spaced(hashes: np.ndarray, mask: str) -> np.ndarray:
     return total
 
 
-def masks_for(n: int) -> list[str]:
-    """The masks for an item of n tokens; a shorter item has them cut to its length."""
-    if n >= len(MASKS[0]):
-        return list(MASKS)
-    return sorted({m[:n - 1] + "1" for m in MASKS}) if n else []
+def least_overlap(n: int, min_overlap: int, similarity: float) -> int:
+    """The tokens an overlap with an item of n tokens has at least."""
+    return min(min_overlap, max(1, math.ceil(similarity * n - 1e-9)))
+
+
+def masks_for(least: int, similarity: float) -> tuple[str, ...]:
+    """Masks of which one hits every stretch of `least` or more tokens with that share equal."""
+    if similarity >= COVERED:
+        return COVERS[max(k for k in COVERS if k <= max(1, least))]
+    unequal = [(n, math.floor((1 - similarity) * n + 1e-9)) for n in range(least, least + 200)]
+    return ("1" * max(1, min(math.ceil((n - u) / (u + 1)) for n, u in unequal)),)  # the longest equal run
 
 
 class Index:
     """The seeds of one block of items, by mask."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(
+        self, items: list[tuple[int, bytes]], min_overlap: int = MIN_OVERLAP, similarity: float = SIMILARITY
+    ):
         known = Learned(token)
         self.ids = [i for i, _ in items]
         self.items = [tokens(t, known) for _, t in items]
         found: dict[str, list] = {}
         for number, (item, _) in enumerate(self.items):
-            for mask in masks_for(len(item)):
+            if not len(item):
+                continue
+            for mask in masks_for(least_overlap(len(item), min_overlap, similarity), similarity):
                 seeds = spaced(item, mask)
                 found.setdefault(mask, []).append(
                     (seeds, np.full(len(seeds), number), np.arange(len(seeds))))
@@ -101,17 +123,20 @@ class Index:
                     yield place, int(number[k]), int(at[k])
 
 
-def longest_stretch(equal: np.ndarray, similarity: float) -> tuple[int, int]:
+def longest_stretch(equal: np.ndarray, similarity: float, closed: bool = False) -> tuple[int, int]:
     """(first, end) of the longest stretch with at least that share of equal places, the first if
-    several are as long; it begins and ends with an equal place."""
+    several are as long; it begins and ends with an equal place. With `closed` only such stretches are
+    compared, otherwise unequal places at the ends of the longest are left out afterwards."""
     height = np.r_[0.0, np.cumsum(np.where(equal, 1 - similarity, -similarity))]
     starts, low = [], math.inf
     for i, h in enumerate(height.tolist()):
-        if h < low:
+        if h < low and not (closed and (i == len(equal) or not equal[i])):
             low = h
             starts.append(i)
     best = (0, 0)
     for end in range(len(height) - 1, 0, -1):
+        if closed and not equal[end - 1]:
+            continue
         while starts and height[starts[-1]] <= height[end] + 1e-9:
             first = starts.pop()
             if end - first > best[1] - best[0] or (
@@ -135,8 +160,8 @@ def overlaps(
         shift = place - at
         a, b = max(0, -shift), min(len(item), len(hashes) - shift)
         equal = hashes[a + shift:b + shift] == item[a:b]
-        first, end = longest_stretch(equal, similarity)
-        if end - first >= min(min_overlap, max(1, math.ceil(similarity * len(item)))):
+        first, end = longest_stretch(equal, similarity, closed=True)
+        if end - first >= least_overlap(len(item), min_overlap, similarity):
             yield number, a + first + shift, a + end + shift, a + first, int(equal[first:end].sum())
 
 
@@ -179,7 +204,7 @@ def find_overlaps(
     for items in _blocks(benchmark, item_col, item_text_col):
 
         def run(batches, items=items):
-            index, known = Index(items), Learned(token)
+            index, known = Index(items, min_overlap, similarity), Learned(token)
             for batch in batches:
                 owner, out = [], []
                 for row, text in enumerate(texts(batch.column(1))):
@@ -216,7 +241,7 @@ def without_contaminated(
     for items in _blocks(benchmark, item_col, item_text_col):
 
         def run(batches, items=items):
-            index, known = Index(items), Learned(token)
+            index, known = Index(items, min_overlap, similarity), Learned(token)
             for batch in batches:
                 keep = [
                     next(overlaps(index, tokens(t, known)[0], min_overlap, similarity), None) is None

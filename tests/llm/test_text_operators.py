@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -220,6 +221,74 @@ def test_passages_are_found_through_substitutions(spark, make_docs, odd_rows):
     assert dc.without_contaminated(docs, bench.where("item_id < 0")).count() == len(rows)
 
 
+def qualifying(length, similarity=0.8):
+    """All patterns of that length with equal ends and that share of equal places."""
+    most = min(max(0, length - 2), math.floor((1 - similarity) * length + 1e-9))
+    for gone in (c for k in range(most + 1) for c in itertools.combinations(range(1, length - 1), k)):
+        yield np.array([i not in gone for i in range(length)])
+
+
+def test_every_allowed_pattern_is_found():
+    for size in (*range(1, 17), 20, 24):
+        item = [f"w{k}" for k in range(size)]
+        index = dc.Index([(1, " ".join(item).encode())])
+        hashes = index.items[0][0]
+        for length in range(min(13, max(1, math.ceil(0.8 * size - 1e-9))), min(size, 20) + 1):
+            for at in {0, (size - length) // 2, size - length}:  # words before and after are others
+                for number, equal in enumerate(qualifying(length)):
+                    if length > 16 and number % 7:
+                        continue
+                    text = np.arange(1, size + 1, dtype=np.uint64)
+                    text[at:at + length][equal] = hashes[at:at + length][equal]
+                    found = [(a, b) for _, a, b, _, _ in dc.overlaps(index, text, 13, 0.8)]
+                    assert found == [(at, at + length)], (size, at, equal)
+
+
+def test_no_long_pattern_avoids_the_masks():
+    for least in range(1, 14):
+        masks = [int(m, 2) for m in dc.masks_for(least, 0.8)]
+        span = max(m.bit_length() for m in masks)
+        states = 1 << (span - 1)
+        hit = np.array([any(w & m == m for m in masks) for w in range(2 * states)])
+        low = -10**6
+        best = np.full(states, low)  # by the last places: most of equal ones less four times the others
+        best[1 % states] = 1
+        if hit[1]:
+            continue
+        for length in range(2, 150):
+            now = np.full(states, low)
+            came = np.arange(states)
+            for bit, gain in ((0, -4), (1, 1)):
+                w = came << 1 | bit
+                ok = (best > low) & ~hit[w]
+                np.maximum.at(now, w[ok] % states, best[ok] + gain)
+            best = now
+            assert length < least or best[1::2].max() < 0, (least, length)
+
+
+def test_closed_stretch_is_the_longest_with_equal_ends():
+    rng = random.Random(7)
+    for _ in range(400):
+        equal = np.array([rng.random() < 0.75 for _ in range(rng.randrange(0, 22))], bool)
+        a, b = dc.longest_stretch(equal, 0.8, closed=True)
+        best = max((y - x, -x) for x in range(len(equal) + 1) for y in range(x, len(equal) + 1)
+                   if x == y == 0 or (y > x and equal[x] and equal[y - 1] and equal[x:y].mean() >= 0.8 - 1e-9))
+        assert (b - a, -a) == best
+
+
+def test_leaks_of_the_least_length_and_of_short_items(spark, make_docs):
+    items = [(1, " ".join(prose(61, 13))), (2, " ".join(prose(62, 15))), (3, "one two three four five"),
+             (4, " ".join(prose(63, 20)))]
+    changed = {1: {4, 8}, 2: {3, 7, 11}, 3: {4}, 4: {3, 7, 11, 15}}
+    rows = [(i, " ".join(["before", *(f"x{k}" if k in changed[i] else w for k, w in enumerate(t.split())), "after"]))
+            for i, t in items]
+    rows += [(9, "one x two y three z four five")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs(rows)
+    assert {(r[0], r[1]) for r in dc.find_overlaps(docs, bench).collect()} == {(i, i) for i in range(1, 5)}
+    assert [r["doc_id"] for r in dc.without_contaminated(docs, bench).collect()] == [9]
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, make_docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(prose(i, 25))) for i in range(30)], "item_id long, text string")
     docs = make_docs([(i, " ".join(prose(90 + i, 20) + prose(i, 25))) for i in range(30)])
