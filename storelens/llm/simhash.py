@@ -290,14 +290,12 @@ def spanning(prints: np.ndarray, probe: np.ndarray, within) -> np.ndarray:
         keep = (i != j) & (probe[i] + probe[j] < 2)
         i, j = i[keep], j[keep]
         while len(i):
-            low = np.minimum(label[i], label[j])
-            if (low == label[i]).all() and (low == label[j]).all():
-                break
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-            label = label[label]
+            while (label != label[label]).any():
+                label = label[label]
+            low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+            apart = low != high
+            i, j = i[apart], j[apart]
+            np.minimum.at(label, high[apart], low[apart])  # only roots move; links left over come again
     while (label != label[label]).any():
         label = label[label]
     return label

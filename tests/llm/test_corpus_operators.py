@@ -199,6 +199,19 @@ def test_links_and_components_are_exact(make_docs, odd_rows, monkeypatch, small)
     assert simhash.near_duplicates(make_docs([])).collect() == []
 
 
+@pytest.mark.parametrize("n,graphs", [(1500, 20), (3000, 4)])
+def test_spanning_keeps_every_link_of_large_buckets(n, graphs):
+    """Sparse graphs in several chunks of rows, against union-find."""
+    for seed in range(graphs):
+        rng = np.random.default_rng(seed)
+        linked = np.zeros((n, n), bool)
+        a, b = rng.integers(0, n, (2, n * 6 // 10))
+        linked[a, b] = linked[b, a] = True
+        found = simhash.spanning(
+            np.zeros(n, np.uint64), np.zeros(n, np.int8), lambda rows, cols: linked[rows, cols])
+        assert found.tolist() == roots(n, zip(a.tolist(), b.tolist()))
+
+
 def test_thresholds_keep_the_guarantee():
     rng = random.Random(1)
     for n, max_bits in ((100, 3), (10**6, 3), (10**9, 3), (10**5, 10)):
