@@ -5,8 +5,9 @@ prior: the token's share of all documents times PRIOR tokens. A word counts once
 document that repeats itself teaches no more than another. Rare word forms back off to their prefixes; a positive
 score whose likelihood ratio statistic is below LEAST_RATIO (about one in ten million by chance) counts
 as 0. DRIFT is taken off every score, so
-unremarkable text has a negative sum and a passage stands out as a segment whose sum is large. From the
-third occurrence of a word in a document on, it scores no more than unremarkable text.
+unremarkable text has a negative sum and a passage stands out as a segment whose sum is large. Every
+occurrence of a word scores as it stands; within one segment a word adds to the sum at most OCCURRENCES
+times.
 
 All maximal segments of a document are found in one pass over its tokens (Ruzzo and Tompa). The
 best segment of a clean document follows an extreme-value law: of n tokens it exceeds s with a
@@ -19,6 +20,7 @@ over its significant segments, and its score a logistic curve of that, fitted on
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -123,13 +125,7 @@ class Scorer:
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        found = np.fromiter(map(self.known.__getitem__, words), float, len(words))
-        met: Counter = Counter()
-        for i in np.flatnonzero(found > 0).tolist():
-            met[words[i]] += 1
-            if met[words[i]] > OCCURRENCES:
-                found[i] = -DRIFT
-        return found
+        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -161,6 +157,63 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in found]
 
 
+def limited(words: list[str], scores: np.ndarray) -> float:
+    """The largest sum of a stretch in which a word adds its positive score at most OCCURRENCES times.
+
+    The stretches that end at a token are kept by their starts, as the sum from the first start and
+    the differences between neighbours. What a token adds, it adds to all starts since its word's last
+    counted one, so a start that falls to the sum of a later one stays below it and is dropped.
+    """
+    best, lowered = 0.0, 0.0  # sums are kept without the tokens that lower them, `lowered` so far
+    starts: list[int] = []
+    above: list[float] = []  # by how much the sum from each start is above the next one's
+    top = 0.0  # the sum from starts[0]
+    last = 0.0  # and from the last start
+    met: dict[str, list[int]] = {}
+    for i, s in enumerate(scores.tolist()):
+        if s <= 0:
+            lowered += s
+            continue
+        places = met.setdefault(words[i], [])
+        since = places[-OCCURRENCES] + 1 if len(places) >= OCCURRENCES else 0
+        places.append(i)
+        if starts:
+            above.append(last + lowered)
+        else:
+            top = -lowered
+        starts.append(i)
+        last = s - lowered
+        k = bisect_left(starts, since) - 1  # the last start that the token adds nothing to
+        if k < 0:
+            top += s
+        else:
+            above[k] -= s
+        drop = [len(starts) - 2, k]
+        for at in drop:
+            while 0 <= at < len(above) and above[at] <= 0:
+                gap = above.pop(at)
+                starts.pop(at)
+                if at:
+                    above[at - 1] += gap
+                else:
+                    top -= gap
+                at -= 1
+        best = max(best, top + lowered)
+    return best
+
+
+def passages(text: str | None, scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """The segments of a text, every occurrence scored as it stands, with their limited sums."""
+    words = (text or "").split()
+    out = []
+    for a, b, s in segments(scores):
+        often = Counter(words[i] for i in range(a, b) if scores[i] > 0)
+        if max(often.values()) > OCCURRENCES:
+            s = limited(words[a:b], scores[a:b])
+        out.append((a, b, s))
+    return out
+
+
 def decay(scores: np.ndarray, weights: np.ndarray) -> float:
     """The positive lambda at which the mean of exp(lambda * score) is 1."""
     share = weights / weights.sum()
@@ -257,10 +310,12 @@ def _measured(sample: DataFrame, scores: dict[str, float], unknown: float) -> li
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(scores, unknown)
-        tokens = [scorer(t) for t in batch.column(0).to_pylist()]
+        texts = batch.column(0).to_pylist()
+        tokens = [scorer(t) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column(1), pa.array([len(t) for t in tokens], pa.int64()),
-             pa.array([[s for _, _, s in segments(t)] for t in tokens], pa.list_(pa.float64()))],
+             pa.array([[s for _, _, s in passages(*p)] for p in zip(texts, tokens)],
+                      pa.list_(pa.float64()))],
             ["label", "n", "sums"])
 
     return map_batches(
@@ -274,7 +329,8 @@ def score_documents(
 
     A narrow map: one row out for each row in, repeated rows and null ids included. Null and empty texts
     have no passages and the score of no evidence. Passages are all significant segments of the whole
-    text, in its order; equal sums are all kept. Other columns are ignored.
+    text, in its order; equal sums are all kept. The sum is that of the best stretch of the segment in which
+    no word counts more than OCCURRENCES times. Other columns are ignored.
     """
 
     def run(batches):
@@ -283,19 +339,19 @@ def score_documents(
             ("first", pa.int64()), ("end", pa.int64()), ("sum", pa.float64()),
             ("expected", pa.float64())]))
         for batch in batches:
-            values, passages = [], []
+            values, listed = [], []
             for text in batch.column(1).to_pylist():
                 tokens = scorer(text)
-                found = segments(tokens)
+                found = passages(text, tokens)
                 total, _ = evidence(found, len(tokens), model.lam, model.log_k)
                 logit = model.slope * math.log1p(total) + model.offset
                 values.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
                 size = model.log_k + math.log(max(len(tokens), 1))
-                passages.append([
+                listed.append([
                     {"first": a, "end": b, "sum": s, "expected": math.exp(size - model.lam * s)}
                     for a, b, s in found if size - model.lam * s < math.log(ALPHA)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.float64()), pa.array(passages, kind)],
+                [batch.column(0), pa.array(values, pa.float64()), pa.array(listed, kind)],
                 ["id", "score", "passages"])
 
     kind = docs.schema[id_col].dataType.simpleString()

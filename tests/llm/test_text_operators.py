@@ -56,6 +56,35 @@ def test_learned_forgets_without_changing_values():
 # Toxicity
 
 
+def test_every_passage_of_a_long_document_is_found(make_docs):
+    words = [f"bad{k}" for k in range(12)]
+    model = toxicity.Model({w: 3.0 for w in words}, -toxicity.DRIFT, 1.0, 0.0, 1.0, -5.0)
+    text, expected = ["bad1", *prose(1, 300), "bad1", *prose(2, 300)], []
+    for k in range(5):
+        expected.append((len(text), len(text) + 12))
+        text += words + prose(10 + k, 400)
+    rows = [(1, " ".join(text)), (2, " ".join(["bad0"] * 200))]
+    found = {r["doc_id"]: r for r in toxicity.score_documents(make_docs(rows), model).collect()}
+    assert [(p["first"], p["end"]) for p in found[1]["passages"]] == expected
+    assert all(p["sum"] == 36.0 for p in found[1]["passages"])
+    assert found[2]["passages"] == []
+
+
+def test_limited_sums_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(500):
+        value = {f"w{k}": rng.choice([-1.5, -0.25, 0.5, 1.0, 3.0]) for k in range(rng.randrange(1, 6))}
+        words = [rng.choice(list(value)) for _ in range(rng.randrange(1, 22))]
+        best = 0.0
+        for a in range(len(words)):
+            total = 0.0
+            for b in range(a, len(words)):
+                s = value[words[b]]
+                total += s if s <= 0 or words[a:b].count(words[b]) < toxicity.OCCURRENCES else 0
+                best = max(best, total)
+        assert math.isclose(best, toxicity.limited(words, np.array([value[w] for w in words])), abs_tol=1e-9)
+
+
 def brute_segments(scores):
     """Maximal segments by their definition: every proper part sums to less, and none contains another."""
     n, total = len(scores), np.r_[0, np.cumsum(scores)]
