@@ -13,6 +13,7 @@ from storelens.llm import (
     near_copies,
     quality_fm,
     queries,
+    resampling,
     samples,
     simhash,
     substring_dedup,
@@ -22,7 +23,7 @@ from storelens.llm import (
 
 for _module in (
     ann, archives, common, decontamination, license_templates, licenses, mixing, near_copies, quality_fm, queries,
-    samples, simhash, substring_dedup, token_counts, toxicity,
+    resampling, samples, simhash, substring_dedup, token_counts, toxicity,
 ):
     # functions that run in workers travel with the job, so executors need no copy of this package
     cloudpickle.register_pickle_by_value(_module)

@@ -15,6 +15,7 @@ from storelens.llm import (
     licenses,
     mixing,
     quality_fm,
+    resampling,
     simhash,
     substring_dedup,
     token_counts,
@@ -82,6 +83,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).select("_row.doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -94,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -101,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_nearest": ann.NEAREST_SQL,
         "op4_substring_dedup": substring_dedup.REPEATS_SQL,
+        "op13_resampling": resampling.RESAMPLE_SQL,
     }
