@@ -6,6 +6,7 @@ from storelens.llm import (
     ann,
     archives,
     common,
+    conversations,
     decontamination,
     license_templates,
     licenses,
@@ -15,6 +16,7 @@ from storelens.llm import (
     queries,
     resampling,
     samples,
+    sharding,
     simhash,
     substring_dedup,
     token_counts,
@@ -22,8 +24,8 @@ from storelens.llm import (
 )
 
 for _module in (
-    ann, archives, common, decontamination, license_templates, licenses, mixing, near_copies, quality_fm, queries,
-    resampling, samples, simhash, substring_dedup, token_counts, toxicity,
+    ann, archives, common, conversations, decontamination, license_templates, licenses, mixing, near_copies, quality_fm,
+    queries, resampling, samples, sharding, simhash, substring_dedup, token_counts, toxicity,
 ):
     # functions that run in workers travel with the job, so executors need no copy of this package
     cloudpickle.register_pickle_by_value(_module)

@@ -74,6 +74,11 @@ def uniform(*parts: Column | str) -> Column:
     return bits.cast("double") / F.lit(float(1 << 53))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def crc_rest(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo `modulus`; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from storelens.llm import (
     ann,
     archives,
+    conversations,
     decontamination,
     licenses,
     mixing,
     quality_fm,
     resampling,
+    sharding,
     simhash,
     substring_dedup,
     token_counts,
@@ -83,6 +85,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), everyone=rows)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    return sharding.shuffled(table(spark, sf_dir, "documents"), shards=8).select(
+        "_row.doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -101,6 +117,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
+        "op11_conversations": op11_conversations,
+        "op12_sharding": op12_sharding,
         "op13_resampling": op13_resampling,
     }
 
@@ -109,5 +127,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_nearest": ann.NEAREST_SQL,
         "op4_substring_dedup": substring_dedup.REPEATS_SQL,
+        "op11_conversations": conversations.REPAIR_SQL,
         "op13_resampling": resampling.RESAMPLE_SQL,
     }
