@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Has the session send texts to Python in batches of at most `rows`, unless it already has fewer.
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, max_bytes: int | None = None) -> None:
+    """Has the session send texts to Python in batches of at most `rows`, unless it already has fewer, and of about
+    `max_bytes` where that is given.
 
     The default of 10,000 rows is meant for numbers; of texts it can be 100 MB and more, held
     several times over in every worker and its executor.
@@ -29,6 +31,16 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
+    if max_bytes:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", max_bytes)
+
+
+def released() -> None:
+    """Gives back what a task's Python worker has freed: Spark keeps the worker, and it would keep the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc has it
+        trim(0)
 
 
 def map_batches(

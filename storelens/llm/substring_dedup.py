@@ -27,12 +27,16 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storelens.llm.common import CHUNK_BYTES, Learned, chunks, map_batches, texts
+from storelens.functions.skew import left_join
+from storelens.llm.common import Learned, bounded_batches, chunks, map_batches, released, texts
 from storelens.llm.simhash import mixed
+from storelens.session import materialize
 
 WINDOW, SEED = 20, 4
 BUCKET_BYTES = 8 * 1024**2  # of packed words in a bucket, about
+PACK_BYTES, BATCH_BYTES = 2 * 1024**2, 2 * 1024**2  # of text packed at a time, and sent to Python at a time
 COMMON_SHARE, COMMON_LEAST, SAMPLE_OF = 1e-5, 16, 64
 _REMEMBERED = 100_000
 _ODD = 0x9E3779B97F4A7C15 | 1
@@ -127,7 +131,7 @@ class Packer:
     def __init__(self, buckets: int, common: np.ndarray):
         self.buckets, self.common = buckets, Common(common)
         self.known = Learned(xxhash.xxh64_intdigest)
-        self.sent: dict[bytes, tuple[int, int]] = {}
+        self.sent: dict[bytes, tuple[int, int, int]] = {}
         self.press = zstandard.ZstdCompressor(level=3)
 
     def __call__(self, keys: list[int], tags: list[int], contents: list[bytes]) -> Iterator[tuple]:
@@ -169,15 +173,16 @@ class Packer:
         sent = self.sent
         for n, (a, b, place) in enumerate(zip(
             begins[first].tolist(), ends[first + count + WINDOW - 2].tolist(),
-            zip(key.tolist(), start.tolist()),
+            zip(key.tolist(), start.tolist(), tag.tolist()),
         )):
             string = joined[a:b]
             before = sent.get(string)
-            if before is None or place < before:
+            # another text at the same place may have the passage from elsewhere too, so it is sent
+            if before is None or place[:2] < before[:2] or place[:2] == before[:2] and place != before:
                 sent[string] = place
                 strings.append(string)
                 send.append(n)
-            elif place > before:
+            elif place != before:
                 again.append(n)
         send, again = np.array(send, np.int64), np.array(again, np.int64)
         order = np.argsort(bucket[send], kind="stable")
@@ -271,6 +276,7 @@ def _by_words(ids, at, key, start) -> np.ndarray:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_key, _tag, spans (start word, number of repeated windows) of documents with repeats."""
+    bounded_batches(docs.sparkSession, max_bytes=BATCH_BYTES)
     keyed = _keyed(docs, id_col, text_col)
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, math.ceil(3 * size / BUCKET_BYTES))
@@ -289,17 +295,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     schema=fields)
 
         for batch in batches:
-            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist()):
+            for a, b in chunks(pc.binary_length(batch.column(2)).to_pylist(), PACK_BYTES):
                 more = texts(batch.column(2).slice(a, b - a))
                 keys += batch.column(0).slice(a, b - a).to_pylist()
                 tags += batch.column(1).slice(a, b - a).to_pylist()
                 contents += more
                 size += sum(map(len, more))
-                if size >= CHUNK_BYTES:
+                if size >= PACK_BYTES:
                     yield from packed()
                     keys, tags, contents, size = [], [], [], 0
         if contents:
             yield from packed()
+        released()
 
     def count(batches):
         now, held = None, []
@@ -315,6 +322,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     held.append((words, places))
         if held:
             yield from spans(repeated(held))
+        held.clear()
+        released()
 
     def spans(found) -> Iterator[pa.RecordBatch]:
         key, tag, start, count = found
@@ -343,22 +352,25 @@ def stripped_rows(
     further ahead in the same one) is removed; windows are judged on the input. kept is
     the text itself where nothing was removed, else the kept words joined by one space (null unless
     with_text); kept_sha256 is always that of the joined words. Null text: no words, and kept is null. A null id
-    comes before all others. Rows of one id stand at the same place, so none removes words of another. Fewer
-    than 20 words: nothing is removed. Empty table: no rows.
+    comes before all others. Rows of one id count as one document: a window of one that starts further ahead removes
+    words of another, one at the same start does not. Fewer than 20 words: nothing is removed. Empty table: no rows.
     """
-    spans = removals(docs, id_col, text_col)
+    place = F.concat_ws(":", "_key", "_tag").alias("_at")
+    spans = materialize(removals(docs, id_col, text_col).select(place, "spans"), "repeats-spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the text travels inside its row, and a second time only if it is no string there
+    inside = isinstance(docs.schema[text_col].dataType, T.StringType)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_key"),
         F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("_tag"),
-        F.col(text_col).cast("string").alias("_text"),
-    )
-    joined = rows.join(spans, ["_key", "_tag"], "left").select("_row", "_text", "spans")
+        F.lit(None).cast("string").alias("_text") if inside else F.col(text_col).cast("string").alias("_text"),
+    ).select("_row", "_text", place)
+    joined = left_join(rows, spans, "_at").select("_row", "_text", "spans")
 
     def strip(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n_words, n_removed, digests, kept = [], [], [], []
-        column = batch.column(1)
+        column = batch.column(0).field(text_col) if inside else batch.column(1)
         nulls = column.is_null().to_pylist()
         all_spans = batch.column(2).to_pylist()
         for text, is_null, spans in zip(texts(column), nulls, all_spans):

@@ -109,7 +109,7 @@ def test_repeats_are_removed_exactly(make_docs, odd_rows, monkeypatch, small):
         monkeypatch.setattr(substring_dedup, "COMMON_LEAST", 2)
         monkeypatch.setattr(substring_dedup, "SAMPLE_OF", 2)
         monkeypatch.setattr(substring_dedup, "_REMEMBERED", 5)
-        monkeypatch.setattr(substring_dedup, "chunks", lambda sizes: [(i, i + 1) for i in range(len(sizes))])
+        monkeypatch.setattr(substring_dedup, "chunks", lambda sizes, most=0: [(i, i + 1) for i in range(len(sizes))])
     rows = passage_rows(odd_rows)
     found = substring_dedup.without_repeats(make_docs(rows).repartition(5)).collect()
     assert sorted((tuple(r) for r in found), key=str) == brute_strip(rows)
@@ -125,6 +125,13 @@ def test_stripped_rows_keep_all_columns(make_docs, odd_rows):
     assert substring_dedup.without_repeats(make_docs([])).collect() == []
 
 
+def test_two_texts_of_one_id_both_lose_a_known_passage(make_docs):
+    shared = " ".join(prose(7, 24))
+    rows = [(1, "start " + shared), (5, f"{shared} one end"), (5, f"{shared} other end"), (5, f"{shared} one end")]
+    found = substring_dedup.without_repeats(make_docs(rows).coalesce(1)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in found) == [(1, 0), (5, 24), (5, 24), (5, 24)]
+
+
 def test_equal_hashes_do_not_join_different_words(monkeypatch):
     monkeypatch.setattr(
         substring_dedup, "rolling", lambda v, n: np.zeros(max(0, len(v) - n + 1), np.uint64))
