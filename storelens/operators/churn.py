@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
-    LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ from storelens.functions.columns import (
 from storelens.functions.quantiles import exact_quantiles
 from storelens.functions.ranking import global_rank
 from storelens.functions.skew import left_join
+from storelens.operators import logistic
 from storelens.operators.rfm import snapshot
 from storelens.session import materialize
 
@@ -224,24 +225,23 @@ def train_lr(
 ) -> PipelineModel:
     """Balanced logistic regression on standardised features.
 
-    The penalty is 1 on the sum of the losses, hence 1/n on their mean.
+    The penalty is 1 on the sum of the losses. Newton's method takes it to a gradient of zero (`lr_gradient`).
     """
-    weighted = class_weights(train)
-    stages = [
-        _assemble(features, "raw_features"),
-        StandardScaler(
-            inputCol="raw_features", outputCol="features", withMean=True, withStd=True
-        ),
-        LogisticRegression(
-            labelCol="churn",
-            weightCol="weight",
-            maxIter=max_iter,
-            regParam=1.0 / train.count(),
-            elasticNetParam=0.0,
-            standardization=False,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
+    scaling, rows, x = logistic.scaled(class_weights(train), features, F.col("churn"), F.col("weight"))
+    fit = logistic.newton(rows, x, F.col("churn"), F.col("weight"), max_iter=max_iter)
+    return logistic.as_model(scaling, fit, "churn")
+
+
+def lr_gradient(
+    model: PipelineModel, train: DataFrame, features: tuple[str, ...] = FEATURES
+) -> list[float]:
+    """The gradient of the penalised loss of the training rows at the model's coefficients, the intercept last."""
+    scaled = model.stages[1].transform(model.stages[0].transform(class_weights(train)))
+    values = vector_to_array("features")
+    fitted = model.stages[-1]
+    beta = np.r_[fitted.coefficients.toArray(), fitted.intercept]
+    x = [values[i] for i in range(len(features))]
+    return logistic.gradient(scaled, x, F.col("churn"), F.col("weight"), beta).tolist()
 
 
 def train_rf(

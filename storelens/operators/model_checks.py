@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelens.operators import churn
 from storelens.operators.rfm import SCORES
-from storelens.plans.experiments import Trained
+from storelens.plans.experiments import TEST_SHARE, Trained
 
 
 def churn_scores(scored: DataFrame) -> DataFrame:
@@ -121,3 +122,14 @@ def preview_is_sound(preview: DataFrame, table: DataFrame, key: list[str], n: in
     """Rows of the preview, and whether all of them are rows of the table."""
     unknown = preview.join(table.select(*key), key, "left_anti").agg(F.count(F.lit(1))).scalar()
     return preview.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("all_known", unknown == 0)
+
+
+def lr_is_optimal(trained: Trained, labelled: DataFrame) -> DataFrame:
+    """Training rows, positives, coefficients, and whether the penalised gradient vanishes at them."""
+    split = churn.stratified_split(labelled, test=TEST_SHARE)
+    train = split.where(~F.col("is_test"))
+    slope = churn.lr_gradient(trained.models["LogisticRegression"], train, trained.features)
+    return train.agg(
+        F.count(F.lit(1)).alias("n_train"), F.sum("churn").cast("bigint").alias("n_positive"),
+        F.lit(len(slope) - 1).alias("n_coefficients"),
+        F.lit(sum(g * g for g in slope) ** 0.5 < 1e-6).alias("gradient_is_zero"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storelens.functions.ranking import global_rank
+from storelens.session import materialize
+
 # Topics and their keywords (French, English, Arabic); the first topic that matches wins.
 TOPICS = {
     "category": ("catégorie", "categorie", "category", "فئة", "فئات"),
@@ -23,6 +26,7 @@ OTHER_TOPIC = "other"
 MONEY_WORDS = ("revenue", "amount", "value", "spent", "monetary", "price", "total")
 SHARE_WORDS = ("pct", "percent", "percentage", "rate")
 
+# Ranking words, and numbers in words' order.
 # (?U) makes \b and \d follow Unicode, as the accented and Arabic words need.
 _TOP_N = r"(?U)\b(?:top|meilleurs?|premiers?|أفضل)\s*(\d+)"
 _ANY_NUMBER = r"(?U)\b(\d+)\b"
@@ -84,32 +88,37 @@ HEADINGS = {
     "category": "Categories", "city": "Cities", "product": "Products", "customer": "Customers",
     "payment": "Payments", "review": "Reviews", "segment": "Segments", "month": "Months",
 }
-ANSWER_ROWS = 10  # lines of an answer that names no number
 
 
-def answer_table(questions: DataFrame, result: DataFrame, rows: int = ANSWER_ROWS) -> DataFrame:
+def answer_table(questions: DataFrame, result: DataFrame) -> DataFrame:
     """question_id, position, line: the answer to every question as numbered lines of text.
 
-    `questions` has topic and requested_n, `result` is a formatted result of a query, small by
-    nature. Line 0 is the heading by topic; then come the first requested_n rows (else `rows`)
-    with their numbers, and what is left over as a count.
+    `questions` has topic and requested_n, `result` is a formatted result of a query, in its order. Line 0 is the
+    heading by topic; then come the first requested_n rows, or all of them where no number is asked for, with their
+    numbers, and what is left over as a count. Rows are numbered over the cluster and joined by their number.
     """
-    lines = result.select(answer_lines(result).alias("line")).collect()  # a report, not data rows
-    texts = F.array(*[F.lit(r["line"]) for r in lines]).cast("array<string>")
-    wanted = F.least(F.coalesce("requested_n", F.lit(rows)), F.lit(len(lines))).cast("int")
+    placed = materialize(
+        result.select(answer_lines(result).alias("text"), F.monotonically_increasing_id().alias("at")), "answer-lines")
+    lines = global_rank(placed, ["at"], "position", "answer-rank").select("position", "text")
+    total = placed.count()
+    wanted = F.least(F.coalesce("requested_n", F.lit(total)), F.lit(total)).cast("bigint")
     heading = None
     for topic, words in HEADINGS.items():
         hit = F.col("topic") == topic
         heading = F.when(hit, words) if heading is None else heading.when(hit, words)
-    numbered = F.transform(
-        F.slice(texts, F.lit(1), wanted),
-        lambda line, i: F.concat((i + 1).cast("string"), F.lit(". "), line),
-    )
-    left = F.lit(len(lines)) - wanted
-    more = F.when(left > 0, F.array(F.concat(F.lit("... and "), left.cast("string"), F.lit(" more rows"))))
-    out = F.concat(
-        F.array(heading.otherwise("Result")), numbered, F.coalesce(more, F.array().cast("array<string>")))
-    return questions.select("question_id", F.posexplode(out).alias("position", "line"))
+    asked = questions.select("question_id", heading.otherwise("Result").alias("heading"), wanted.alias("wanted"))
+    left = F.lit(total) - F.col("wanted")
+    ends = asked.select("question_id", F.inline(F.filter(
+        F.array(
+            F.struct(F.lit(0).cast("bigint").alias("position"), F.col("heading").alias("line")),
+            F.when(left > 0, F.struct(
+                (F.col("wanted") + 1).alias("position"),
+                F.concat(F.lit("... and "), left.cast("string"), F.lit(" more rows")).alias("line")))),
+        lambda x: x.isNotNull())))
+    numbers = asked.where("wanted > 0").select("question_id", F.explode(F.sequence(F.lit(1), "wanted")).alias("position"))
+    body = numbers.join(lines, "position").select(
+        "question_id", "position", F.concat(F.col("position").cast("string"), F.lit(". "), F.col("text")).alias("line"))
+    return ends.unionByName(body).withColumn("position", F.col("position").cast("int"))
 
 
 def answer_lines(df: DataFrame) -> Column:
