@@ -50,6 +50,7 @@ except ImportError as absent:
 MIN_PURCHASES = 30
 LOOKUP_ID = "Customer#000000007"
 SINCE = "2000-01"
+REVIEW_BOUND = 1600  # at sf0.01 half of the categories have fewer
 
 _marts: dict[tuple[str, str], Mart] = {}
 
@@ -170,19 +171,25 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def _save_load(spark: SparkSession, m: Mart) -> DataFrame:
-    """The warehouse stored and read back: rows of each table, and whether they are the same."""
+def _stored_alike(spark: SparkSession, written: dict[str, DataFrame]) -> DataFrame:
+    """Tables stored and read back: rows of each, and whether none is lost or added."""
     folder = scratch(spark, "stored")
-    tables.save_tables(m.warehouse, folder)
+    tables.save_tables(written, folder)
     loaded = tables.load_all(spark, folder)
     rows = []
-    for name, df in m.warehouse.items():
+    for name, df in written.items():
         lost = df.exceptAll(loaded[name]).agg(F.count(F.lit(1))).scalar()
+        added = loaded[name].exceptAll(df).agg(F.count(F.lit(1))).scalar()
         rows.append(loaded[name].agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("table_name"), "n_rows", (lost == 0).alias("same")))
+            F.lit(name).alias("table_name"), "n_rows", (lost + added == 0).alias("same")))
     return reduce(DataFrame.unionByName, rows)
 
 
+def _built(m: Mart) -> DataFrame:
+    """The whole warehouse built again from the raw tables: rows of each table."""
+    return tables.table_inventory(star.build_warehouse(m.raw))
+
+
 def _model_reload(spark: SparkSession, m: Mart) -> DataFrame:
     """Customers, and whether the best model scores them alike after saving and loading."""
     path, best = scratch(spark, "model"), m.trained.best()
@@ -196,19 +203,54 @@ def _model_reload(spark: SparkSession, m: Mart) -> DataFrame:
         (F.max(F.abs(F.col("churn_probability") - F.col("again"))) < 1e-12).alias("same"))
 
 
+def _digest(df: DataFrame) -> Column:
+    """A hash of all values of a report: rows as text, in the order of that text."""
+    cells = [
+        F.coalesce((F.col(f"`{c}`").cast("decimal(20,2)") if t.startswith(("double", "decimal")) else F.col(f"`{c}`"))
+                   .cast("string"), F.lit("NULL")) for c, t in df.dtypes]
+    return F.md5(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *cells))), "\n").cast("binary"))
+
+
 def _question_pack(spark: SparkSession, m: Mart) -> DataFrame:
-    """Every question of the pack with its number of rows; the broken one has none and stops nothing."""
+    """Every question of the pack with its rows and a hash of their values; the broken one stops nothing."""
     tables.register({f"storelens_{n}": df for n, df in (
         ("fact_sales", m.fact_sales), ("orders", m.orders), ("payments", m.payments),
-        ("reviews", m.reviews), ("customer_segments", m.customer_segments))})
+        ("reviews", m.reviews))})
     pack = business_questions.PACK | {"broken": "SELECT no_such_column FROM storelens_orders"}
     found = sqlpack.run_pack(spark, pack)
-    ran = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(name).alias("question"), "n_rows", F.lit(True).alias("ran"))
+    ran = [df.agg(F.count(F.lit(1)).alias("n_rows"), _digest(df).alias("digest")).select(
+        F.lit(name).alias("question"), "n_rows", F.lit(True).alias("ran"), "digest")
         for name, df in found.items() if isinstance(df, DataFrame)]
-    failed = [(name, 0, False) for name, df in found.items() if isinstance(df, str)]
+    failed = [(name, 0, False, None) for name, df in found.items() if isinstance(df, str)]
     return reduce(DataFrame.unionByName, ran).unionByName(
-        spark.createDataFrame(failed, "question string, n_rows long, ran boolean"))
+        spark.createDataFrame(failed, "question string, n_rows long, ran boolean, digest string"))
+
+
+def _served_shapes(m: Mart) -> DataFrame:
+    """What callers of the served results rely on, as rows."""
+    kinds = F.collect_set("segment")
+    unknown = "no such customer"
+    rows = [
+        sales.top_categories(m.fact_sales, 5).agg((F.count(F.lit(1)) <= 5).alias("ok"))
+        .select(F.lit("top_categories_limit").alias("shape"), "ok"),
+        sales.top_cities(m.fact_sales, 5).agg((F.count(F.lit(1)) <= 5).alias("ok"))
+        .select(F.lit("top_cities_limit").alias("shape"), "ok"),
+        sales.segment_summary(m.customer_segments).agg(
+            ((F.size(kinds) == 5) & F.array_contains(kinds, "VIP") & F.array_contains(kinds, "Loyal")).alias("ok"))
+        .select(F.lit("five_segments").alias("shape"), "ok"),
+        sales.segment_lookup(m.customer_segments, unknown).agg((F.count(F.lit(1)) == 0).alias("ok"))
+        .select(F.lit("unknown_segment").alias("shape"), "ok"),
+        sales.top_risk(_churn_table(m), 5).agg((F.count("churn_probability") <= 5).alias("ok"))
+        .select(F.lit("top_risk_limit").alias("shape"), "ok"),
+        recommend.reco_lookup(
+            m.rfm.sparkSession.createDataFrame([(unknown,)], "customer_unique_id string"),
+            m.recommendations, m.popular_products,
+        ).agg((F.count_if("fallback") == F.count(F.lit(1))).alias("ok"))
+        .select(F.lit("unknown_gets_fallback").alias("shape"), "ok"),
+        sales.popular_products_top(m.popular_products, 5).agg((F.count(F.lit(1)) <= 5).alias("ok"))
+        .select(F.lit("popular_limit").alias("shape"), "ok"),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _answer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +293,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dim_products": lambda m: m.warehouse["dim_products"],
         "dim_sellers": lambda m: m.warehouse["dim_sellers"],
         "table_inventory": lambda m: tables.table_inventory(m.warehouse),
+        "build_warehouse": _built,
+        "expected_tables": lambda m: quality.expected_tables(
+            m.warehouse | m.derived() | {"customer_churn": _churn_table(m)}, m.fact_sales.sparkSession),
+        "required_columns": lambda m: quality.required_columns(m.fact_sales),
+        "served_shapes": _served_shapes,
+        "review_by_category_bound": lambda m: sales.review_by_category(m.fact_sales, m.reviews, REVIEW_BOUND),
+        "hit_rate_500": lambda m: recommend.hit_rate(
+            m.fact_sales, m.popular_products, n_users=500, items=m.customer_items),
         "short_ids": lambda m: m.popular_products.select(
             "product_id", *[short_id("product_id", n).alias(f"short_{n}") for n in (10, 15, 20, 30)]
         ).unionByName(
@@ -433,7 +483,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ["order_id", "order_item_id"], 100,
         ),
         "csv_roundtrip": _csv_roundtrip,
-        "save_load": lambda spark, sf_dir: _save_load(spark, mart(spark, sf_dir)),
+        "save_load": lambda spark, sf_dir: _stored_alike(spark, mart(spark, sf_dir).warehouse),
+        "derived_tables": lambda spark, sf_dir: _stored_alike(spark, mart(spark, sf_dir).derived()),
+        "recommendation_artifacts": lambda spark, sf_dir: _stored_alike(
+            spark, mart(spark, sf_dir).recommendation_artifacts()),
         "model_reload": lambda spark, sf_dir: _model_reload(spark, mart(spark, sf_dir)),
         "question_pack": lambda spark, sf_dir: _question_pack(spark, mart(spark, sf_dir)),
         "answer_table": _answer_table,

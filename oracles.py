@@ -279,15 +279,19 @@ def _describe(x: str) -> str:
                {even(quantile(d, 0.75))} AS p75, {even(f'MAX({d})')} AS max FROM rfm"""
 
 
-def _hit_rate(leak_free: bool) -> str:
-    held = """
+def _hit_rate(leak_free: bool, n_users: int | None = None) -> str:
+    sampled = "" if n_users is None else f""" AND customer_unique_id IN (
+        SELECT customer_unique_id FROM (SELECT DISTINCT customer_unique_id FROM fact
+                                        WHERE customer_unique_id IS NOT NULL AND product_id IS NOT NULL)
+        ORDER BY substr(md5(customer_unique_id || '|42'), 1, 8), customer_unique_id LIMIT {n_users})"""
+    held = f"""
         SELECT customer_unique_id, product_id, category FROM (
             SELECT *, row_number() OVER (PARTITION BY customer_unique_id ORDER BY
                        substr(md5(customer_unique_id || '|' || product_id), 1, 8), product_id) AS i,
                    COUNT(*) OVER (PARTITION BY customer_unique_id) AS n
             FROM (SELECT customer_unique_id, product_id, MIN(product_category_name_english) AS category
                   FROM fact WHERE customer_unique_id IS NOT NULL GROUP BY 1, 2))
-        WHERE i = 1 AND n >= 2"""
+        WHERE i = 1 AND n >= 2{sampled}"""
     changes = {
         "bought": f"""
             SELECT DISTINCT f.customer_unique_id, f.product_id FROM fact f
@@ -650,6 +654,7 @@ def all_sql() -> dict[str, str]:
         ORDER BY n DESC, category LIMIT 15""")
     sql["hit_rate"] = _hit_rate(False)
     sql["hit_rate_leak_free"] = _hit_rate(True)
+    sql["hit_rate_500"] = _hit_rate(False, 500)
     sql["reco_lookup"] = _query("recos", """
         SELECT customer_unique_id, FALSE AS fallback, rank, product_id, 10::DOUBLE - rank AS score,
                CAST(NULL AS VARCHAR) AS category
@@ -706,27 +711,58 @@ def all_sql() -> dict[str, str]:
             ("payments", "r_payments"), ("reviews", "r_reviews"), ("products", "part"),
             ("sellers", "supplier"), ("geolocation", "places"), ("category_translation", "r_translation"))))
     sql["save_load"] = sql["table_inventory"].replace("AS n_rows", "AS n_rows, TRUE AS same")
+    sql["build_warehouse"] = sql["table_inventory"]
+    for name, parts in {
+        "derived_tables": {"customer_segments": "segment_table", "segment_profile": "segment_profile",
+                           "recommendations": "recommendations", "popular_products": "popular_products",
+                           "category_stats": "category_stats"},
+        "recommendation_artifacts": {"customer_categories": "favourite_categories",
+                                     "top_per_category": "top_per_category", "popular_products": "popular_products"},
+    }.items():
+        sql[name] = " UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, COUNT(*) AS n_rows, TRUE AS same FROM ({sql[of]})"
+            for table, of in parts.items())
+    sql["recommendation_artifacts"] += " UNION ALL SELECT * FROM (" + _query(
+        "bought", "SELECT 'customer_products' AS table_name, COUNT(*) AS n_rows, TRUE AS same FROM bought") + ")"
+    sql["expected_tables"] = """
+        SELECT 'table_' || name AS check, TRUE AS ok, 'present' AS observed FROM (VALUES
+            ('fact_sales'), ('dim_customers'), ('dim_products'), ('dim_sellers'), ('orders'), ('reviews'), ('payments'),
+            ('customer_segments'), ('customer_churn'), ('popular_products'), ('recommendations')) t(name)"""
+    sql["required_columns"] = _query("fact", " UNION ALL ".join(
+        f"SELECT 'column_{c}' AS check, TRUE AS ok, CAST(COUNT({c}) AS VARCHAR) AS observed FROM fact"
+        for c in ("order_id", "customer_unique_id", "product_id", "total_amount", "order_purchase_timestamp")))
+    sql["served_shapes"] = _query("segments", """
+        SELECT shape, TRUE AS ok FROM (VALUES ('top_categories_limit'), ('top_cities_limit'),
+            ('unknown_segment'), ('top_risk_limit'), ('unknown_gets_fallback'), ('popular_limit')) t(shape)
+        UNION ALL
+        SELECT 'five_segments', COUNT(DISTINCT segment) = 5 AND bool_or(segment = 'VIP') AND bool_or(segment = 'Loyal')
+        FROM segments""")
+    sql["review_by_category_bound"] = sql["review_by_category"].replace("COUNT(*) >= 100", "COUNT(*) >= 1600")
     sql["model_reload"] = _query("rfm", "SELECT COUNT(*) AS n_customers, TRUE AS same FROM rfm")
     sql["plot_sample_500"] = sql["plot_sample"].replace("LIMIT 10000", "LIMIT 500")
-    counts = {
-        "revenue_by_month": "SELECT DISTINCT year_month FROM fact",
-        "top_products": "SELECT DISTINCT product_id FROM fact LIMIT 10",
-        "top_categories": f"SELECT DISTINCT {category} FROM fact LIMIT 10",
-        "top_cities": "SELECT DISTINCT customer_city FROM fact LIMIT 10",
-        "top_customers": "SELECT DISTINCT customer_unique_id FROM fact LIMIT 10",
-        "customers_by_segment": "SELECT DISTINCT segment FROM segments",
-        "payment_types": "SELECT DISTINCT payment_type FROM r_payments",
-        "installments": "SELECT DISTINCT payment_installments FROM r_payments",
-        "review_scores": "SELECT DISTINCT review_score FROM r_reviews",
-        "reviews_by_category": f"""
-            SELECT {category} FROM fact JOIN r_reviews USING (order_id) GROUP BY 1 HAVING COUNT(*) >= 100 LIMIT 15""",
-        "order_status": "SELECT DISTINCT order_status FROM r_orders",
+    money = {"total_revenue", "avg_order_value", "revenue", "monetary", "total_spent", "total_value", "pct", "avg_score",
+             "avg_delivery_days"}
+    columns = {
+        "total_revenue": "total_revenue", "total_orders": "total_orders", "total_customers": "total_customers",
+        "avg_order_value": "avg_order_value", "monthly_sales": "year_month orders revenue",
+        "top_products": "product_id times_sold unique_orders revenue", "top_categories": "category orders revenue",
+        "top_cities": "customer_city customer_state orders revenue",
+        "rfm_sql": "customer_unique_id recency_days frequency monetary",
+        "top_customers": "customer_unique_id customer_city customer_state orders total_spent",
+        "payment_mix": "payment_type transactions total_value", "installments": "payment_installments transactions",
+        "review_distribution": "review_score total pct", "review_by_category": "category avg_score num_reviews",
+        "avg_delivery": "avg_delivery_days", "order_status": "order_status total pct",
     }
-    single = ("total_revenue", "total_orders", "total_customers", "average_order_value", "delivery_days")
-    sql["question_pack"] = _query("segments", " UNION ALL ".join([
-        *(f"SELECT '{name}' AS question, COUNT(*) AS n_rows, TRUE AS ran FROM ({text})" for name, text in counts.items()),
-        *(f"SELECT '{name}', CAST(1 AS BIGINT), TRUE" for name in single),
-        "SELECT 'broken', CAST(0 AS BIGINT), FALSE"]))
+
+    def cell(name: str) -> str:
+        return f"coalesce(CAST({f'CAST({name} AS DECIMAL(20,2))' if name in money else name} AS VARCHAR), 'NULL')"
+
+    sql["question_pack"] = " UNION ALL ".join([
+        *(f"""SELECT '{name}' AS question, COUNT(*) AS n_rows, TRUE AS ran,
+                     md5(coalesce(string_agg(line, chr(10) ORDER BY line), '')) AS digest
+              FROM (SELECT {" || '|' || ".join(map(cell, names.split()))} AS line FROM ({sql[name]}))"""
+          for name, names in columns.items()),
+        "SELECT 'broken', CAST(0 AS BIGINT), FALSE, CAST(NULL AS VARCHAR)"])
     gappy = """
         SELECT * REPLACE (CASE WHEN n % 11 <> 0 THEN total_amount END AS total_amount,
                           CASE WHEN n % 13 <> 0 THEN order_purchase_timestamp END AS order_purchase_timestamp)

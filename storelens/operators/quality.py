@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The tables a complete build leaves behind.
@@ -39,6 +39,23 @@ def missing_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED_FACT_COL
     return [name for name in required if name not in df.columns]
 
 
+def expected_tables(
+    tables: dict[str, DataFrame], spark: SparkSession, expected: tuple[str, ...] = EXPECTED_TABLES
+) -> DataFrame:
+    """check, ok, observed: a row for each expected table, and whether it is there."""
+    absent = set(missing_tables(tables, expected))
+    return spark.createDataFrame(
+        [(f"table_{name}", name not in absent, "absent" if name in absent else "present") for name in expected], "check string, ok boolean, observed string")
+
+
+def required_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED_FACT_COLUMNS) -> DataFrame:
+    """check, ok, observed: a row for each required column, whether it is there, and its values that are not NULL."""
+    absent = set(missing_columns(df, required))
+    return _report(df, {
+        f"column_{name}": (F.lit(None), F.lit(False)) if name in absent
+        else (F.count(F.col(f"`{name}`")), F.lit(True)) for name in required})
+
+
 def _report(df: DataFrame, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
     """check, ok, observed from aggregates: name -> (observed, whether that is fine)."""
     row = df.agg(*[

@@ -136,18 +136,6 @@ def test_mart_save(spark, mart, tmp_path):
         assert spark.read.parquet(f"{out}/artifacts/{artifact}").count() > 0
 
 
-def test_parts_with_another_header_are_refused(spark, tmp_path):
-    folder = tmp_path / "payments.csv"
-    folder.mkdir()
-    head = "order_id,payment_sequential,payment_type,payment_installments,payment_value"
-    (folder / "part-1.csv").write_text(f"{head}\n1,1,card,2,10.50\n")
-    assert load_raw(spark, str(tmp_path))["payments"].first()["payment_type"] == "card"
-    other = "order_id,payment_type,payment_value,payment_sequential,payment_installments"
-    (folder / "part-2.csv").write_text(f"{other}\n2,voucher,2.00,1,3\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        load_raw(spark, str(tmp_path))["payments"].collect()
-
-
 def test_close_removes_what_was_written(spark, tmp_path, monkeypatch):
     from storelens import session
 
@@ -162,3 +150,54 @@ def test_explorer_lists_whatever_is_stored(spark, tmp_path):
     tables.save_tables({"orders": spark.range(3).toDF("order_id"), "extra": spark.range(2)}, str(tmp_path))
     found = tables.load_all(spark, str(tmp_path))
     assert {n: df.count() for n, df in found.items()} == {"orders": 3, "extra": 2}
+
+
+COLUMNS = ["review_id", "order_id", "review_score", "review_comment_title", "review_comment_message"]
+
+
+def _write_reviews(path, n, first, order, line_end):
+    import csv
+    import random
+
+    rng = random.Random(first)
+    texts = ["fine", 'a "quoted" word', "line\nbreak", "many\n\nbreaks, and commas\n", "", 'é,ü\n"x"\ny' * 60]
+    with open(path, "w", newline="", encoding="utf-8") as file:
+        out = csv.writer(file, lineterminator=line_end)
+        out.writerow(order)
+        for i in range(n):
+            row = dict(zip(COLUMNS, (f"r{first + i}", f"o{i}", rng.randrange(1, 6), "", rng.choice(texts))))
+            out.writerow([row[c] for c in order])
+
+
+def test_quoted_files_are_cut_among_tasks(spark, tmp_path):
+    parts = tmp_path / "reviews.csv"
+    parts.mkdir()
+    orders = [COLUMNS, COLUMNS, COLUMNS[::-1]]
+    for k, order in enumerate(orders):
+        _write_reviews(parts / f"part-{k}.csv", 400, 1000 * k, order, "\n" if k else "\r\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = spark.read.text(str(parts))
+        assert lines.rdd.getNumPartitions() > 10
+        found = load_raw(spark, str(tmp_path))["reviews"].select(COLUMNS).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    wanted = []
+    for k, order in enumerate(orders):
+        schema = ", ".join(f"{c} {'int' if c == 'review_score' else 'string'}" for c in order)
+        wanted += spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(
+            str(parts / f"part-{k}.csv")).select(COLUMNS).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, wanted), key=str)
+    assert len(found) == 1200
+
+
+def test_parts_are_read_by_their_own_header(spark, tmp_path):
+    parts = tmp_path / "sellers.csv"
+    parts.mkdir()
+    (parts / "a.csv").write_text("seller_id,seller_city,seller_state\ns1,x,SP\n", encoding="utf-8")
+    (parts / "b.csv").write_text("\ufeffseller_state,seller_id,more\nRJ,s2,1\n", encoding="utf-8")
+    (parts / "_SUCCESS").write_text("")
+    found = load_raw(spark, str(tmp_path))["sellers"].select("seller_id", "seller_city", "seller_state", "more").collect()
+    assert sorted(map(tuple, found)) == [("s1", "x", "SP", None), ("s2", None, "RJ", "1")]
