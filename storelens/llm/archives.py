@@ -8,14 +8,17 @@ and ARC lacks: record ids (name-based, so reruns agree), W3C timestamps, record
 digests. Records whose payload another record holds become revisits.
 
 Files are read whole per task but inflated and parsed as a stream; Spark's text writer lays them
-down, a record a value, with the record separator of the format as its line separator. Payloads never
-cross a shuffle: what to write as a revisit is decided on an index of digests and goes back to
-each file as a list of its record numbers.
+down, a record a value, with the record separator of the format as its line separator. What to write as a revisit
+is decided on an index of digests and goes back to each file as a list of its record numbers: broadcast where these
+lists were counted and found few, so that payloads stay where they are read; beyond that whole files are shuffled
+by their path. Damaged archives do not end the job: what could be read before the damage is kept, and the record
+it cut is marked as truncated.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import re
 import uuid
@@ -26,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storelens.functions.skew import left_join
+from storelens.session import materialize
+
 # Fixed values of the two formats.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -36,6 +42,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARC_SEPARATOR, WARC_SEPARATOR = "\n", "\r\n\r\n"
 
 PAGE_HEADER = "X-Page-Id"
+LENGTH_HEADER = "X-Payload-Length"  # of a revisit: the length of the payload that it leaves out
 BATCH_BYTES = 4 * 1024**2
 _ROWS = 2000
 
@@ -63,7 +70,11 @@ class Stream:
         raw = bytes(self.data[self.at: self.at + self.piece])
         self.at += len(raw)
         while self.gzip and raw:
-            self.buffer += self.inflate.decompress(raw)
+            try:
+                self.buffer += self.inflate.decompress(raw)
+            except zlib.error:  # a damaged member, or padding after the last one: nothing behind it can be told
+                self.at = len(self.data)
+                return True  # with what came before the damage
             raw = self.inflate.unused_data
             if self.inflate.eof:
                 self.inflate = zlib.decompressobj(31)
@@ -254,7 +265,7 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
 
 def _number(headers: dict[str, str]) -> int | None:
     value = headers.get(PAGE_HEADER.lower(), "")
-    return int(value) if re.fullmatch(r"-?\d+", value) else None
+    return int(value) if re.fullmatch(r"-?[0-9]{1,18}", value) else None
 
 
 # WARC
@@ -267,9 +278,13 @@ def record_id(page: int | None, digest: str, path: str, number: int) -> str:
 
 
 def w3c_date(arc_date: str) -> str:
-    """14-digit ARC dates (12 or 8 digits in the oldest files) as W3C timestamps."""
+    """14-digit ARC dates (12 or 8 digits in the oldest files) as W3C timestamps; the epoch for what is no date."""
     digits = arc_date if arc_date.isascii() and arc_date.isdigit() else "0"
     d = (digits + "19700101000000"[len(digits):])[:14] if len(digits) >= 8 else "19700101000000"
+    try:
+        datetime.datetime.strptime(d, "%Y%m%d%H%M%S")
+    except ValueError:  # digits that are no date
+        d = "19700101000000"
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -301,7 +316,8 @@ def _converted(path: str, number: int, record: dict, revisit: dict | None) -> by
         return warc_record("response", common, block)
     kept = record_id(revisit["page"], digest, revisit["path"], revisit["record"])
     return warc_record("revisit", [
-        *common, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", kept)], head)
+        *common, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", kept),
+        (LENGTH_HEADER, str(len(body)))], head)
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
@@ -320,15 +336,16 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int
         .select("digest", "length", "kept")
     )
     again = index.join(kept, ["digest", "length"]).where(place != F.col("kept"))
-    by_file = again.groupBy("path").agg(  # as many entries as the file has records
-        F.collect_list(F.struct("record", "kept")).alias("revisits"))
+    by_file = materialize(
+        again.groupBy("path").agg(  # as many entries as the file has records
+            F.collect_list(F.struct("record", "kept")).alias("revisits")), "archive-revisits")
 
     def parse(file: dict) -> Iterator[tuple]:
         kept = {r["record"]: r["kept"] for r in file["revisits"] or ()}
         for number, record in enumerate(arc_records(file["content"])):
             yield (_converted(file["path"], number, record, kept.get(number)),)
 
-    files = _files(spark, arc_path).join(by_file, "path", "left")
+    files = left_join(_files(spark, arc_path), by_file, "path")
     rows = _per_file(files, parse, "value binary", pa.schema([("value", pa.binary())]))
     _write(rows, warc_path, WARC_SEPARATOR)
 
@@ -343,7 +360,13 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.line()) not in (None, b"", b"\r"):
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        yield headers, stream.take(int(headers.get("content-length") or 0))
+        # without a length the block is taken as empty, and the next line that opens a record goes on
+        yield headers, stream.take(_length(headers.get("content-length")) or 0)
+
+
+def _length(value: str | None) -> int | None:
+    """A declared length; None for what is none."""
+    return int(value) if value and value.isascii() and value.isdigit() and len(value) < 19 else None
 
 
 _READ = pa.schema([
@@ -370,8 +393,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
             said = headers.get("warc-payload-digest", "").removeprefix("sha1:")
             intact = headers.get("warc-block-digest") == f"sha1:{sha1(block)}"
             if kind == "revisit":
-                digest, size = said, int(http.get("content-length") or 0)
-                body = None
+                # the HTTP head may lack the length or lie about it; it is asked only if the record has none
+                size = _length(headers.get(LENGTH_HEADER.lower()))
+                size = _length(http.get("content-length")) if size is None else size
+                digest, body = said, None
             else:
                 digest, size = sha1(body), len(body)
                 intact = intact and digest == said

@@ -133,13 +133,15 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
     Runs of tokens that only lower the sum are skipped over by prefix sums, so the loop runs over the
     positive tokens. Each new token becomes a segment; while an earlier one begins lower and ends
-    lower, they and all between become one.
+    lower, they and all between become one. Each segment knows the last one that begins lower, so no segment
+    is looked at twice before it is joined, and once none begins lower all before are final: the scan is linear.
     """
     at = np.flatnonzero(scores > 0)
     if not len(at):
         return []
     total = np.cumsum(scores)
-    found: list[list] = []  # first, end, sum before, sum after
+    out: list[tuple[int, int, float]] = []
+    found: list[list] = []  # first, end, sum before, sum after, the last earlier one that begins lower (or -1)
     for i, before, after in zip(
         at.tolist(), (total[at] - scores[at]).tolist(), total[at].tolist()
     ):
@@ -147,14 +149,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
         j = len(found) - 1
         while True:
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+                j = found[j][4]  # those between begin no lower than the one they are skipped from
+            if j < 0:
+                # none begins lower, so nothing before can ever be joined with what comes
+                out += [(a, b, high - low) for a, b, low, high, _ in found]
+                found = [[*new, -1]]
+                break
+            if found[j][3] >= new[3]:
+                found.append([*new, j])
                 break
             new = [found[j][0], new[1], found[j][2], new[3]]
+            skip = found[j][4]
             del found[j:]
-            j -= 1
-    return [(a, b, high - low) for a, b, low, high in found]
+            j = skip
+    return out + [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def limited(words: list[str], scores: np.ndarray) -> float:

@@ -453,3 +453,46 @@ def test_stages_decide_and_run_agrees(spark, sf, make_docs, odd_rows, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
     last = pipeline.STAGES[-1][1](spark, docs, sf).collect()
     assert sorted(map(str, last)) == sorted(map(str, pipeline.run(spark, sf).collect()))
+
+
+def _arc(*records, date="20010203040506"):
+    block = f"1 0 x\n{archives.ARC_FIELDS[1]}\n".encode()
+    out = f"filedesc://x 0.0.0.0 {date} text/plain {len(block)}\n".encode() + block + b"\n"
+    for url, when, body in records:
+        out += f"{url} 0.0.0.0 {when} text/html {len(body)}\n".encode() + body + b"\n"
+    return out
+
+
+def test_real_old_archives(spark, tmp_path):
+    """Heads that lack a length, lie about it or hold text; gzip that is padded or damaged; digits that are no date."""
+    import gzip
+
+    def page(i, head=b""):
+        return b"HTTP/1.0 200 OK\r\nX-Page-Id: %d\r\n" % i + head + b"\r\nnine byte"
+
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    (folder / "a.arc").write_bytes(_arc(
+        ("http://a", "20011399000000", page(1)), ("http://b", "20010203040506", page(2)),
+        ("http://c", "x", page(3, b"Content-Length: 1000\r\n")), ("http://d", "2001", page(4, b"Content-Length: ten\r\n"))))
+    member = gzip.compress(_arc(("http://e", "20010203", page(5))))
+    (folder / "b.arc.gz").write_bytes(member + b"\0" * 700)
+    noise = b"".join(bytes([i * 7 % 251]) for i in range(9000))
+    (folder / "c.arc.gz").write_bytes(member + gzip.compress(noise)[:40] + b"garbage" * 50)
+    archives.convert(spark, str(folder), f"{tmp_path}/warc")
+    rows = archives.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert {r["payload_bytes"] for r in rows} == {9} and all(r["intact"] for r in rows)
+    found = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in archives.page_records(
+        spark.createDataFrame(rows, archives.read_warc(spark, f"{tmp_path}/warc").schema)).collect())
+    assert [f[0] for f in found] == [1, 2, 3, 4, 5, 5]
+    assert [f[1] for f in found].count("response") == 1
+    assert {f[2] for f in found if f[1] == "revisit"} == {5}
+    assert {r["date"] for r in rows if r["page"] == 1} == {"1970-01-01T00:00:00Z"}
+
+
+def test_bad_lengths_do_not_end_the_reading():
+    good = archives.warc_record("response", [("WARC-Record-ID", "<b>")], b"HTTP/1.1 200 OK\r\n\r\nbody")
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: twelve\r\n\r\n"
+    huge = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + b"9" * 30 + b"\r\n\r\n"
+    blocks = [b for _, b in archives.warc_records(bad + b"\r\n\r\n" + good + b"\r\n\r\n" + huge)]
+    assert blocks == [b"", b"HTTP/1.1 200 OK\r\n\r\nbody", b""]

@@ -374,3 +374,15 @@ def test_whole_licences_in_long_texts(make_docs):
     assert sorted((r["doc_id"], r["license"]) for r in found) == [(1, "MIT"), (2, "MIT"), (2, "MIT")]
     assert all(r["dice"] > 0.98 for r in found)
     assert licenses.scan(make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("pattern", [[1.0, -2.0], [1.0, -0.9], [3.0, -1.0, -1.0, 0.5], [-1.0, 1.0]])
+def test_segments_take_linear_time(pattern):
+    import time
+
+    scores = np.array(pattern * (40_000 // len(pattern)))
+    began = time.thread_time()
+    found = toxicity.segments(scores)
+    assert time.thread_time() - began < 0.5
+    assert found and all(a < b and s > 0 for a, b, s in found)
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
