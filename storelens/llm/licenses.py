@@ -68,30 +68,36 @@ class Templates:
             return
         for t in np.flatnonzero(self.has[:, bigrams[met]].sum(axis=1) >= self.least):
             places = met[self.has[t, bigrams[met]]]
-            k, most = max(1, self.least[t]), self.most[t]
-            if self.sizes[t] == 0 or not (places[k - 1:] - places[: len(places) - k + 1] < most).any():
+            k = max(1, self.least[t])
+            if self.sizes[t] == 0:
                 continue
             found = []
-            bag = self.bags[t]
-            listed = list(zip(places.tolist(), bigrams[places].tolist()))
-            for i, (first, _) in enumerate(listed):
-                left, shared, best = dict(bag), 0, None
-                for place, bigram in listed[i:]:
-                    size = place - first + 1
-                    if size > most:
+            bag, size, least, most = self.bags[t], self.sizes[t], self.least[t], self.most[t]
+            at, numbers = places.tolist(), bigrams[places].tolist()
+            # a start counts only if enough of the template's bigrams follow close enough
+            starts = np.flatnonzero(places[k - 1:] - places[: len(places) - k + 1] < most)
+            for i in starts.tolist():
+                used: dict[int, int] = {}
+                first, shared, best = at[i], 0, None
+                for j in range(i, min(i + most, len(at))):  # at most a bounded number of bigrams for each start
+                    long = at[j] - first + 1
+                    if long > most:
                         break
-                    if left[bigram] > 0:
-                        left[bigram] -= 1
+                    met_before = used.get(numbers[j], 0)
+                    if met_before < bag[numbers[j]]:
+                        used[numbers[j]] = met_before + 1
                         shared += 1
-                    value = 2 * shared / (size + self.sizes[t])
+                    if shared < least:
+                        continue
+                    value = 2 * shared / (long + size)
                     if value >= self.dice - 1e-12 and (best is None or value >= best[0]):
-                        best = value, size, first, place + 1
+                        best = value, long, first, at[j] + 1
                 if best:
                     found.append(best)
-            taken: list[tuple[int, int]] = []
+            taken = bytearray(len(bigrams))
             for value, _, first, end in sorted(found, key=lambda f: (-f[0], -f[1], f[2])):
-                if all(end <= a or first >= b for a, b in taken):
-                    taken.append((first, end))
+                if taken.find(1, first, end) < 0:
+                    taken[first:end] = b"\x01" * (end - first)
                     yield int(t), first, end, value
 
 

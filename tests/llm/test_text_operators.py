@@ -376,6 +376,29 @@ def test_whole_licences_in_long_texts(make_docs):
     assert licenses.scan(make_docs([])).collect() == []
 
 
+def test_each_template_is_found_as_the_best_of_its_own_text(make_docs):
+    rows = [(i, " ".join([*prose(i, 30), text, *prose(i + 50, 30)])) for i, (_, text) in enumerate(TEMPLATES)]
+    found = licenses.scan(make_docs(rows)).collect()
+    for i, (name, _) in enumerate(TEMPLATES):
+        own = [r for r in found if r["doc_id"] == i]
+        assert max(own, key=lambda r: (r["dice"], r["end_word"] - r["first_word"]))["license"] == name
+        assert any(r["template"] == i and r["dice"] > 0.99 for r in own)
+
+
+@pytest.mark.parametrize("notice", ["All rights reserved.", "Released under the MIT License."])
+def test_repeated_notices_take_linear_time(notice):
+    import time
+
+    known, most = licenses.Templates(TEMPLATES, licenses.DICE), {}
+    for n in (1_000, 100_000):
+        began = time.thread_time()
+        bigrams, _ = known.bigrams(f"{notice} " * n)
+        own = [p for p in known.passages(bigrams) if TEMPLATES[p[0]][1] == notice]
+        most[n] = time.thread_time() - began
+        assert len(own) == n
+    assert most[100_000] < 8
+
+
 @pytest.mark.parametrize("pattern", [[1.0, -2.0], [1.0, -0.9], [3.0, -1.0, -1.0, 0.5], [-1.0, 1.0]])
 def test_segments_take_linear_time(pattern):
     import time
