@@ -24,19 +24,21 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.llm.common import Learned, map_batches
+from storelens.llm.common import Learned, chunks, map_batches
 from storelens.llm.samples import labelled_sample
+from storelens.session import materialize
 
 PER_CLASS = 10_000  # labelled documents of each label to learn from, at most
-FEATURES = 100_000  # words and prefixes with a score, at most: the most frequent in the sample
 PREFIXES = (6, 5, 4)
-LEAST_SEEN = 8  # sample occurrences below which a word backs off to its prefixes
+LEAST_SEEN = 8  # sample documents below which a word backs off to its prefixes
+DISTINCT = 200_000  # words that a task holds before it adds them up by feature; only memory depends on it
 PRIOR, DRIFT, ALPHA, LEAST_RATIO, OCCURRENCES = 2_000.0, 0.25, 0.05, 28.0, 2
 SHARE = 0.15  # of toxic documents that the scores assume
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”’‘…–—"
@@ -58,6 +60,44 @@ def features(word: str) -> list[str]:
     return [plain, *(f"{plain[:n]}-" for n in PREFIXES if len(plain) > n)] if plain else []
 
 
+class Forms:
+    """A value for each feature, looked up by the word: its plain form first, then its prefixes."""
+
+    def __init__(self, values: dict):
+        self.whole = {f: v for f, v in values.items() if not f.endswith("-")}
+        self.starts = [
+            (n, {f[:n]: v for f, v in values.items() if f.endswith("-") and len(f) == n + 1}) for n in PREFIXES]
+
+    def all(self, word: str) -> list:
+        """The values of all features of the word that have one."""
+        plain = word.lower().strip(_EDGE)
+        out = [self.whole[plain]] if plain in self.whole else []
+        return out + [start[plain[:n]] for n, start in self.starts if len(plain) > n and plain[:n] in start]
+
+    def first(self, word: str, other: float) -> float:
+        """The value of the most specific feature of the word that has one."""
+        plain = word.lower().strip(_EDGE)
+        value = self.whole.get(plain)
+        if value is not None:
+            return value
+        for n, start in self.starts:
+            if len(plain) > n:
+                value = start.get(plain[:n])
+                if value is not None:
+                    return value
+        return other
+
+
+def coded(texts: list[str | None]) -> Iterator[tuple[list[list[str]], np.ndarray, np.ndarray, list[str]]]:
+    """Pieces of the texts, a few MB each, as the words of each text, the ends of the texts among all words, the number
+    of each word and the distinct words by number. So what is done for a word is done once for each piece."""
+    for a, b in chunks([len(t or "") for t in texts]):
+        words = [(t or "").split() for t in texts[a:b]]
+        ends = np.cumsum([len(w) for w in words])
+        column = pa.array(chain.from_iterable(words), pa.large_string()).dictionary_encode()
+        yield words, ends, column.indices.to_numpy(), column.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def counted(sample: DataFrame) -> DataFrame:
     """feature, toxic, other: occurrences in the labelled sample, a word counted once a document."""
 
@@ -80,20 +120,29 @@ def counted(sample: DataFrame) -> DataFrame:
 def background(docs: DataFrame, vocabulary: list[str], text_col: str) -> tuple[dict[str, int], int]:
     """How often each feature occurs in all documents, a word counted once a document, and the
     number of words so counted."""
-    wanted = frozenset(vocabulary)
 
     def run(batches):
-        total, seen = 0, Counter()
-        known = Learned(lambda word: [f for f in features(word) if f in wanted])
-        for batch in batches:
-            words = Counter()
-            for text in batch.column(0).to_pylist():
-                split = set((text or "").split())
-                total += len(split)
-                words.update(split)
+        total, seen, words = 0, Counter(), Counter()
+        forms = Forms({f: f for f in vocabulary})
+
+        def add_up():
             for word, n in words.items():
-                for feature in known[word]:
+                for feature in forms.all(word):
                     seen[feature] += n
+            words.clear()
+
+        for batch in batches:
+            for _, ends, code, distinct in coded(batch.column(0).to_pylist()):
+                if not distinct:
+                    continue
+                text = np.searchsorted(ends, np.arange(len(code)), side="right")
+                once = np.unique(text * len(distinct) + code) % len(distinct)
+                total += len(once)
+                for word, n in zip(distinct, np.bincount(once, minlength=len(distinct)).tolist()):
+                    words[word] += n
+                if len(words) > DISTINCT:
+                    add_up()
+        add_up()
         names = ["", *seen]  # the empty name holds the tokens
         yield pa.RecordBatch.from_arrays(
             [pa.array(names), pa.array([total, *seen.values()], pa.int64())], ["feature", "n"])
@@ -101,7 +150,7 @@ def background(docs: DataFrame, vocabulary: list[str], text_col: str) -> tuple[d
     rows = (
         docs.select(F.col(text_col).cast("string").alias("text"))
         .mapInArrow(run, "feature string, n long")
-        .groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most FEATURES + 1 rows
+        .groupBy("feature").agg(F.sum("n").alias("n")).collect()  # at most a row for each of the vocabulary
     )
     found = {r["feature"]: r["n"] for r in rows}
     return found, found.pop("", 0)
@@ -117,15 +166,15 @@ def log_odds(y: tuple[int, int], n: tuple[int, int], share: float) -> float:
 
 
 class Scorer:
-    """Token scores of texts; remembers the words it has met."""
+    """The words of texts with their scores."""
 
     def __init__(self, scores: dict[str, float], unknown: float):
-        self.known = Learned(
-            lambda word: next((scores[f] for f in features(word) if f in scores), unknown))
+        self.forms, self.unknown = Forms(scores), unknown
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        return np.fromiter(map(self.known.__getitem__, words), float, len(words))
+    def __call__(self, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+        for words, ends, code, distinct in coded(texts):
+            values = np.fromiter((self.forms.first(w, self.unknown) for w in distinct), float, len(distinct))
+            yield from zip(words, np.split(values[code], ends[:-1]))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -210,11 +259,15 @@ def limited(words: list[str], scores: np.ndarray) -> float:
     return best
 
 
-def passages(text: str | None, scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """The segments of a text, every occurrence scored as it stands, with their limited sums."""
-    words = (text or "").split()
+def passages(words: list[str], scores: np.ndarray, floor: float = 0.0) -> list[tuple[int, int, float]]:
+    """The segments of a text whose sum is above `floor`, every occurrence scored as it stands, with their limited sums.
+
+    A limited sum is no larger than the segment's own, so a segment at or below the floor has no part in what is above it.
+    """
     out = []
     for a, b, s in segments(scores):
+        if s <= floor:
+            continue
         often = Counter(words[i] for i in range(a, b) if scores[i] > 0)
         if max(often.values()) > OCCURRENCES:
             s = limited(words[a:b], scores[a:b])
@@ -274,27 +327,27 @@ def fit(
 ) -> Model:
     """The model, from at most per_class documents of each label and the word counts of all documents.
 
-    `learns` says of the column `_id` which labels may be used. Without labelled documents of both
-    kinds every score is 0.
+    `learns` says of the column `_id` which labels may be used. Words and prefixes in at least LEAST_SEEN documents of the
+    sample are scored, however many. Without labelled documents of both kinds no passage is found, and every
+    document has the one score of no evidence, below 0.0001.
     """
     renamed = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sample = labelled_sample(
         renamed, labels.select(F.col(id_col).alias("doc_id"), target), target, learns, per_class,
         ["doc_id", "text"])
-    counts = (
-        counted(sample).orderBy((F.col("toxic") + F.col("other")).desc(), "feature")
-        .limit(FEATURES).collect()  # bounded by FEATURES
-    )
-    counts = {r["feature"]: (r["toxic"], r["other"]) for r in counts}
+    found = materialize(counted(sample), "toxicity-words")
+    kept = found.where(F.col("toxic") + F.col("other") >= LEAST_SEEN).collect()  # of the bounded sample
+    counts = {r["feature"]: (r["toxic"], r["other"]) for r in kept}
+    n = tuple(found.where(~F.col("feature").endswith("-")).agg(
+        F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first())
     everywhere, tokens = background(docs, list(counts), text_col)
     whole = [f for f in counts if not f.endswith("-")]
-    n = tuple(sum(counts[f][i] for f in whole) for i in (0, 1))
     if not n[0] or not n[1] or not tokens:
         return Model({}, -DRIFT, 1.0, 0.0, 0.0, -10.0)
     scores = {
         f: log_odds(y, n, everywhere.get(f, 0) / tokens) - DRIFT
-        for f, y in counts.items() if sum(y) >= LEAST_SEEN and everywhere.get(f)
+        for f, y in counts.items() if everywhere.get(f)
     }
     unknown = -DRIFT
     rows = _measured(sample, scores, unknown)
@@ -318,12 +371,12 @@ def _measured(sample: DataFrame, scores: dict[str, float], unknown: float) -> li
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(scores, unknown)
-        texts = batch.column(0).to_pylist()
-        tokens = [scorer(t) for t in texts]
+        sizes, sums = [], []
+        for words, scored in scorer(batch.column(0).to_pylist()):
+            sizes.append(len(words))
+            sums.append([s for _, _, s in passages(words, scored)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array([len(t) for t in tokens], pa.int64()),
-             pa.array([[s for _, _, s in passages(*p)] for p in zip(texts, tokens)],
-                      pa.list_(pa.float64()))],
+            [batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.list_(pa.float64()))],
             ["label", "n", "sums"])
 
     return map_batches(
@@ -348,13 +401,14 @@ def score_documents(
             ("expected", pa.float64())]))
         for batch in batches:
             values, listed = [], []
-            for text in batch.column(1).to_pylist():
-                tokens = scorer(text)
-                found = passages(text, tokens)
-                total, _ = evidence(found, len(tokens), model.lam, model.log_k)
+            for words, scored in scorer(batch.column(1).to_pylist()):
+                size = model.log_k + math.log(max(len(words), 1))
+                # the least sum that can be significant, less a little for rounding
+                floor = (size - math.log(ALPHA)) / model.lam - 1e-6
+                found = passages(words, scored, max(0.0, floor))
+                total, _ = evidence(found, len(words), model.lam, model.log_k)
                 logit = model.slope * math.log1p(total) + model.offset
                 values.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
-                size = model.log_k + math.log(max(len(tokens), 1))
                 listed.append([
                     {"first": a, "end": b, "sum": s, "expected": math.exp(size - model.lam * s)}
                     for a, b, s in found if size - model.lam * s < math.log(ALPHA)])
