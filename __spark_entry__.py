@@ -20,7 +20,8 @@ import oracles  # noqa: E402
 from storelens.functions.binning import histogram, kde  # noqa: E402
 from storelens.functions.columns import hash_fraction, short_id  # noqa: E402
 from storelens.functions.ranking import global_rank  # noqa: E402
-from storelens.operators import (  # noqa: E402
+from storelens.operators import (     boosting,
+ # noqa: E402
     churn,
     cleaning,
     eda,
@@ -50,6 +51,7 @@ except ImportError as absent:
 MIN_PURCHASES = 30
 LOOKUP_ID = "Customer#000000007"
 SINCE = "2000-01"
+BOOSTED_FEATURES = ("frequency", "lifetime_days", "n_items", "n_products", "n_sellers")  # whole numbers: exact bins
 REVIEW_BOUND = 1600  # at sf0.01 half of the categories have fewer
 
 _marts: dict[tuple[str, str], Mart] = {}
@@ -427,6 +429,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # what must hold of the fitted models
         "customer_churn_check": lambda m: model_checks.churn_scores(m.customer_churn),
         "tested_models_check": lambda m: model_checks.tested_models(m.trained),
+        "boosted_first_cut": lambda m: boosting.first_tree(
+            m.churn_features, BOOSTED_FEATURES, "churn", bins=16
+        ).withColumns({"gain": F.round("gain", 6), "leaf": F.round("leaf", 9)}),
         "churn_lr_check": lambda m: model_checks.lr_is_optimal(m.trained, m.churn_features),
         "model_comparison_check": lambda m: model_checks.comparison_is_sound(m.trained.comparison()),
         "feature_importance_check": lambda m: model_checks.importance_is_sound(_feature_importance(m)),

@@ -677,6 +677,30 @@ def all_sql() -> dict[str, str]:
         SELECT model, COUNT(*) AS n_test, CAST(SUM(churn) AS BIGINT) AS n_positive, TRUE AS cells_add_up
         FROM churn, (VALUES {names}) m(model)
         WHERE {draw} < CAST(floor(0.2 * 4294967296) AS BIGINT) GROUP BY model""")
+    valued = f""" (
+            SELECT place, feature, 0.5::DOUBLE - churn AS g, value FROM (
+                SELECT CAST(recency > 180 AS INTEGER) AS churn, unnest([0, 1, 2, 3, 4]) AS place,
+                       unnest(['frequency', 'lifetime_days', 'n_items', 'n_products', 'n_sellers']) AS feature,
+                       unnest([CAST(frequency AS DOUBLE), CAST(lifetime_days AS DOUBLE), CAST(n_items AS DOUBLE),
+                               CAST(n_products AS DOUBLE), CAST(n_sellers AS DOUBLE)]) AS value
+                FROM ({sql["churn_features"]}))) """
+    sql["boosted_first_cut"] = f"""
+        SELECT n.node,
+               CASE n.node WHEN 0 THEN b.feature END AS feature, CASE n.node WHEN 0 THEN b.cut END AS cut,
+               CASE n.node WHEN 0 THEN round(b.gain, 6) END AS gain,
+               CASE n.node WHEN 1 THEN round(-0.1 * b.g1 / (b.h1 + 1), 9)
+                           WHEN 2 THEN round(-0.1 * b.g2 / (b.h2 + 1), 9) END AS leaf
+        FROM (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS node) n, (
+            SELECT *, g1 * g1 / (h1 + 1) + g2 * g2 / (h2 + 1) - (g1 + g2) * (g1 + g2) / (h1 + h2 + 1) AS gain
+            FROM (
+                SELECT e.place, e.feature, e.cut,
+                       SUM(l.g) FILTER (l.value <= e.cut) AS g1, SUM(0.25::DOUBLE) FILTER (l.value <= e.cut) AS h1,
+                       SUM(l.g) FILTER (l.value > e.cut) AS g2, SUM(0.25::DOUBLE) FILTER (l.value > e.cut) AS h2
+                FROM (SELECT DISTINCT place, feature, unnest(cuts) AS cut FROM (
+                          SELECT place, feature, quantile_cont(value, {[i / 16 for i in range(1, 16)]}) AS cuts
+                          FROM {valued} GROUP BY place, feature)) e
+                JOIN {valued} l ON l.place = e.place GROUP BY ALL
+            ) WHERE h1 >= 1 AND h2 >= 1 ORDER BY gain DESC, place, cut LIMIT 1) b"""
     sql["churn_lr_check"] = _query("churn", f"""
         SELECT COUNT(*) AS n_train, CAST(SUM(churn) AS BIGINT) AS n_positive, 15 AS n_coefficients,
                TRUE AS gradient_is_zero

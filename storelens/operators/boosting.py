@@ -177,3 +177,20 @@ def fit(
         if number % freeze == freeze - 1 and number + 1 < rounds:
             rows = materialize(rows, "boosting-rows")
     return model
+
+
+def first_tree(
+    df: DataFrame, features: tuple[str, ...], label: str, depth: int = 1, step: float = 0.1, bins: int = BINS
+) -> DataFrame:
+    """node, feature, cut, gain and leaf of the first tree, grown where every margin is 0.
+
+    A node that is cut has no leaf value, and a leaf has no cut. Rows without a label are left out.
+    """
+    known = df.where(F.col(label).isNotNull())
+    edge = edges(known, features, bins)
+    graded = Boosted([], edge, 0.0).binned(known).select(
+        "bins", (F.lit(0.5) - F.col(label).cast("double")).alias("g"), F.lit(0.25).alias("h"))
+    tree = grow(graded, edge, depth, step)
+    rows = [(n, *c, None) for n, c in tree.cuts.items()] + [(n, None, None, None, v) for n, v in tree.leaves.items()]
+    return df.sparkSession.createDataFrame(  # at most a row for each node
+        sorted(rows), "node long, feature string, cut double, gain double, leaf double")
