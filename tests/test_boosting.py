@@ -83,3 +83,11 @@ def test_nothing_to_learn(table):
     flat = table.withColumns({n: F.lit(1.0) for n in NAMES})
     tree = boosting.fit(flat, NAMES, "y", rounds=1, depth=2, bins=4).trees[0]
     assert not tree.cuts and set(tree.leaves) == {0}
+
+
+def test_first_tree_as_rows(table):
+    rows = {r["node"]: r for r in boosting.first_tree(table, NAMES, "y", depth=1, bins=16).collect()}
+    assert set(rows) == {0, 1, 2} and rows[0]["feature"] in NAMES and rows[0]["gain"] > 0 and rows[0]["leaf"] is None
+    assert all(rows[n]["feature"] is None and rows[n]["leaf"] is not None for n in (1, 2))
+    alone = boosting.first_tree(table.where("y > 5"), NAMES, "y", bins=4).collect()
+    assert all(r["feature"] is None for r in alone)
