@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.skew import left_join
+from storelens.functions.skew import is_small, left_join
 from storelens.llm.common import chunks, map_batches, texts
 from storelens.session import materialize
 
@@ -36,6 +36,7 @@ BLOCK = 4096
 SMALL_RUN = 16
 # Seconds for a key that is written and sorted, and for one comparison: only their ratio matters.
 KEY_COST, PAIR_COST = 4e-6, 5e-9
+NO_ID = -(2**63)  # stands for a null id, before all others
 
 
 # Fingerprints
@@ -453,3 +454,27 @@ def near_duplicates(
     return left_join(prints, classes, "fingerprint", "inner").select(
         F.col("doc_id").alias(id_col), "fingerprint", "component_id"
     )
+
+
+def without_copies(
+    docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs, all columns, that are the first of their component of `near_duplicates`.
+
+    One row of each component stays: of the smallest id (null before all others), of rows equal in id
+    the one whose text has the smallest hash, and one of rows equal in id and text. Null and empty texts, and
+    texts without words, are copies of each other. Very long texts count whole. Empty table: no rows.
+    Other columns stay as they are, whatever their names.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    at = F.struct(
+        F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("hash"))
+    grouped = materialize(
+        near_duplicates(docs.select(at.alias("at"), text.alias("text")), words, max_bits, "at", "text"),
+        "simhash-groups")
+    out = grouped.where("at != component_id").select(F.col("at").alias("_at")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), at.alias("_at"))
+    kept = rows.join(F.broadcast(out) if is_small(out) else out, "_at", "left_anti")
+    if not grouped.groupBy("at").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_at"])
+    return kept.select("_row.*")

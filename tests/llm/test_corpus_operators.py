@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from storelens.llm import ann, archives, mixing, near_copies, simhash, substring_dedup
+from storelens.llm import ann, archives, mixing, simhash, substring_dedup
 from tests.llm.conftest import prose
 
 
@@ -240,61 +240,32 @@ def test_components_of_paths_and_stars(spark):
     assert dict(found) == expected and len(found) == len(expected)
 
 
-def shingles(text):
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
-@pytest.mark.parametrize("group", [500, 10])
-def test_near_copies_against_all_pairs(make_docs, odd_rows, monkeypatch, group):
-    monkeypatch.setattr(near_copies, "GROUP", group)
-    rows = near_rows(odd_rows)
-    sets = [shingles(r[1]) for r in rows]
-
-    def near(a, b):
-        return len(a & b) >= 0.8 * len(a | b)
-
-    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+@pytest.mark.parametrize("small", [True, False])
+def test_one_document_of_each_component_stays(make_docs, odd_rows, monkeypatch, small):
+    if not small:  # the rows to leave out are shuffled instead of broadcast
+        monkeypatch.setattr(simhash, "is_small", lambda df: False)
+    rows = near_rows(odd_rows) + [(7000, "same words here and there"), (7000, "other words of the same id")]
+    prints = [brute_print(r[1]) for r in rows]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i)
+                             if (prints[i] ^ prints[j]).bit_count() <= 3])
     low = -(2**63)
     first = {}
     for i, r in enumerate(rows):
-        first[root[i]] = min(first.get(root[i], (math.inf,)), (low if r[0] is None else r[0],))
+        first[root[i]] = min(first.get(root[i], math.inf), low if r[0] is None else r[0])
     docs = make_docs(rows).repartition(3)
-    kept = near_copies.without_copies(docs)
-    assert kept.columns == docs.columns
-    found = sorted(low if r["doc_id"] is None else r["doc_id"] for r in kept.collect())
-    assert found == sorted(key for key, in first.values())
-    assert near_copies.without_copies(make_docs([])).collect() == []
-
-
-def edited_pairs(kind, wanted=60):
-    """(text, edited text) at similarity 0.8 to 0.85, edited in that way, each pair apart from all others."""
-    rng, out, i = random.Random(kind), [], 0
-    while len(out) < wanted:
-        i += 1
-        words = prose(f"{kind}{i}", rng.randrange(100, 300))
-        fresh, n = prose(f"fresh{kind}{i}", 300), len(words)
-        if kind == "appended":
-            copy = words + fresh[:int(n * rng.uniform(0.17, 0.25))]
-        elif kind == "block":
-            k = int(n * rng.uniform(0.07, 0.11))
-            a = rng.randrange(n - k)
-            copy = words[:a] + fresh[:k] + words[a + k:]
-        else:
-            copy = list(words)
-            for k in rng.sample(range(n), int(n * rng.uniform(0.015, 0.025))):
-                copy[k] = f"z{k}"
-        a, b = " ".join(words), " ".join(copy)
-        if 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) <= 0.85:
-            out.append((a, b))
-    return out
-
-
-def test_isolated_copies_of_every_edit_kind_are_found(make_docs):
-    pairs = [p for kind in ("appended", "block", "scattered") for p in edited_pairs(kind)]
-    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
-    kept = near_copies.without_copies(make_docs(rows)).select("doc_id").collect()
-    assert sorted(r["doc_id"] for r in kept) == [2 * i for i in range(len(pairs))]
+    kept = simhash.without_copies(docs)
+    assert kept.schema == docs.schema
+    found = kept.collect()
+    assert sorted(low if r["doc_id"] is None else r["doc_id"] for r in found) == sorted(first.values())
+    given = {str(r) for r in docs.collect()}
+    assert all(str(r) in given for r in found)  # every column as it was
+    assert simhash.without_copies(make_docs([])).collect() == []
+
+
+def test_rows_of_one_id_and_one_component_leave_one(make_docs):
+    docs = make_docs([(3, ""), (3, " \t"), (3, None), (3, ""), (None, "a b c d"), (None, "a b c d"), (9, "a b c d")])
+    kept = simhash.without_copies(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "None"]
 
 
 # Archives
