@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.llm import decontamination, mixing, near_copies, quality_fm, substring_dedup
+from storelens.llm import decontamination, mixing, quality_fm, simhash, substring_dedup
 from storelens.llm.common import bounded_batches, crc_rest, table
 from storelens.session import scratch
 
@@ -24,9 +24,13 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8, found by SimHash."""
+    """One document of each SimHash component: three-word shingles, links of at most three bits.
+
+    The smallest doc_id stays, null before all others; of repeated rows one. Null and empty texts are copies of
+    each other. Empty table: no rows.
+    """
     bounded_batches(spark)
-    return near_copies.without_copies(docs)
+    return simhash.without_copies(docs, words=3, max_bits=3)
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
