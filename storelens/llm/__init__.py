@@ -11,7 +11,6 @@ from storelens.llm import (
     license_templates,
     licenses,
     mixing,
-    near_copies,
     quality_fm,
     queries,
     resampling,
@@ -24,7 +23,7 @@ from storelens.llm import (
 )
 
 for _module in (
-    ann, archives, common, conversations, decontamination, license_templates, licenses, mixing, near_copies, quality_fm,
+    ann, archives, common, conversations, decontamination, license_templates, licenses, mixing, quality_fm,
     queries, resampling, samples, sharding, simhash, substring_dedup, token_counts, toxicity,
 ):
     # functions that run in workers travel with the job, so executors need no copy of this package
