@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from storelens.operators import churn, recommend, rfm, segments, star
 from storelens.operators.cleaning import add_category_translation, clean_orders, clean_products
 from storelens.plans.experiments import Trained, tracked_experiment, train_models
-from storelens.session import materialize, scratch
+from storelens.session import fit_shuffles, materialize, scratch
 from storelens.sources.tables import read_runs, save_tables
 
 # Centres in (R, F, M) score space for segments that must not depend on a seed (FIXTURES.md).
@@ -31,6 +31,8 @@ class Mart:
         centres: list[tuple[float, ...]] | None = None,
     ) -> None:
         self.raw = raw
+        for spark in {df.sparkSession for df in raw.values()}:
+            fit_shuffles(spark, raw.values())
         self.min_purchases = min_purchases
         self.centres = centres
 

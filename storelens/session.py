@@ -5,10 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+INPUT_A_PARTITION = 4 * 1024**2
+JOINED = "8m"  # compressed; a few hundred MB once a task sorts it
+
+
 def local_session(cores: int | str = "*", name: str = "storelens") -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -74,6 +79,26 @@ def _close_active() -> None:
             pass
 
 
+def fit_shuffles(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
+    """Let shuffles begin with a partition for each INPUT_A_PARTITION bytes of the files behind the frames.
+
+    A fixed number of partitions lets what a task holds grow with the input. Adaptive execution
+    joins small ones again, up to JOINED bytes unless the session names another size; a number that is set already
+    stays unless it is too low.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for file in {f for df in frames for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    now = spark.conf.get(first, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    if -(-size // INPUT_A_PARTITION) > int(now):
+        spark.conf.set(first, str(-(-size // INPUT_A_PARTITION)))
+        if spark.conf.get(joined := "spark.sql.adaptive.advisoryPartitionSizeInBytes", None) is None:
+            spark.conf.set(joined, JOINED)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -83,5 +108,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -159,3 +159,16 @@ def test_history_and_categories(make_fact):
             len({r[c] for r in own} - {None})
             for c in ("order_id", "product_id", "product_category_name_english"))
     assert {r["category"] for r in R.category_stats(fact).collect()} == {f"cat{i}" for i in range(6)}
+
+
+def test_categories_are_sorted_without_their_lists(spark):
+    favourites = spark.createDataFrame([("c", "k", 1)], "customer_unique_id string, category string, fav_rank int")
+    lists = spark.createDataFrame([("k", 7, 1), ("k", 8, 2)], "category string, product_id long, cat_rank int")
+    bought = spark.createDataFrame([("c", 7)], "customer_unique_id string, product_id long")
+    found = R._from_favourites(favourites, lists, bought, 1)
+    assert sorted(r["product_id"] for r in found.collect()) == [7, 8]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    at = next(i for i, line in enumerate(lines) if "Window" in line)
+    below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    assert "_list" not in "".join(lines[at:below])
