@@ -28,6 +28,7 @@ def tested_models(trained: Trained) -> DataFrame:
     """Per model the test rows, the positives, and whether the confusion cells are consistent."""
     cell = {(a, b): F.count_if((F.col("label") == a) & (F.col("prediction") == b))
             for a in (0, 1) for b in (0, 1)}
+    trained.fit_all()
     return reduce(DataFrame.unionByName, [
         rows.agg(
             F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_test"),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.operators import churn, evaluate
@@ -13,21 +18,49 @@ from storelens.session import materialize
 from storelens.sources.tables import log_run, save_model, save_tables
 
 TEST_SHARE = 0.2
+ROWS_A_TASK = 20_000, 250_000  # training rows of a task: the fewest worth one, and the most
+
+
+class Fitted(Mapping):
+    """Values by name, each made when first asked for and then kept."""
+
+    def __init__(self, makers: dict[str, Callable[[], Any]]) -> None:
+        self._makers, self._made = makers, {}
+        self._locks = {name: Lock() for name in makers}
+
+    def __getitem__(self, name: str) -> Any:
+        with self._locks[name]:
+            if name not in self._made:
+                self._made[name] = self._makers[name]()
+            return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
 
 
 @dataclass
 class Trained:
-    """Fitted models by name with their scored test rows."""
+    """Models by name with their scored test rows; a model that nobody asks for is not fitted."""
 
-    models: dict[str, PipelineModel]
-    tested: dict[str, DataFrame]
+    models: Mapping[str, PipelineModel]
+    tested: Mapping[str, DataFrame]
     features: tuple[str, ...]
     params: dict[str, dict] = field(default_factory=dict)
     _comparison: DataFrame | None = None
 
+    def fit_all(self) -> None:
+        """Fit and test what is not yet, side by side: a step of one model leaves cores idle that another can use."""
+        run = inheritable_thread_target(SparkSession.active())
+        with ThreadPoolExecutor(len(self.tested)) as pool:
+            list(pool.map(run(self.tested.__getitem__), self.tested))
+
     def comparison(self) -> DataFrame:
         """Computed once; three rows."""
         if self._comparison is None:
+            self.fit_all()
             self._comparison = materialize(
                 evaluate.model_comparison(self.tested).coalesce(1), "model-comparison")
         return self._comparison
@@ -36,6 +69,14 @@ class Trained:
         return self.comparison().where("is_best").first()["model"]
 
 
+def _evenly(train: DataFrame) -> DataFrame:
+    """The rows written in equal parts, for all cores if there are enough; the fits pass over them many times."""
+    fewest, most = ROWS_A_TASK
+    rows = train.count()
+    parts = max(min(train.sparkSession.sparkContext.defaultParallelism, 1 + rows // fewest), 1 + rows // most)
+    return materialize(train.repartition(parts), "training-rows")
+
+
 def train_models(
     labelled: DataFrame,
     features: tuple[str, ...] = churn.FEATURES,
@@ -46,23 +87,24 @@ def train_models(
     max_iter: int = 1000,
     seed: int = 42,
 ) -> Trained:
-    """Logistic regression, forest and boosted trees on the same split."""
+    """Logistic regression, forest and boosted trees on the same split, each fitted when it is asked for."""
     split = churn.stratified_split(labelled, test=TEST_SHARE, seed=seed)
-    train, test = split.where(~F.col("is_test")), split.where("is_test")
-    models = {
-        "LogisticRegression": churn.train_lr(train, features, max_iter),
-        "RandomForest": churn.train_rf(train, trees, tree_depth, features, seed),
-        "GradientBoosting": churn.train_gbt(
+    train, test = _evenly(split.where(~F.col("is_test"))), split.where("is_test")
+    models = Fitted({
+        "LogisticRegression": lambda: churn.train_lr(train, features, max_iter),
+        "RandomForest": lambda: churn.train_rf(train, trees, tree_depth, features, seed),
+        "GradientBoosting": lambda: churn.train_gbt(
             train, rounds, round_depth, features=features, seed=seed
         ),
-    }
-    tested = {  # written, so that each metric does not run the model again
-        name: materialize(
-            evaluate.scored(
-                churn.predict(model, test), "churn", "churn_probability", "churn_prediction"
-            ), "scored-test-rows")
-        for name, model in models.items()
-    }
+    })
+
+    def tested_by(name: str) -> DataFrame:
+        """Written, so that each metric does not run the model again."""
+        found = churn.predict(models[name], test)
+        return materialize(
+            evaluate.scored(found, "churn", "churn_probability", "churn_prediction"), "scored-test-rows")
+
+    tested = Fitted({name: lambda name=name: tested_by(name) for name in models})
     params = {
         "LogisticRegression": {"C": 1.0, "max_iter": max_iter, "needs_scaling": True},
         "RandomForest": {"n_estimators": trees, "max_depth": tree_depth, "needs_scaling": False},
@@ -73,6 +115,7 @@ def train_models(
 
 def log_trained(trained: Trained, path: str, models: str | None = None) -> None:
     """One row per model in the run table at `path`; the fitted models under `models`, if given."""
+    trained.fit_all()
     for name, scored in trained.tested.items():
         metrics = evaluate.all_metrics(scored).first().asDict()
         params = {

@@ -256,3 +256,29 @@ def test_missing_amounts_and_dates(spark, make_fact):
     clustered = s.assign_to_centres(scores, [(4, 4, 4), (1, 1, 1)])
     assert clustered.count() == 9
     assert s.segment_profile(clustered).agg({"n_customers": "sum"}).first()[0] == 9
+
+
+def test_a_model_is_fitted_only_when_asked_for(spark, mart, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("nobody asked for this model")
+
+    monkeypatch.setattr(churn, "train_lr", refuse)
+    monkeypatch.setattr(churn, "train_gbt", refuse)
+    trained = experiments.train_models(mart.churn_features, **SETTINGS)
+    assert trained.tested["RandomForest"].count() > 0
+    assert trained.models["RandomForest"] is trained.models["RandomForest"]
+
+
+def test_models_are_fitted_side_by_side(spark):
+    import threading
+
+    all_here = threading.Barrier(3, timeout=20)
+    tested = experiments.Fitted({name: all_here.wait for name in "abc"})
+    experiments.Trained({}, tested, ()).fit_all()  # a fit that waits for the one before breaks the barrier
+    assert sorted(tested.values()) == [0, 1, 2]
+
+
+def test_training_rows_are_in_equal_parts(spark, monkeypatch):
+    monkeypatch.setattr(experiments, "ROWS_A_TASK", (10, 50))
+    rows = experiments._evenly(spark.range(1000).coalesce(1))
+    assert rows.count() == rows.distinct().count() == 1000 and len(rows.inputFiles()) == 21
