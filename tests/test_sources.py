@@ -201,3 +201,47 @@ def test_parts_are_read_by_their_own_header(spark, tmp_path):
     (parts / "_SUCCESS").write_text("")
     found = load_raw(spark, str(tmp_path))["sellers"].select("seller_id", "seller_city", "seller_state", "more").collect()
     assert sorted(map(tuple, found)) == [("s1", "x", "SP", None), ("s2", None, "RJ", "1")]
+
+
+def test_same_rows_by_content(spark):
+    from storelens.sources.tables import content, same_rows
+
+    kinds = "a long, b string, c double"
+    rows = [(1, "x", 0.5), (None, "x", 0.5), (1, None, None), (2, "y", 1.5), (2, "y", 1.5)]
+    df = spark.createDataFrame(rows, kinds)
+    assert same_rows(df, df.repartition(5).select("c", "a", "b"))
+    for other in (rows[:-1], [*rows[:-1], rows[0]], [*rows[:-1], (2, "y", 1.25)], [*rows, rows[0]],
+                  [*rows[:2], (None, "1", None), *rows[3:]], [*rows[:1], (1, "x", None), *rows[2:]]):
+        assert not same_rows(df, spark.createDataFrame(other, kinds))
+    assert not same_rows(df, df.withColumn("a", df["a"].cast("int")))
+    plan = content(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # rows stay where they are
+
+
+def test_written_csv_parts_grow_with_the_rows(spark, sf, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(entry, "CSV_ROWS", 500)
+    monkeypatch.setattr(entry, "scratch", lambda *_: str(tmp_path))
+    assert all(r["same"] for r in entry._csv_roundtrip(spark, sf).collect())
+    assert len(list((tmp_path / "orders.csv").glob("part-*"))) == 4  # 1,500 rows
+    assert len(list((tmp_path / "sellers.csv").glob("part-*"))) == 3
+
+
+def test_shuffles_begin_with_partitions_for_the_input(spark, sf, monkeypatch):
+    from storelens import session
+    from storelens.sources import surrogate
+
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    raw = surrogate.raw_tables(spark, sf)
+    before = spark.conf.get(first, None)
+    try:
+        session.fit_shuffles(spark, raw.values())
+        assert spark.conf.get(first, None) == before  # small input
+        monkeypatch.setattr(session, "INPUT_A_PARTITION", 4096)
+        session.fit_shuffles(spark, raw.values())
+        assert int(spark.conf.get(first)) > 20 and spark.conf.get(size) == "8m"
+    finally:
+        spark.conf.unset(first)
+        spark.conf.unset(size)
