@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storelens.functions.columns import whole_days_between
 from storelens.functions.quantiles import QUARTILES, exact_quantiles
 from storelens.functions.ranking import global_rank
+from storelens.session import materialize
 
 SCORES = ("R_score", "F_score", "M_score")
 
@@ -18,26 +19,42 @@ def snapshot(fact: DataFrame) -> Column:
     return fact.agg((last + F.expr("INTERVAL 1 DAY")).alias("snapshot")).scalar()
 
 
+def per_order(fact: DataFrame) -> DataFrame:
+    """One row per customer and order: purchase date and amount."""
+    return fact.groupBy("customer_unique_id", "order_id").agg(
+        F.max("order_purchase_timestamp").alias("order_purchase_timestamp"),
+        F.sum("total_amount").alias("total_amount"),
+    )
+
+
 def rfm(fact: DataFrame) -> DataFrame:
     """customer_unique_id, recency (whole days), frequency (orders), monetary.
 
     monetary stays as exact as the amounts are; without any amount it is 0. Without any
     purchase date recency is NULL.
     """
-    return (
-        fact.where(F.col("customer_unique_id").isNotNull())
-        .groupBy("customer_unique_id")
-        .agg(
-            F.max("order_purchase_timestamp").alias("_last"),
-            F.countDistinct("order_id").alias("frequency"),
-            F.coalesce(F.sum("total_amount"), F.lit(0)).alias("monetary"),
-        )
-        .select(
-            "customer_unique_id",
-            whole_days_between(snapshot(fact), "_last").alias("recency"),
-            "frequency",
-            "monetary",
-        )
+    return rfm_of_orders(per_order(fact))
+
+
+def rfm_of_orders(orders: DataFrame) -> DataFrame:
+    """rfm from the rows of per_order.
+
+    The totals are written, unknown customers among them: the last purchase of all is read off them.
+    """
+    amount = orders.schema["total_amount"].dataType  # a sum already
+    totals = materialize(
+        orders.groupBy("customer_unique_id").agg(
+            F.max("order_purchase_timestamp").alias("order_purchase_timestamp"),
+            F.count("order_id").alias("frequency"),
+            F.coalesce(F.sum("total_amount").cast(amount), F.lit(0)).alias("monetary"),
+        ),
+        "customer-totals",
+    )
+    return totals.where(F.col("customer_unique_id").isNotNull()).select(
+        "customer_unique_id",
+        whole_days_between(snapshot(totals), "order_purchase_timestamp").alias("recency"),
+        "frequency",
+        "monetary",
     )
 
 

@@ -13,6 +13,7 @@ from storelens.operators.cleaning import (
     date_features,
     payment_rollup,
 )
+from storelens.operators.rfm import per_order
 from storelens.session import materialize
 
 
@@ -68,6 +69,32 @@ def build_fact_sales(
     )
 
 
+def _owned(orders: DataFrame, customers: DataFrame, *cols: str) -> DataFrame:
+    """Orders with customer_unique_id, and of their own columns only order_id and cols."""
+    orders = orders.select("order_id", "customer_id", *cols)
+    people = customers.select("customer_id", "customer_unique_id")
+    return left_join(orders, people, "customer_id", hot_in=orders).drop("customer_id")
+
+
+def build_customer_orders(
+    orders: DataFrame, order_items: DataFrame, products: DataFrame, customers: DataFrame
+) -> DataFrame:
+    """`per_order` of the fact table, without building it: amounts are summed per order first.
+
+    Items meet the products only if one of these is listed twice, which repeats its items.
+    """
+    items = order_items.select(
+        "order_id", "product_id", (F.col("price") + F.col("freight_value")).alias("total_amount")
+    )
+    listed = products.where(F.col("product_id").isNotNull()).groupBy("product_id")
+    if not listed.agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        items = left_join(items, products.select("product_id"), "product_id", hot_in=order_items)
+    amounts = items.groupBy("order_id").agg(F.sum("total_amount").alias("total_amount"))
+    kind = amounts.schema["total_amount"].dataType
+    totals = per_order(_owned(orders, customers, "order_purchase_timestamp").join(amounts, "order_id"))
+    return totals.withColumn("total_amount", F.col("total_amount").cast(kind))
+
+
 def build_dim_customers(customers: DataFrame) -> DataFrame:
     return customers.select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"

@@ -83,7 +83,11 @@ class Mart:
 
     @cached_property
     def rfm(self) -> DataFrame:
-        return materialize(rfm.rfm(self.fact_sales), "rfm")
+        """From the raw orders and items: of the fact table it needs four narrow columns."""
+        per_order = star.build_customer_orders(
+            clean_orders(self.raw["orders"]), self.raw["order_items"], self.products, self.raw["customers"]
+        )
+        return materialize(rfm.rfm_of_orders(per_order), "rfm")
 
     @cached_property
     def rfm_scores(self) -> DataFrame:

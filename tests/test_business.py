@@ -1,10 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
-from storelens.operators import eda, quality, questions, rfm, sales
+from storelens.operators import eda, quality, questions, rfm, sales, star
+from storelens.operators.cleaning import clean_orders
+from storelens.plans.mart import Mart
 
 
 def item(order, customer, amount, day="2018-01-01 00:00:00", **more):
@@ -185,3 +189,59 @@ def test_insights_are_ten_facts(spark, mart):
     rows = eda.insights(mart.fact_sales, mart.orders, mart.reviews, mart.payments, since=None).collect()
     assert [r["position"] for r in rows] == list(range(1, 11))
     assert rows[0]["value"].endswith(" BRL") and rows[9]["value"] == "0.00%"
+
+
+@pytest.fixture(scope="module")
+def odd_raw(spark):
+    """Raw tables with orders, customers and products listed twice, unknown keys, gaps and missing amounts."""
+    def table(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    items = [("o1", 1, "p1", "10.10"), ("o1", 2, "p2", "5.05"), ("o2", 1, "p1", None), ("o3", 1, "p3", "7.00"),
+             ("o4", 1, "p9", "2.50"), ("o5", 1, None, "1.25"), ("o9", 1, "p1", "99.99"), (None, 1, "p2", "3.00"),
+             ("o6", 1, "p4", "4.00"), ("o6", 1, "p4", "4.00")]
+    return {
+        "customers": table(
+            [("c1", "u1"), ("c2", "u1"), ("c3", "u2"), ("c3", "u2"), ("c4", None), ("c5", "u3"), ("c5", "u4")],
+            "customer_id string, customer_unique_id string").selectExpr("*", "'x' customer_city", "'y' customer_state"),
+        "orders": table(
+            [("o1", "c1", "2020-01-01 10:00:00"), ("o1", "c2", "2020-01-02 10:00:00"), ("o2", "c2", "no date"),
+             ("o3", "c3", "2020-03-01 00:00:00"), ("o4", "c4", "2020-05-01 00:00:00"), ("o5", "c5", "2020-02-01 00:00:00"),
+             ("o6", "c8", "2020-04-01 00:00:00"), ("o7", "c1", "2020-09-01 00:00:00"), ("o2", "c5", None)],
+            "order_id string, customer_id string, order_purchase_timestamp string"),
+        "order_items": table(items, "order_id string, order_item_id int, product_id string, price string").selectExpr(
+            "order_id", "order_item_id", "product_id", "'s' seller_id", "cast(price as decimal(12,2)) price",
+            "cast(0.5 as decimal(17,4)) freight_value"),
+        "products": table(
+            [("p1", "a"), ("p1", "b"), ("p2", "a"), ("p3", None), ("p4", "c"), (None, "a"), (None, "b")],
+            "product_id string, product_category_name string"),
+        "category_translation": table([("a", "A"), ("b", "B")],
+                                      "product_category_name string, product_category_name_english string"),
+        "payments": table([("o1", "card", 1, "9.00"), ("o1", "slip", 2, "1.00")],
+                          "order_id string, payment_type string, payment_installments int, payment_value string")
+        .withColumn("payment_value", F.col("payment_value").cast("decimal(12,2)")),
+    }
+
+
+def _sorted_rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_rfm_needs_no_fact_table(odd_raw):
+    for repeated in (True, False):
+        raw = odd_raw if repeated else odd_raw | {"products": odd_raw["products"].dropDuplicates(["product_id"])}
+        m = Mart(raw)
+        found = m.rfm
+        assert "fact_sales" not in vars(m)
+        by_fact = rfm.rfm(m.fact_sales)
+        assert dict(found.dtypes) == dict(by_fact.dtypes)
+        assert _sorted_rows(found) == _sorted_rows(by_fact) and found.count() == 4
+
+
+def test_rfm_counts_an_order_once_and_sums_its_rows(odd_raw):
+    """Order o1 is two rows with customers of one person; product p1 is listed twice."""
+    rows = {r["customer_unique_id"]: r for r in rfm.rfm_of_orders(star.build_customer_orders(
+        clean_orders(odd_raw["orders"]), odd_raw["order_items"], odd_raw["products"], odd_raw["customers"])).collect()}
+    assert set(rows) == {"u1", "u2", "u3", "u4"}
+    assert rows["u1"]["frequency"] == 2 and rows["u1"]["monetary"] == Decimal("53.50")
+    assert rows["u1"]["recency"] == 120  # order o4 of an unknown person is the last
