@@ -300,7 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "served_shapes": _served_shapes,
         "review_by_category_bound": lambda m: sales.review_by_category(m.fact_sales, m.reviews, REVIEW_BOUND),
         "hit_rate_500": lambda m: recommend.hit_rate(
-            m.fact_sales, m.popular_products, n_users=500, items=m.customer_items),
+            m.purchases, m.popular_products, n_users=500, items=m.customer_items),
         "short_ids": lambda m: m.popular_products.select(
             "product_id", *[short_id("product_id", n).alias(f"short_{n}") for n in (10, 15, 20, 30)]
         ).unionByName(
@@ -457,14 +457,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_per_category": lambda m: recommend.top_per_category(m.popular_products),
         "recommendations": lambda m: m.recommendations,
         "recommendations_fill": lambda m: recommend.recommend(
-            m.fact_sales, m.popular_products, n=30, per_category=1, items=m.customer_items
+            m.purchases, m.popular_products, n=30, per_category=1, items=m.customer_items
         ),
         "reco_category_mix": lambda m: eda.reco_category_mix(m.recommendations, m.popular_products),
         "hit_rate": lambda m: recommend.hit_rate(
-            m.fact_sales, m.popular_products, n_users=None, items=m.customer_items
+            m.purchases, m.popular_products, n_users=None, items=m.customer_items
         ),
         "hit_rate_leak_free": lambda m: recommend.hit_rate(
-            m.fact_sales, m.popular_products, n_users=None, leak_free=True, items=m.customer_items
+            m.purchases, m.popular_products, n_users=None, leak_free=True, items=m.customer_items
         ),
         # questions
         "format_results": lambda m: questions.format_results(sales.monthly_sales(m.fact_sales)),

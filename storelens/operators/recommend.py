@@ -23,6 +23,7 @@ HEAD_ROWS = 10_000  # best-ranked products that are sent to every task when fill
 _BLOCK = 1024
 
 _CUSTOMER = "customer_unique_id"
+_CATEGORY = "product_category_name_english"
 
 
 def _category() -> Column:
@@ -45,10 +46,47 @@ def popular_products(fact: DataFrame, min_purchases: int = MIN_PURCHASES) -> Dat
         )
         .where(F.col("n_purchases") >= min_purchases)
     )
+    return _by_popularity(stats)
+
+
+def _by_popularity(stats: DataFrame) -> DataFrame:
     order = [F.desc("n_customers"), F.desc("n_purchases"), F.asc("product_id")]
     return global_rank(stats, order, "popularity_rank", "popularity")
 
 
+def popular_of_purchases(purchases: DataFrame, min_purchases: int = MIN_PURCHASES) -> DataFrame:
+    """popular_products from the rows of grouped_purchases.
+
+    Of one product and category each customer has one row, so rows are counted; only if a product has two
+    categories are its customers told apart.
+    """
+    sold = purchases.where(F.col("product_id").isNotNull())
+    by_kind = materialize(
+        sold.groupBy("product_id", _CATEGORY).agg(
+            F.sum("_orders").alias("n_purchases"), F.count(_CUSTOMER).alias("n_customers")
+        ),
+        "product-counts",
+    )
+    stats = by_kind.groupBy("product_id").agg(
+        F.sum("n_purchases").alias("n_purchases"),
+        F.sum("n_customers").alias("n_customers"),
+        F.min(_CATEGORY).alias("category"),
+        F.count(F.lit(1)).alias("_kinds"),
+    )
+    several = stats.where("_kinds > 1").select("product_id")
+    stats = stats.drop("_kinds")
+    if not several.isEmpty():
+        exact = (
+            left_join(sold, several, "product_id", "left_semi")
+            .groupBy("product_id")
+            .agg(F.countDistinct(_CUSTOMER).alias("_exact"))
+        )
+        stats = stats.join(exact, "product_id", "left").select(
+            "product_id", "n_purchases", F.coalesce("_exact", "n_customers").alias("n_customers"), "category"
+        )
+    return _by_popularity(stats.where(F.col("n_purchases") >= min_purchases))
+
+
 def category_stats(fact: DataFrame) -> DataFrame:
     """Purchases and customers per category, most customers first."""
     return (
@@ -112,19 +150,30 @@ def top_per_category(popular: DataFrame, n: int = PER_CATEGORY) -> DataFrame:
     )
 
 
-def customer_items(fact: DataFrame) -> DataFrame:
-    """Items per customer, product and category: the one pass over the fact table.
+def grouped_purchases(fact: DataFrame) -> DataFrame:
+    """Items (_n) and those of known orders (_orders) per customer, product and category.
 
-    All that follows works on this written table; several calls can share one.
+    The one pass over the fact table: all that follows works on this written table.
+    Rows without a customer stay, since they count for a product.
     """
     return materialize(
-        fact.where(F.col(_CUSTOMER).isNotNull())
-        .groupBy(_CUSTOMER, "product_id", _category())
-        .agg(F.count(F.lit(1)).alias("_n")),
-        "customer-items",
+        fact.groupBy(_CUSTOMER, "product_id", _CATEGORY).agg(
+            F.count(F.lit(1)).alias("_n"), F.count("order_id").alias("_orders")
+        ),
+        "purchases",
     )
 
 
+def known_items(purchases: DataFrame) -> DataFrame:
+    """customer_items from the rows of grouped_purchases."""
+    return purchases.where(F.col(_CUSTOMER).isNotNull()).select(_CUSTOMER, "product_id", _category(), "_n")
+
+
+def customer_items(fact: DataFrame) -> DataFrame:
+    """Items per customer, product and category; several calls can share one."""
+    return known_items(grouped_purchases(fact))
+
+
 def _favourites(items: DataFrame) -> DataFrame:
     return _ranked_categories(
         items.where(F.col("category").isNotNull())
@@ -296,7 +345,7 @@ def hit_rate(
     Of n_users customers (all for None) those with two products or more are
     asked; one product each, picked by hash, is treated as not bought.
     random_baseline is in percent. Favourite categories still know the held-out
-    purchase unless `leak_free`.
+    purchase unless `leak_free`. With `items` only the categories of `fact` are read.
     """
     pair = [_CUSTOMER, "product_id"]
     items = customer_items(fact) if items is None else items

@@ -95,6 +95,19 @@ def build_customer_orders(
     return totals.withColumn("total_amount", F.col("total_amount").cast(kind))
 
 
+def build_purchases(
+    orders: DataFrame, order_items: DataFrame, products: DataFrame, customers: DataFrame
+) -> DataFrame:
+    """The rows of the fact table with customer, order, product and category only.
+
+    No row carries a number for salting: a left side with a hot key is written before it is salted.
+    """
+    items = order_items.select("order_id", "product_id")
+    kinds = products.select("product_id", "product_category_name_english")
+    items = left_join(items, kinds, "product_id", hot_in=order_items)
+    return left_join(items, _owned(orders, customers), "order_id", known_large=True, hot_in=order_items)
+
+
 def build_dim_customers(customers: DataFrame) -> DataFrame:
     return customers.select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"

@@ -123,19 +123,27 @@ class Mart:
 
     @cached_property
     def popular_products(self) -> DataFrame:
-        popular = recommend.popular_products(self.fact_sales, self.min_purchases)
+        popular = recommend.popular_of_purchases(self.purchases, self.min_purchases)
         return materialize(popular, "popular-products")
 
     @cached_property
     def recommendations(self) -> DataFrame:
         return materialize(
-            recommend.recommend(self.fact_sales, self.popular_products, items=self.customer_items),
+            recommend.recommend(self.purchases, self.popular_products, items=self.customer_items),
             "recommendations",
         )
 
     @cached_property
+    def purchases(self) -> DataFrame:
+        """From the raw orders and items, as rfm: four columns of the fact table, grouped."""
+        rows = star.build_purchases(
+            clean_orders(self.raw["orders"]), self.raw["order_items"], self.products, self.raw["customers"]
+        )
+        return recommend.grouped_purchases(rows)
+
+    @property
     def customer_items(self) -> DataFrame:
-        return recommend.customer_items(self.fact_sales)
+        return recommend.known_items(self.purchases)
 
     @cached_property
     def trained(self) -> Trained:

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from storelens.operators import eda, quality, questions, rfm, sales, star
+from storelens.operators import eda, quality, questions, recommend, rfm, sales, star
 from storelens.operators.cleaning import clean_orders
 from storelens.plans.mart import Mart
 
@@ -245,3 +245,24 @@ def test_rfm_counts_an_order_once_and_sums_its_rows(odd_raw):
     assert set(rows) == {"u1", "u2", "u3", "u4"}
     assert rows["u1"]["frequency"] == 2 and rows["u1"]["monetary"] == Decimal("53.50")
     assert rows["u1"]["recency"] == 120  # order o4 of an unknown person is the last
+
+
+def test_recommendations_need_no_fact_table(odd_raw):
+    """Product p1 has two categories, o6 and o9 no customer: popularity counts them as the fact table does."""
+    m = Mart(odd_raw, min_purchases=1)
+    found = {
+        "popular": m.popular_products, "items": m.customer_items, "recommendations": m.recommendations,
+        "hit_rate": recommend.hit_rate(m.purchases, m.popular_products, n_users=None, items=m.customer_items),
+    }
+    assert "fact_sales" not in vars(m)
+    popular = recommend.popular_products(m.fact_sales, 1)
+    by_fact = {
+        "popular": popular, "items": recommend.customer_items(m.fact_sales),
+        "recommendations": recommend.recommend(m.fact_sales, popular),
+        "hit_rate": recommend.hit_rate(m.fact_sales, popular, n_users=None),
+    }
+    for name, df in by_fact.items():
+        assert dict(found[name].dtypes) == dict(df.dtypes), name
+        assert _sorted_rows(found[name].select(df.columns)) == _sorted_rows(df), name
+    counts = {r["product_id"]: (r["n_purchases"], r["n_customers"]) for r in found["popular"].collect()}
+    assert counts["p1"] == (12, 3) and counts["p2"] == (2, 1) and counts["p4"] == (2, 0)
