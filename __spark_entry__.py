@@ -395,7 +395,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silhouette_by_k": lambda m: m.silhouette_by_k,
         # churn
         "customer_reviews": lambda m: churn.customer_reviews(m.fact_sales, m.reviews),
-        "churn_features": lambda m: churn.churn_features(m.fact_sales, m.reviews),
+        "churn_features": lambda m: m.raw_features,
         "churn_rate": lambda m: churn.churn_rate(churn.label_churn(m.rfm)),
         "impute_median": lambda m: churn.impute_median(_gappy_features(m), ["per_day", "spend"]),
         "stratified_split": lambda m: churn.stratified_split(

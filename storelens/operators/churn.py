@@ -10,7 +10,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import (
@@ -28,6 +28,7 @@ from storelens.operators.rfm import snapshot
 from storelens.session import materialize
 
 CHURN_DAYS = 180
+UNKNOWN_PARTS = 64
 
 # The model features, in order.
 FEATURES = (
@@ -59,6 +60,29 @@ TRACKED_FEATURES = (
 )
 
 
+def _reviews_per_order(reviews: DataFrame) -> DataFrame:
+    """Sum and number of the scores of each order, so an order with many reviews is one row."""
+    return (
+        reviews.where(F.col("order_id").isNotNull())
+        .groupBy("order_id")
+        .agg(F.sum("review_score").alias("_sum"), F.count("review_score").alias("_n"))
+    )
+
+
+def _review_columns() -> list[Column]:
+    """Aggregates over the distinct orders of a customer, joined with `_reviews_per_order`."""
+    return [
+        ratio(F.sum("_sum"), F.sum("_n")).alias("avg_review_score"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_reviews"),
+    ]
+
+
+# Where the distinct things of an order come from.
+_VARIETY = {
+    "products": "product_id", "categories": "product_category_name_english", "sellers": "seller_id"
+}
+
+
 def customer_reviews(fact: DataFrame, reviews: DataFrame) -> DataFrame:
     """Mean score and number of reviews over the distinct orders of each customer.
 
@@ -70,24 +94,20 @@ def customer_reviews(fact: DataFrame, reviews: DataFrame) -> DataFrame:
         .select("order_id", "customer_unique_id")
         .distinct()
     )
-    per_order = (
-        reviews.where(F.col("order_id").isNotNull())
-        .groupBy("order_id")
-        .agg(F.sum("review_score").alias("_sum"), F.count("review_score").alias("_n"))
-    )
     return (
-        pairs.join(per_order, "order_id", "left")
+        pairs.join(_reviews_per_order(reviews), "order_id", "left")
         .groupBy("customer_unique_id")
-        .agg(
-            ratio(F.sum("_sum"), F.sum("_n")).alias("avg_review_score"),
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("n_reviews"),
-        )
+        .agg(*_review_columns())
     )
 
 
-def _order_side(fact: DataFrame) -> DataFrame:
-    """Everything that adds up by order; one payment type per order is the fact's own rule."""
-    per_order = fact.groupBy("customer_unique_id", "order_id").agg(
+def order_side(fact: DataFrame) -> DataFrame:
+    """Per customer and order everything that adds up, and the distinct products, categories and sellers.
+
+    One payment type per order is the fact's own rule. Of an unknown customer only the dates are kept.
+    """
+    known = F.col("customer_unique_id").isNotNull()
+    return fact.groupBy("customer_unique_id", "order_id").agg(
         F.min("order_purchase_timestamp").alias("first"),
         F.max("order_purchase_timestamp").alias("last"),
         F.sum("total_amount").alias("amount"),
@@ -97,29 +117,39 @@ def _order_side(fact: DataFrame) -> DataFrame:
         F.max("payment_type").alias("payment_type"),
         F.sum("payment_installments").alias("installments"),
         F.count("payment_installments").alias("installment_rows"),
+        *[F.collect_set(F.when(known, F.col(c))).alias(n) for n, c in _VARIETY.items()],
     )
-    return per_order.groupBy("customer_unique_id").agg(
-        F.min("first").alias("first_purchase"),
-        F.max("last").alias("last_purchase"),
-        F.count("order_id").alias("frequency"),
-        F.coalesce(F.sum("amount"), F.lit(0)).alias("monetary"),
-        ratio(F.sum("amount"), F.sum("amounts")).alias("avg_order_value"),
-        F.coalesce(F.sum("freight"), F.lit(0)).alias("total_freight"),
-        F.sum("items").alias("n_items"),
-        F.countDistinct("payment_type").alias("n_payment_methods"),
-        ratio(F.sum("installments"), F.sum("installment_rows")).alias("avg_installments"),
-    )
 
 
-def _variety_side(fact: DataFrame) -> DataFrame:
-    """Distinct counts over the distinct combinations, which are far fewer than the items."""
-    kinds = fact.select(
-        "customer_unique_id", "product_id", "product_category_name_english", "seller_id"
-    ).distinct()
-    return kinds.groupBy("customer_unique_id").agg(
-        F.countDistinct("product_id").alias("n_products"),
-        F.countDistinct("product_category_name_english").alias("n_categories"),
-        F.countDistinct("seller_id").alias("n_sellers"),
+def _customer_side(orders: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The rows of `order_side` and the reviews of their orders, added up by customer.
+
+    An order moves once, with its few distinct products in it, instead of each item once for each distinct count.
+    Orders of unknown customers end in UNKNOWN_PARTS rows, so that they do not meet in one task.
+    """
+    unknown = F.col("customer_unique_id").isNull()
+    return (
+        orders.join(_reviews_per_order(reviews), "order_id", "left")
+        .withColumn("_spread", F.when(unknown, F.pmod(F.xxhash64("order_id"), F.lit(UNKNOWN_PARTS))))
+        .repartition("customer_unique_id", "_spread")  # whole: lists that tasks began would be larger and no fewer
+        .groupBy("customer_unique_id", "_spread")
+        .agg(
+            F.min("first").alias("first_purchase"),
+            F.max("last").alias("last_purchase"),
+            F.count("order_id").alias("frequency"),
+            F.coalesce(F.sum("amount"), F.lit(0)).alias("monetary"),
+            ratio(F.sum("amount"), F.sum("amounts")).alias("avg_order_value"),
+            F.coalesce(F.sum("freight"), F.lit(0)).alias("total_freight"),
+            F.sum("items").alias("n_items"),
+            F.size(F.collect_set("payment_type")).cast("bigint").alias("n_payment_methods"),
+            ratio(F.sum("installments"), F.sum("installment_rows")).alias("avg_installments"),
+            *[
+                F.size(F.array_distinct(F.flatten(F.collect_list(n)))).cast("bigint").alias(f"n_{n}")
+                for n in _VARIETY
+            ],
+            *_review_columns(),
+        )
+        .drop("_spread")
     )
 
 
@@ -128,21 +158,25 @@ def churn_features(fact: DataFrame, reviews: DataFrame) -> DataFrame:
 
     A customer without reviews gets the median of the customers' mean scores.
     """
-    known = fact.where(F.col("customer_unique_id").isNotNull())
+    return features_of_orders(order_side(fact), reviews)
+
+
+def features_of_orders(orders: DataFrame, reviews: DataFrame) -> DataFrame:
+    """churn_features from the rows of `order_side`, which need no fact table.
+
+    The totals are written, unknown customers among them: the last purchase of all is read off them.
+    """
+    totals = materialize(_customer_side(orders, reviews), "customer-sides")
+    last = totals.select(F.col("last_purchase").alias("order_purchase_timestamp"))
     base = (
-        _order_side(known)
-        .join(_variety_side(known), "customer_unique_id")
-        .join(customer_reviews(known, reviews), "customer_unique_id", "left")
-        .withColumn("recency", whole_days_between(snapshot(fact), "last_purchase"))
+        totals.where(F.col("customer_unique_id").isNotNull())
+        .withColumn("recency", whole_days_between(snapshot(last), "last_purchase"))
         .withColumn("lifetime_days", whole_days_between("last_purchase", "first_purchase"))
         .withColumn("purchase_frequency", ratio("frequency", F.col("lifetime_days") + 1))
         .withColumn("monetary_per_order", ratio("monetary", "frequency"))
         .withColumn("monetary", F.col("monetary").cast("double"))
         .withColumn("total_freight", F.col("total_freight").cast("double"))
-    )
-    base = materialize(
-        base.select("customer_unique_id", "recency", "first_purchase", "last_purchase", *FEATURES),
-        "churn-features",
+        .select("customer_unique_id", "recency", "first_purchase", "last_purchase", *FEATURES)
     )
     middle = exact_quantiles(base, ["avg_review_score"], (0.5,)).select("q0").scalar()
     return base.withColumn("avg_review_score", F.coalesce("avg_review_score", middle))

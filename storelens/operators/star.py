@@ -108,6 +108,25 @@ def build_purchases(
     return left_join(items, _owned(orders, customers), "order_id", known_large=True, hot_in=order_items)
 
 
+def build_order_rows(
+    orders: DataFrame, order_items: DataFrame, products: DataFrame, customers: DataFrame, payments: DataFrame
+) -> DataFrame:
+    """The rows of the fact table whose order is known, with the columns that customers are described by.
+
+    Items meet their order last, so what is grouped by order next does not move again.
+    """
+    items = order_items.select(
+        "order_id", "order_item_id", "product_id", "seller_id", "freight_value",
+        (F.col("price") + F.col("freight_value")).alias("total_amount"),
+    )
+    kinds = products.select("product_id", "product_category_name_english")
+    items = left_join(items, kinds, "product_id", hot_in=order_items)
+    owned = _owned(orders, customers, "order_purchase_timestamp")
+    paid = payment_rollup(payments).select("order_id", "payment_type", "payment_installments")
+    owned = owned.join(paid, "order_id", "left")
+    return left_join(items, owned, "order_id", "inner", known_large=True, hot_in=order_items)
+
+
 def build_dim_customers(customers: DataFrame) -> DataFrame:
     return customers.select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"

@@ -113,11 +113,19 @@ class Mart:
             segments.segment_table(self.clustered, self.segment_profile), "customer-segments"
         )
 
+    @cached_property
+    def raw_features(self) -> DataFrame:
+        """Customer features before label and imputation, from the raw orders, items, payments and reviews."""
+        rows = star.build_order_rows(
+            clean_orders(self.raw["orders"]), self.raw["order_items"], self.products,
+            self.raw["customers"], self.raw["payments"],
+        )
+        return churn.features_of_orders(churn.order_side(rows), self.raw["reviews"])
+
     @cached_property
     def churn_features(self) -> DataFrame:
-        features = churn.churn_features(self.fact_sales, self.reviews)
         return materialize(
-            churn.impute_median(churn.label_churn(features), list(churn.FEATURES)),
+            churn.impute_median(churn.label_churn(self.raw_features), list(churn.FEATURES)),
             "customer-features",
         )
 

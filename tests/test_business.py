@@ -266,3 +266,24 @@ def test_recommendations_need_no_fact_table(odd_raw):
         assert _sorted_rows(found[name].select(df.columns)) == _sorted_rows(df), name
     counts = {r["product_id"]: (r["n_purchases"], r["n_customers"]) for r in found["popular"].collect()}
     assert counts["p1"] == (12, 3) and counts["p2"] == (2, 1) and counts["p4"] == (2, 0)
+
+
+def test_churn_features_need_no_fact_table(spark, odd_raw):
+    """Of u1, order o1 is two rows, its product p1 has two categories; o4 of an unknown person is the last order."""
+    from storelens.operators import churn
+
+    reviews = spark.createDataFrame([("o1", 5), ("o1", 2), ("o3", 4), (None, 1)], "order_id string, review_score int")
+    m = Mart(odd_raw | {"reviews": reviews})
+    found = m.raw_features
+    assert m.churn_features.count() == 4
+    assert "fact_sales" not in vars(m)
+    by_fact = churn.churn_features(m.fact_sales, reviews)
+    assert dict(found.dtypes) == dict(by_fact.dtypes)
+    assert _sorted_rows(found) == _sorted_rows(by_fact)
+    rows = {r["customer_unique_id"]: r.asDict() for r in found.collect()}
+    u1 = rows["u1"]
+    assert [u1[c] for c in ("recency", "frequency", "n_items", "n_products", "n_categories", "n_sellers")] == [
+        120, 2, 8, 2, 2, 1]
+    assert u1["monetary"] == pytest.approx(53.5) and u1["total_freight"] == pytest.approx(4.0)
+    assert (u1["avg_review_score"], u1["n_reviews"], u1["n_payment_methods"], u1["avg_installments"]) == (3.5, 2, 1, 2.0)
+    assert rows["u2"]["avg_review_score"] == 4.0 and rows["u3"]["avg_review_score"] == 3.75
