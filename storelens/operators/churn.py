@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +20,7 @@ from storelens.functions.columns import (
 from storelens.functions.quantiles import exact_quantiles
 from storelens.functions.ranking import global_rank
 from storelens.functions.skew import left_join
-from storelens.operators import logistic
+from storelens.operators import forest, logistic
 from storelens.operators.rfm import snapshot
 from storelens.session import materialize
 
@@ -286,16 +283,9 @@ def train_rf(
     seed: int = 42,
 ) -> PipelineModel:
     """Balanced random forest."""
-    forest = RandomForestClassifier(
-        labelCol="churn",
-        weightCol="weight",
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=5,
-        featureSubsetStrategy="sqrt",
-        seed=seed,
-    )
-    return Pipeline(stages=[_assemble(features, "features"), forest]).fit(class_weights(train))
+    weights = dict(class_weights(train).groupBy("churn").agg(F.max("weight")).collect())  # a row for each class
+    return forest.fit(
+        train, features, "churn", (weights.get(0, 0.0), weights.get(1, 0.0)), trees, depth, least=5, seed=seed)
 
 
 def train_gbt(
