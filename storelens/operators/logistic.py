@@ -8,9 +8,12 @@ zero is the optimum, and `gradient` states it for any coefficients.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 
 from storelens.session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 TOLERANCE = 1e-13  # of the gradient's norm, relative to the rows' weight
 SETTLED = 1e-9  # below which a norm that no longer halves is rounding
 
@@ -45,11 +50,6 @@ def _probability(margin: Column) -> Column:
     return F.when(margin >= 0, 1 / (1 + e)).otherwise(e / (1 + e))
 
 
-def _loss(margin: Column, label: Column) -> Column:
-    """log(1 + exp(margin)) - label * margin."""
-    return F.greatest(margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin))) - label * margin
-
-
 def gradient(
     rows: DataFrame, x: list[Column], label: Column, weight: Column, beta: np.ndarray, penalty: float = 1.0
 ) -> np.ndarray:
@@ -59,6 +59,35 @@ def gradient(
     return np.array([float(s or 0.0) for s in sums]) + penalty * np.r_[beta[:-1], 0.0]
 
 
+def _sums(rows: DataFrame, beta: np.ndarray) -> np.ndarray | None:
+    """Every sum of a step from one pass: loss, weight, gradient and curvature; None without rows.
+
+    A task multiplies whole batches and sends one row, so their number is that of the tasks.
+    """
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        sums = np.zeros(2 + len(beta) + len(beta) ** 2)
+        seen = 0
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            label, weight = columns[-2:]
+            x = np.column_stack([*columns[:-2], np.ones(batch.num_rows)])
+            margin = x @ beta
+            e = np.exp(-np.abs(margin))
+            p = np.where(margin >= 0, 1 / (1 + e), e / (1 + e))
+            loss = np.maximum(margin, 0.0) + np.log1p(e) - label * margin
+            curve = x.T @ (x * (weight * p * (1 - p))[:, None])
+            sums += np.r_[weight @ loss, weight.sum(), x.T @ (weight * (p - label)), curve.ravel()]
+            seen += batch.num_rows
+        if seen:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    found = rows.mapInArrow(add, "sums array<double>").collect()
+    return np.sum([r["sums"] for r in found], axis=0) if found else None
+
+
 def newton(
     rows: DataFrame, x: list[Column], label: Column, weight: Column,
     penalty: float = 1.0, max_iter: int = 100, tolerance: float = TOLERANCE,
@@ -69,28 +98,19 @@ def newton(
     a feature, label or weight are left out. No rows: all zero. One class only: the intercept goes as far as
     `max_iter` steps take it.
     """
-    features = [*x, F.lit(1.0)]
-    size = len(features)
+    size = len(x) + 1
+    known = rows.select(
+        *[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)], label.cast("double").alias("label"),
+        weight.cast("double").alias("weight")).dropna()
     beta = best = move = np.zeros(size)
     ridge = penalty * np.diag(np.r_[np.ones(size - 1), 0.0])
     norm, step, best_loss = np.inf, 0, np.inf
     for step in range(max_iter + 1):
-        margin = _margin(x, beta)
-        p = _probability(margin)
-        # every sum of the step from one pass: loss, weight, gradient, and half the symmetric curvature
-        got = rows.select(
-            *[c.alias(f"x{i}") for i, c in enumerate(features)],
-            (weight * (p - label)).alias("miss"), (weight * p * (1 - p)).alias("curve"),
-            (weight * _loss(margin, label)).alias("loss"), weight.alias("w"),
-        ).dropna().agg(
-            F.sum("loss"), F.sum("w"),
-            *[F.sum(F.col("miss") * F.col(f"x{i}")) for i in range(size)],
-            *[F.sum(F.col("curve") * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(size) for j in range(i + 1)],
-        ).first()
-        if got[1] is None:
+        got = _sums(known, beta)
+        if got is None:
             return Fit(beta[:-1], 0.0, 0, 0.0)
         loss = got[0] + penalty / 2 * float(beta[:-1] @ beta[:-1])
-        slope = np.array(got[2:2 + size]) + penalty * np.r_[beta[:-1], 0.0]
+        slope = got[2:2 + size] + penalty * np.r_[beta[:-1], 0.0]
         last, norm = norm, float(np.linalg.norm(slope))
         stuck = norm <= SETTLED * got[1] and norm > last / 2
         if norm <= tolerance * got[1] or stuck or step == max_iter:
@@ -101,9 +121,7 @@ def newton(
                 break
             beta = best + move
             continue
-        curve = np.zeros((size, size))
-        curve[np.tril_indices(size)] = got[2 + size:]
-        curve = curve + np.tril(curve, -1).T + ridge + 1e-12 * np.eye(size)
+        curve = got[2 + size:].reshape(size, size) + ridge + 1e-12 * np.eye(size)
         best, best_loss = beta, loss
         move = -np.linalg.solve(curve, slope)
         beta = beta + move
